@@ -27,6 +27,8 @@ for _i in range(256):
     _CLASS[_i] = [_ch.isascii() and _ch.isalpha() or _i >= 192, _ch.isascii() and _ch.isupper(), _i < 128 and _ch.isdigit(), _i < 128 and (_ch.isspace()), _ch in ".,;:!?'\"()-", 32 < _i < 127 and not _ch.isalnum() and _ch not in ".,;:!?'\"()-"]
 
 N_STATS = 14
+#: Pseudo-counts of an ordinary text in each share.
+_SMOOTH = 10
 
 
 def statistics(text: str | None) -> list[float]:
@@ -40,22 +42,24 @@ def statistics(text: str | None) -> list[float]:
     counts = Counter(words)
     sentences = [s for s in map(str.strip, _SENTENCE.split(text)) if s]
     unique = len(set(sentences))
-    share = lambda a, b: np.log((a + 0.5) / (b + 1.0))
+    # Smoothed by _SMOOTH words or letters of an ordinary text, so that short texts stand close to it.
+    share = lambda a, b, usual: np.log((a + _SMOOTH * usual) / (b + _SMOOTH))
+    longest = max(counts.values(), default=0)
     return [
         np.log1p(n),
-        np.log((letters + 1) / (n + 1)),
-        share(symbols, chars),
-        share(marks, chars),
-        share(digits, chars),
-        share(upper, letters),
-        share(max(counts.values(), default=0), n),
-        np.log1p(len(counts)) - np.log1p(n),
-        np.log1p(unique) - np.log1p(len(sentences)),
-        np.log1p(n) - np.log1p(len(sentences)),
-        share(sum(c for w, c in counts.items() if len(w) == 1), n),
-        share(sum(c for w, c in counts.items() if not w[-1].isalnum() and w[-1] not in ".,;:!?'\")"), n),
-        share(sum(c for w, c in counts.items() if len(w) <= 3), n),
-        np.log((space + 1) / (n + 1)),
+        np.log((letters + 5 * _SMOOTH) / (n + _SMOOTH)),
+        share(symbols, chars, 0.01),
+        share(marks, chars, 0.04),
+        share(digits, chars, 0.01),
+        share(upper, letters, 0.04),
+        share(max(0, longest - 1), n, 0.05),
+        share(len(counts), n, 0.8),
+        share(unique, len(sentences), 1.0),
+        share(len(sentences), n, 0.1),
+        share(sum(c for w, c in counts.items() if len(w) == 1), n, 0.02),
+        share(sum(c for w, c in counts.items() if not w[-1].isalnum() and w[-1] not in ".,;:!?'\")"), n, 0.01),
+        share(sum(c for w, c in counts.items() if len(w) <= 3), n, 0.35),
+        share(space, n, 1.0),
     ]
 
 
@@ -106,7 +110,7 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -500, 500)))
 
 
-def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", shrink: float = 0.1, pool: float = 0.05) -> Discriminant | None:
+def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", shrink: float = 0.1, pool: float = 0.2) -> Discriminant | None:
     """Fitted on every labelled row of stats that is not held out.
 
     Only sums for each class leave the executors: 2 * (1 + d + d * d) numbers in all. Labels other
