@@ -45,10 +45,10 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Texts go to Python in short Arrow batches, so that a batch of long ones fits in memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > TEXT_ROWS:
-        spark.conf.set(key, str(TEXT_ROWS))
+    """Texts are read, and go to Python, in short batches, so that one of long texts fits in memory."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if int(spark.conf.get(key)) > TEXT_ROWS:
+            spark.conf.set(key, str(TEXT_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

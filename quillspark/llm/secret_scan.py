@@ -64,7 +64,8 @@ def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rule_version: int
     if ledger is not None:
         new = new.join(ledger.where(F.col("rule_version") == rule_version).select("sha"), "sha", "left_anti")
     new = new.select(F.col("sha").alias("new_sha"), "rep")
-    texts = own.join(new, (F.col("sha") == F.col("new_sha")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    # The texts stream past a hash table of keys, and are never sorted.
+    texts = own.join(new.hint("shuffle_hash"), (F.col("sha") == F.col("new_sha")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
     def run(batches):
         done: dict[str, list] = {}  # rows that repeat whole lie in one partition
