@@ -2,8 +2,8 @@
 
 Each source's documents stand in a shuffled queue, repeated as often as the cap allows. A queued
 copy's virtual finish time is the words of its source up to and with it, divided by the source's
-target, so that all sources advance in step. Copies are taken in order of finish time, up to the
-total budget; a copy that the cut falls into gives the words before it.
+target, so that all sources advance in step. Copies are range-sorted by finish time and taken up to the
+total budget; a copy that its source's target falls into gives the words before it.
 
 The running sum inside a source is split: documents lie in buckets by the leading digits of their
 shuffle key, buckets are summed first, and only a bucket is ordered in one task, so a source with a
@@ -65,8 +65,8 @@ def queues(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: s
 
 
 def cut_time(queued: DataFrame, budget: float, cap: int = 2) -> float:
-    """The virtual time at which copies taken in order of finish time have used the budget; 1 at
-    most, when every source has its target.
+    """The virtual time before which copies taken in order of finish time keep within the budget; 1
+    at most, when every source has its target.
 
     The copies are range-sorted into slots of finish time, twice over, and the slots' sums give the
     cut: at most 4096 numbers reach the driver each time.
@@ -102,22 +102,26 @@ def allocate(
     taken long, finish double).
 
     size counts the words of the whole text (null: 0). taken is what the mix takes of the document,
-    repeats counted: whole copies, and at the cut the words before it, so each source's sum is its
-    target rounded down where the budget (default: `share` of all words) lets it be, and no document
-    gives more than `cap` times its size. finish is the first copy's virtual finish time, null where
+    repeats counted: whole copies in order of finish time while the budget (default: `share` of all
+    words) lasts, and none beyond its source's target. Where the budget outlasts these, what is left
+    goes to the copy that each source is at, cut so that the source's sum is its target rounded
+    down. No document gives more than `cap` times its size. finish is the first copy's virtual finish time, null where
     the target is 0. Null sources are one source, the last. Rows of one id stand together in their
     queue, ordered by size; equal rows may change places among themselves. Reruns agree. An empty
     table gives no rows; other columns are not read.
     """
     rows = stored(queues(docs, id_col, text_col, source_col, seed, weights, share, cap))
-    level = 1.0
-    if budget is not None:
-        level = cut_time(rows, budget, cap)
-    end = F.floor(F.col("target") * F.lit(level))
+    if budget is None:
+        budget = share * (rows.agg(F.sum("size")).first()[0] or 0)
+    level = cut_time(rows, budget, cap)
     taken = F.lit(0)
     for e in range(cap):
-        first = F.col("done") - F.col("size") + F.col("source_size") * e
-        taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), end - first))
+        done = F.col("done") + F.col("source_size") * e
+        if level < 1:
+            part = F.when((F.col("target") > 0) & (done / F.col("target") < level), F.col("size")).otherwise(0)
+        else:
+            part = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - (done - F.col("size"))))
+        taken = taken + part
     finish = F.when(F.col("target") > 0, F.col("done") / F.col("target"))
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("finish"))
 
