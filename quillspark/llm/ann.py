@@ -6,10 +6,11 @@ in-memory neighbour graph by a beam that walks for a whole batch at once.
 
 Indexing: every vector goes to its nearest list and, where it lies near a boundary, to further
 lists whose centroid is at most `closure` times as far, unless an already chosen centroid is nearer
-to that centroid than the vector is (it would bring nothing new).
+to that centroid than `spread` times the vector is (it would bring little new; in many dimensions
+centroids lie nearer to each other than vectors to them, so that a spread of 1 would leave no copies).
 
 Searching: a query reads the lists whose centroid is at most `ratio` times as far as the nearest
-one, and always enough lists to hold `k` other vectors. Lists are packed into shards of bounded
+one, at least `least_lists`, and always enough lists to hold `k` other vectors. Lists are packed into shards of bounded
 size; a list above that size is dealt over several. Only each shard's best k a query are shuffled
 again.
 """
@@ -137,7 +138,7 @@ class Centroids:
         return ids, np.sqrt(ds)
 
 
-def closure_lists(x: np.ndarray, c: Centroids, closure: float, replicas: int) -> list[list[int]]:
+def closure_lists(x: np.ndarray, c: Centroids, closure: float, replicas: int, spread: float) -> list[list[int]]:
     """The lists of each row of x, its nearest first."""
     ids, ds = c.search(x, max(16, 2 * replicas))
     out = []
@@ -152,7 +153,7 @@ def closure_lists(x: np.ndarray, c: Centroids, closure: float, replicas: int) ->
                 key = (o, i)
                 if key not in gap:
                     gap[key] = float(np.linalg.norm(c.points[o] - c.points[i]))
-                if gap[key] < d:
+                if gap[key] < spread * d:
                     break
             else:
                 own.append(i)
@@ -185,9 +186,11 @@ def nearest(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     list_rows: int = 256,
-    ratio: float = 1.35,
+    ratio: float = 1.18,
     closure: float = 1.1,
     replicas: int = 4,
+    spread: float = 0.55,
+    least_lists: int = 8,
     shard_rows: int = 8192,
     sample_rows: int = SAMPLE_ROWS,
     max_lists: int = MAX_LISTS,
@@ -216,7 +219,7 @@ def nearest(
 
     def assign(batches):
         for b in batches:
-            lists = closure_lists(_matrix(b.column(1)), shared.value, closure, replicas)
+            lists = closure_lists(_matrix(b.column(1)), shared.value, closure, replicas, spread)
             counts = [len(o) for o in lists]
             take = np.repeat(np.arange(len(lists)), counts)
             first = np.zeros(len(take), bool)
@@ -254,8 +257,9 @@ def nearest(
             while True:  # widen the beam until the ratio, not the beam, ends every row's lists
                 ids, ds = shared.value.search(q, beam)
                 whole = ids.shape[1] >= len(shared.value.points)
-                enough = np.cumsum(home[ids], axis=1) - home[ids] <= k
-                take = (ds <= ratio * ds[:, :1]) | enough
+                few = np.cumsum(home[ids], axis=1) - home[ids] <= k
+                take = (ds <= ratio * ds[:, :1]) | few
+                take[:, :least_lists] = True  # a query next to a centroid has no ratio to go by
                 if whole or not take[:, -1].any():
                     break
                 beam *= 2
