@@ -4,17 +4,21 @@ A document's fingerprint has a bit set where over half of its shingles' 64-bit h
 Documents whose fingerprints differ in at most `radius` bits are linked, and links join into
 components.
 
-Search: two fingerprints within the radius agree in at least one of radius + 1 equal slices of
-their bits, so every distinct fingerprint goes to one bucket a slice. Buckets are packed into
-shards; in each, a bucket's members stand in a BK-tree (children keyed by their integer Hamming
-distance to the parent) and a search follows only the edges within the radius of its own
-distance. A bucket above `piece` members is cut into pieces by hash, and each pair of pieces is a
-task of its own, so no task holds an unbounded group and no pair is lost. Inside a bucket links
-are joined at once: at most one link a member leaves it, never all pairs.
+Search: of m equal slices of their bits, two fingerprints within the radius agree in m - radius at
+least, so every distinct fingerprint goes to one bucket for each choice of so many slices: four
+buckets of 16 bits up to some ten million fingerprints, and beyond that more slices, whose buckets
+are told apart by more bits, so that buckets stay small however many fingerprints there are. Buckets
+are packed into shards; in each, a bucket's members stand in a BK-tree (children keyed by their
+integer Hamming distance to the parent) and a search follows only the edges within the radius of its
+own distance. A bucket above `piece` members is cut into pieces by hash, and each pair of pieces is
+a task of its own, so no task holds an unbounded group and no pair is lost. Inside a bucket links are
+joined at once: at most one link a member leaves it, never all pairs.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import components, stored, text_batches
 
 _CHUNK = 1 << 16
+#: Rows, of 20 bytes each, in a table of large buckets that is broadcast.
+_MOST_BROADCAST = 200_000
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -147,26 +153,40 @@ def _bucket_links(fps: list[int], side: list[bool], cross: bool, radius: int) ->
     return out
 
 
-def links(reps: DataFrame, radius: int = 3, piece: int = 2048, shard_rows: int = 16384) -> DataFrame:
+def slice_choices(n: int, radius: int, bucket: float = 256, bits: int = 64) -> list[list[tuple[int, int]]]:
+    """Choices of slices, each a list of (first bit, width), such that n random fingerprints fill a
+    bucket with about `bucket` members at most."""
+    m = radius + 1
+    while m < bits // 2 and n > bucket * 2 ** (bits // m * (m - radius)):
+        m += 1
+    cuts = [bits * i // m for i in range(m + 1)]
+    slices = [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+    return [list(c) for c in combinations(slices, m - radius)]
+
+
+def links(reps: DataFrame, radius: int = 3, piece: int = 2048, shard_rows: int = 16384, bucket: float = 256) -> DataFrame:
     """Links (u, v) between the nodes of reps (fp long, rep long), whose fp are distinct.
 
     They connect exactly what lies within the radius: a forest a bucket, not all pairs.
     """
-    n_slices = radius + 1
-    cuts = [64 * i // n_slices for i in range(n_slices + 1)]
-    keyed = reps.select("fp", "rep", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("slice"), F.shiftrightunsigned("fp", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)).alias("value"))
-        for i in range(n_slices)
-    ])).alias("k")).select("fp", "rep", "k.slice", "k.value")
+
+    def value(choice: list[tuple[int, int]]):
+        out, at = F.lit(0).cast("long"), 0
+        for first, width in choice:
+            part = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+            out, at = out.bitwiseOR(F.shiftleft(part, at)), at + width
+        return out
+
+    choices = slice_choices(reps.count(), radius, bucket)
+    keyed = reps.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).alias("slice"), value(c).alias("value")) for i, c in enumerate(choices)])).alias("k")).select("fp", "rep", "k.slice", "k.value")
     sizes = keyed.groupBy("slice", "value").agg(F.count("*").alias("n"))
     pieces = F.ceil(F.col("n") / piece)
     sizes = stored(sizes.where("n > 1").select("slice", "value", "n", pieces.alias("pieces")))
     total = sizes.agg(F.sum(F.col("n") * F.col("pieces"))).first()[0] or 0
     n_shards = max(1, -(-int(total) // shard_rows))
-    # A bucket above `piece` holds as many rows at least, so these are under n_slices * rows / piece,
-    # and never more than the slices' values: a bound of some hundred thousand rows.
     large = sizes.where("pieces > 1").select("slice", "value", "pieces")
-    rows = keyed.join(F.broadcast(large), ["slice", "value"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    few = large.count() <= _MOST_BROADCAST  # else the engine joins by a shuffle
+    rows = keyed.join(F.broadcast(large) if few else large, ["slice", "value"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("pieces")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
     rows = rows.select("fp", "rep", "slice", "value", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))

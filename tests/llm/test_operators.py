@@ -190,9 +190,21 @@ def test_simhash_links_with_many_near_fingerprints(spark):
     fps = list(enumerate(sorted(fps)))
     signed = [(i, f - (1 << 64) if f >> 63 else f) for i, f in fps]
     reps = spark.createDataFrame([(f, i) for i, f in signed], "fp long, rep long")
-    label = {r.node: r.component for r in common.components(simhash.links(reps, 3, piece=16, shard_rows=64)).collect()}
     want = slow_components(fps)
-    assert {i: label.get(i, i) for i, _ in fps} == want
+    for bucket in (256, 0.001):  # few slices, and choices of more
+        label = {r.node: r.component for r in common.components(simhash.links(reps, 3, piece=16, shard_rows=64, bucket=bucket)).collect()}
+        assert {i: label.get(i, i) for i, _ in fps} == want
+
+
+def test_slice_choices_meet_the_pigeonhole():
+    assert [len(simhash.slice_choices(n, 3)) for n in (10, 10**7, 10**9, 10**11, 10**13)] == [4, 4, 10, 20, 35]
+    for n in (10, 10**9, 10**11):
+        for choice in simhash.slice_choices(n, 3):
+            assert sum(w for _, w in choice) >= 16
+        rng = random.Random(n)
+        for _ in range(200):
+            bits = set(rng.sample(range(64), 3))
+            assert any(not any(a <= b < a + w for a, w in c for b in bits) for c in simhash.slice_choices(n, 3))
 
 
 def test_simhash_edges(spark):
