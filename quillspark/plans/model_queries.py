@@ -186,9 +186,46 @@ def queries() -> dict:
         "decode_fixed": lambda s, d: _decode(s, d, FIXED, 0, 3, 2.0),
         "decode_beam": lambda s, d: _decode(s, d, FIXED, 0, 3, 2.0, beam=1e6),
         "segmental_kmeans": _trained,
+        "total_path_cost": lambda s, d: _aligned(s, d).where("cost < 1e300").agg(F.round(F.sum("cost"), 2).alias("cost"), F.count("*").alias("n")),
+        "score_change": lambda s, d: _score_change(s, d),
+        "skip_transition_cost": lambda s, d: _skip_transitions(s, d),
+        "frames_in_segments": lambda s, d: _frames_in_segments(s, d),
+        "label_models": lambda s, d: _label_models(s, d),
+        "state_parameters": lambda s, d: _params(gauss.fit(_path_rows(s, d).join(wave(s, d).select(F.col("utt").alias("u"), "i", F.array("x").alias("vec")), (F.col("utt") == F.col("u")) & (F.col("t") == F.col("i"))), ["state"]), ["state"], 4),
+        "path_start": lambda s, d: _aligned(s, d).select("utt", F.get("path", F.lit(0)).alias("first_state"), F.get("path", F.size("path") - 1).alias("last_state")),
     }
 
 
+def _score_change(s, d) -> DataFrame:
+    """Summed absolute difference between paths' costs without and with skips."""
+    a = trellis.align(_sequences(s, d), trellis.Graph.chain(STAY, MOVE)).select("utt", "cost")
+    b = trellis.align(_sequences(s, d), trellis.Graph.chain(STAY, MOVE, SKIP)).select("utt", F.col("cost").alias("other"))
+    return a.join(b, "utt").where("cost < 1e300 and other < 1e300").agg(F.round(F.sum(F.abs(F.col("cost") - F.col("other"))), 4).alias("change"))
+
+
+def _skip_transitions(s, d) -> DataFrame:
+    """Costs of the states of paths with skips: a state is skipped where a path jumps over it."""
+    p = trellis.align(_sequences(s, d), trellis.Graph.chain(STAY, MOVE, SKIP)).select("utt", F.posexplode("path").alias("t", "state"), "path")
+    nxt = F.get("path", F.col("t") + 1)
+    rows = p.select("state", (F.get("path", F.col("t") - 1) != F.col("state")).alias("enters"), (F.col("t") == 0).alias("first"), (nxt - F.col("state") == 2).alias("jumps"))
+    n = rows.groupBy("state").agg(F.count("*").alias("n"), F.count_if(F.col("first") | F.col("enters")).alias("visits"), F.count_if("jumps").alias("skipped"))
+    return training.skip_costs(n).select("state", "n", "visits", "skipped", *[F.when(F.col(c) < 1e300, F.round(c, 6)).alias(c) for c in ("next", "stay", "skip")])
+
+
+def _frames_in_segments(s, d) -> DataFrame:
+    """Frames joined with the segment that holds them: here segments are evenly shared frames."""
+    n = wave(s, d).groupBy("utt").agg(F.count("*").alias("n"))
+    seg = n.select(F.col("utt").alias("u"), "n", F.posexplode(trellis.uniform_starts(F.col("n"))).alias("state", "start")).withColumn("stop", F.floor((F.col("state") + 1) * F.col("n") / STATES))
+    return wave(s, d).join(seg, (F.col("utt") == F.col("u")) & (F.col("i") >= F.col("start")) & (F.col("i") < F.col("stop"))).select("utt", "i", "state")
+
+
+def _label_models(s, d) -> DataFrame:
+    """The models of each conversation's roles in order of turn, with their state counts."""
+    states = s.createDataFrame([("user", 5), ("assistant", 5), ("system", 2)], "role string, states int")
+    c = table(s, d, "conversations").select("conv_id", "turn", "role")
+    return c.join(F.broadcast(states), "role").select("conv_id", "turn", "role", "states")
+
+
 def _uniform_lengths(s, d) -> DataFrame:
     n = wave(s, d).groupBy("utt").agg(F.count("*").alias("n")).where(f"n >= {STATES}")
     starts = n.select("utt", "n", F.posexplode(trellis.uniform_starts(F.col("n"))).alias("state", "start"))
@@ -227,6 +264,13 @@ def oracle_sql() -> dict[str, str]:
         "path_changes": _PATH + " SELECT utt, state, t FROM pe WHERE enters",
         "occupancy": _PATH + " SELECT state, count(*) AS n, count(*) FILTER (enters) AS visits FROM pe GROUP BY state",
         "transition_cost": _PATH + " SELECT state, round(-ln(k / n), 6) AS next, round(-ln(1 - k / n), 6) AS stay FROM (SELECT state, count(*) AS n, count(*) FILTER (enters) AS k FROM pe GROUP BY state)",
+        "total_path_cost": v + f" SELECT round(sum(c), 2) AS cost, count(*) AS n {_FINAL} WHERE s = 4",
+        "score_change": f"SELECT round(sum(abs(a.c - b.c)), 4) AS change FROM ({v} SELECT v.utt, c {_FINAL} WHERE s = 4) a JOIN ({_viterbi_sql(skip=True)} SELECT v.utt, c {_FINAL} WHERE s = 4) b USING (utt)",
+        "frames_in_segments": f"WITH {_SIG}, n AS (SELECT utt, count(*) AS n FROM sig GROUP BY utt), seg AS (SELECT utt, state, floor(state * n / 5) AS a, floor((state + 1) * n / 5) AS b FROM n CROSS JOIN (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS state)) SELECT sig.utt, i, state FROM sig JOIN seg ON sig.utt = seg.utt AND i >= a AND i < b",
+        "label_models": "SELECT conv_id, turn, role, CAST(CASE role WHEN 'system' THEN 2 ELSE 5 END AS INTEGER) AS states FROM conversations WHERE role IN ('user', 'assistant', 'system')",
+        "segment_change": _PATH + ", n AS (SELECT utt, count(*) AS n FROM sig GROUP BY utt HAVING count(*) >= 5), u AS (SELECT utt, s AS state, floor((s + 1) * n / 5) - floor(s * n / 5) AS old FROM n CROSS JOIN st), c AS (SELECT utt, state, count(*) AS new FROM pr GROUP BY utt, state) SELECT round(avg(abs(new - old)), 6) AS change FROM u JOIN c USING (utt, state)",
+        "state_parameters": _PATH + " SELECT state, 0 AS d, round(avg(x), 4) AS mean, round(var_pop(x), 4) AS var FROM pr JOIN sig ON sig.utt = pr.utt AND sig.i = pr.t GROUP BY state",
+        "path_start": _PATH + " SELECT utt, path[1] AS first_state, path[len(path)] AS last_state FROM p",
         "uniform_segment": f"WITH {_SIG} SELECT utt, state, CAST(floor(state * n / 5) AS INTEGER) AS start FROM (SELECT utt, count(*) AS n FROM sig GROUP BY utt) CROSS JOIN (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS state)",
         "dtw_template": f"""WITH RECURSIVE {_SIG}, st AS (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS s), len AS (SELECT utt, max(i) AS last FROM sig GROUP BY utt),
           v(utt, t, s, c) AS (SELECT utt, i, 0, 0.0::DOUBLE FROM sig WHERE i = 0 UNION ALL

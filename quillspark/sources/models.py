@@ -45,6 +45,18 @@ def hmm_text(spark: SparkSession, path: str, last_leave: float | None = None) ->
     return got.join(F.broadcast(top), "model").withColumns({"stay": F.when(last, 0.0).otherwise(F.col("stay")), "next": F.when(last, float(last_leave)).otherwise(F.col("next"))}).drop("_top")
 
 
+def skip_text(spark: SparkSession, path: str) -> DataFrame:
+    """(model, row, mean, var, stay, next, skip) of mean<m>.txt, vari<m>.txt and tran<m>.txt, whose
+    rows hold three transition costs. A transition row more than there are states stands for the
+    entry: row 0 is then the entry, with null mean and variance, and states follow from row 1."""
+    rows = matrices(spark, path, "*.txt").withColumn("model", F.regexp_extract("file", r"^(?:mean|vari|tran)(\d+)\.txt$", 1).try_cast("int")).withColumn("kind", F.substring("file", 1, 4)).where("model is not null")
+    counts = rows.groupBy("model").agg((F.count_if(F.col("kind") == "tran") - F.count_if(F.col("kind") == "mean")).cast("int").alias("_entry"))
+    rows = rows.join(F.broadcast(counts), "model").withColumn("row", F.when(F.col("kind") == "tran", F.col("row")).otherwise(F.col("row") + F.greatest("_entry", F.lit(0))))
+    part = lambda k: F.max(F.when(F.col("kind") == k, F.col("values")))
+    got = rows.groupBy("model", "row").agg(part("mean").alias("mean"), part("vari").alias("var"), part("tran").alias("_t"))
+    return got.select("model", "row", "mean", "var", F.get("_t", F.lit(0)).alias("stay"), F.get("_t", F.lit(1)).alias("next"), F.get("_t", F.lit(2)).alias("skip"))
+
+
 def gmm_text(spark: SparkSession, path: str) -> DataFrame:
     """(model, state, g, alpha, mean, var) of <digit>gmm_mean<g>.txt, _var<g> and _weight files."""
     rows = matrices(spark, path, "*gmm_*.txt").withColumn("model", F.regexp_extract("file", r"^(\d+)gmm_", 1).try_cast("int")).where("model is not null")
@@ -90,6 +102,15 @@ def write_table(df: DataFrame, path: str, by: str = "model") -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def write_text(models: DataFrame, path: str) -> None:
+    """(model, state, mean, ...) as text, one folder a model and column, one state a line in order
+    of state: what hmm_text() and numeric text readers take apart."""
+    for c in [c for c in models.columns if c not in ("model", "state")]:
+        values = F.col(c) if dict(models.dtypes)[c].startswith("array") else F.array(c)
+        lines = models.groupBy("model").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("state", values.alias("v")))), lambda s: F.array_join(F.transform(s["v"], lambda x: x.cast("string")), " ")), "\n").alias("value"))
+        lines.withColumn("kind", F.lit(c)).write.mode("append").partitionBy("kind", "model").text(path)
+
+
 def random_labels(spark: SparkSession, n: int, length: int, seed: int = 100, first_from: int = 0) -> DataFrame:
     """(idx, digits): n reproducible digit strings; the first digit is at least first_from."""
     digit = lambda k, low: (F.pmod(F.xxhash64("id", F.lit(k), F.lit(seed)), F.lit(10 - low)) + low).cast("string")

@@ -432,3 +432,56 @@ def test_phone_numbers_are_decoded(spark):
     assert beam == got
     one = spark.createDataFrame([("x", say("7")), ("short", [[1.0]])], "utt string, frames array<array<double>>")
     assert {r.utt: r.word for r in decoding.recognise(one, models_).collect()} == {"x": "7", "short": None}
+
+
+def test_continuous_training(spark):
+    rng = np.random.default_rng(17)
+    center = {"1": (0, 4), "2": (10, 14), "sil": (-10, -16)}
+    say = lambda w: [[float(rng.normal(c, 0.4))] for c in center[w] for _ in range(rng.integers(3, 6))]
+    labels = ["12", "21", "112", "2", "1"] * 4
+    rows = [(f"u{i}", list(ws), [x for w in ["sil", *ws, "sil"] for x in say(w)]) for i, ws in enumerate(labels)]
+    seqs = spark.createDataFrame(rows, "utt string, label array<string>, frames array<array<double>>")
+    got = training.continuous_k_means(seqs, states=2, rounds=8, stop=1.0, penalty=1.0, silence="sil")
+    assert {w: [round(s[0][1][0]) for s in m.states] for w, m in got.models.items()} == {"1": [0, 4], "2": [10, 14], "sil": [-10, -16]}
+    aligned = training.align_labels(seqs, got.models, 1.0, "sil")
+    one = aligned.where("utt = 'u2'").groupBy("pos", "model").count().orderBy("pos").collect()
+    assert [(r.pos, r.model) for r in one] == [(0, "sil"), (1, "1"), (2, "1"), (3, "2"), (4, "sil")]
+    assert sum(r["count"] for r in one) == len(rows[2][2])
+    more = training.continuous_k_means(seqs, states=2, rounds=2, stop=1.0, penalty=1.0, silence="sil", start=got.models, doublings=1)
+    assert all(len(s) == 2 for s in more.models["1"].states)
+    assert training.align_labels(spark.createDataFrame([("x", ["9"], [[1.0]]), ("y", [], [[1.0]])], seqs.schema), got.models).count() == 0
+
+
+def test_greedy_training(spark):
+    rng = np.random.default_rng(19)
+    seqs = spark.createDataFrame([("a", f"a{i}", speech(rng, "a", 1)) for i in range(10)], "model string, utt string, frames array<array<double>>")
+    got = training.segmental_k_means(seqs, states=3, greedy=True)
+    assert [round(s[0][1][0]) for s in got.models["a"].states] == [0, 5, 10]
+    e = rng.uniform(0, 3, (9, 3))
+    row = spark.createDataFrame([(e.tolist(),)], "e array<array<double>>").select(trellis.greedy_fold(F.col("e"), [0.1] * 3, [0.2] * 3).alias("g")).first().g
+    cost, path = training.greedy_path(e, [0.1] * 3, [0.2] * 3)
+    assert (row.cost, row.state) == (pytest.approx(cost), path[-1])
+
+
+def test_skip_model_files_and_text_sink(spark, tmp_path):
+    d = tmp_path / "g"
+    d.mkdir()
+    np.savetxt(d / "mean7.txt", [[1.0, 2.0], [3.0, 4.0]])
+    np.savetxt(d / "vari7.txt", [[1.0, 1.0], [2.0, 2.0]])
+    np.savetxt(d / "tran7.txt", [[0.1, 0.2, 0.3], [0.4, 0.5, 0.6], [0.7, 0.8, 0.9]])
+    got = models.skip_text(spark, str(d)).orderBy("row").collect()
+    assert [(r["mean"], r.stay, r.skip) for r in got] == [(None, 0.1, 0.3), ([1.0, 2.0], 0.4, 0.6), ([3.0, 4.0], 0.7, 0.9)]
+    rows = spark.createDataFrame([(1, 1, [3.0, 4.0], 0.5), (1, 0, [1.0, 2.0], 0.25)], "model int, state int, mean array<double>, stay double")
+    models.write_text(rows, str(tmp_path / "out"))
+    back = spark.read.text(str(tmp_path / "out" / "kind=mean" / "model=1")).collect()
+    assert [r.value for r in back] == ["1.0 2.0", "3.0 4.0"]
+
+
+def test_table_functions(spark):
+    from quillspark.functions import tables
+
+    tables.register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM frames(array(1, 2, 3, 4, 5), 3, 2)").collect()] == [(0, [1.0, 2.0, 3.0]), (1, [3.0, 4.0, 5.0])]
+    assert spark.sql("""SELECT * FROM grammar_edges('Edge 0 1 "2""\nEdge 1 0\nx')""").collect() == [(0, 1, "2"), (1, 0, None)]
+    r = spark.sql("SELECT power_spectrum(array(1D, 0D, 0D, 0D)) AS p, power_spectrum(CAST(NULL AS ARRAY<DOUBLE>)) AS n").first()
+    assert r.p == [1.0, 1.0, 1.0] and r.n is None
