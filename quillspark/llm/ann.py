@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import least_hashed, stored
 
 #: Bounds of what is fitted on the driver: sample rows, and centroids. Both are the operator's parameters.
 SAMPLE_ROWS = 32768
@@ -203,7 +203,7 @@ def nearest(
     as a query by all its rows together. See clean_vectors() for the rows that take no part. Other
     columns are not read.
 
-    The centroids are fitted on the `sample_rows` rows of least hash; every row is indexed.
+    The centroids are fitted on the `sample_rows` rows whose ids have the least hash; every row is indexed.
     """
     spark = vectors.sparkSession
     rows = stored(clean_vectors(vectors, id_col, vec_col))
@@ -211,8 +211,8 @@ def nearest(
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
-    x = _matrix(sample.column("v"))
+    sample = least_hashed(rows, "vec_id", sample_rows, n).toArrow()
+    x = _matrix(sample.column("v")) if sample.num_rows else _matrix(rows.limit(1).toArrow().column("v"))
     n_lists = max(1, min(max_lists, n // list_rows, len(x) // 4 or 1))
     cents = Centroids.build(balanced_centroids(x, n_lists))
     shared = spark.sparkContext.broadcast(cents)  # at most 2 * max_lists points

@@ -119,6 +119,16 @@ class Matcher:
         return out
 
 
+_LAST: list = []
+
+
+def _matcher(items: list[tuple[int, str]], rate: float) -> Matcher:
+    """The matcher of a broadcast list, kept by a worker for its next tasks."""
+    if not (_LAST and _LAST[0] is items and _LAST[1] == rate):
+        _LAST[:] = [items, rate, Matcher(items, rate)]
+    return _LAST[2]
+
+
 def _original(text: str, plain: str, start: int, end: int) -> tuple[int, int]:
     """Where the words of the normal text's passage stand in the text itself."""
     first, last = plain.count(" ", 0, start), plain.count(" ", 0, end)
@@ -160,7 +170,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, id_col: str
         shared = spark.sparkContext.broadcast(items)  # at most about BLOCK_CHARS letters
 
         def run(batches, shared=shared):
-            matcher = Matcher(shared.value, rate)
+            matcher = _matcher(shared.value, rate)
             for b in batches:
                 rows = []
                 for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -184,7 +194,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, text_col: s
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
-            matcher = Matcher(shared.value, rate)
+            matcher = _matcher(shared.value, rate)
             for b in batches:
                 yield b.filter(pa.array([not matcher.find(normal(t)) for t in b.column(i).to_pylist()], pa.bool_()))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_batches
+from .common import least_hashed, stored, text_batches
 
 _CODES = 1 << 16
 #: Rows with a known language that the likelihoods are fitted on, at most; and languages, at most.
@@ -85,13 +85,13 @@ class Likelihoods:
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Likelihoods:
-    """From labelled (id, text, lang): the `rows` rows of least hash, their whole texts.
+    """From labelled (id, text, lang): the rows of the `rows` ids of least hash, their whole texts.
 
     Counts by language and trigram are summed on the executors: 65,536 a language at most.
     """
     known = labelled.where("lang is not null and id is not null")
-    pick = known.select("id", F.lower("lang").alias("l")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    pick = stored(pick.distinct())
+    ids = known.select("id").distinct()
+    pick = stored(least_hashed(ids, "id", rows, ids.count()))
     text_batches(labelled.sparkSession)
 
     def count(batches):
@@ -103,7 +103,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Likelihoods:
                 at = np.flatnonzero(s)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(s[at].astype(np.int64))], ["lang", "code", "n"])
 
-    texts = known.select("id", "text", F.lower("lang").alias("lang")).join(F.broadcast(pick.select("id").distinct()), "id", "left_semi")
+    texts = known.select("id", "text", F.lower("lang").alias("lang")).join(F.broadcast(pick), "id", "left_semi")
     got = texts.select("lang", "text").mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     names = got.column("lang").to_pylist()
     languages = sorted(set(names))[:MAX_LANGUAGES]
