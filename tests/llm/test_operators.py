@@ -490,9 +490,12 @@ def test_pii_base_matches_brute_force(spark, sf_dir):
 def test_pii_learns_and_redacts(spark):
     sure = [(i, f"Please call +1 (555) 555-{i:04d} or write to user{i}@mail.example.com today", "a") for i in range(200)]
     loose = [(500, "phone: (555) 123-4567 please", "a"), (501, "order number 555 123 45678", "a"), (502, None, "a"), (None, "mail bob [at] site [dot] com now", "a")]
-    docs = docs_of(spark, sure + loose)
+    near = [(600, "so +1 (269) 555-3296 4111111111111111 at 10.1.2.3 ends", "a")]  # one run to the strict patterns
+    assert [k for k, _, _ in slow_pii(near[0][1])] == ["ip"]
+    docs = docs_of(spark, sure + loose + near)
     rows = {r.doc_id: r for r in pii.personal_data(docs).collect()}
-    assert len(rows) == 204 and [s.kind for s in rows[0].spans] == ["email", "phone"]
+    assert [(s.kind, s.start, s.end) for s in rows[600].spans] == [("ip", 41, 49), ("card", 21, 37), ("phone", 3, 20)]
+    assert len(rows) == 205 and [s.kind for s in rows[0].spans] == ["email", "phone"]
     assert [(s.kind, s.base) for s in rows[500].spans] == [("phone", False)] and rows[501].spans == [] and rows[502].spans == []
     clean = {r.doc_id: r for r in pii.redact(docs).collect()}
     assert clean[0].text == "Please call [PHONE] or write to [EMAIL] today" and clean[502].text is None and clean[0].score == 0.5
