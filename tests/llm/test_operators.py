@@ -576,6 +576,11 @@ def test_pipeline_stages(spark, sf_dir):
         docs = out
         sizes.append(docs.count())
     assert sizes[0] > sizes[1] > sizes[2] > sizes[3] == sizes[4] == sizes[5] > sizes[0] / 2
+    odd = docs_of(spark, [(1, None, None), (None, "a b", "s"), (2, "a b", "s"), (3, "a b", "s"), (3, "a b", "s"), (4, "mail me@here.org", None)])
+    odd = odd.withColumns({"gone_id": F.lit(2), "taken": F.lit("t"), "doc": F.lit(0), "fp": F.lit(1.5)})
+    for _, stage in corpus_pipeline.STAGES:
+        odd = common.stored(stage(spark, odd, sf_dir))
+    assert sorted((r.doc_id or 0, r.size) for r in odd.collect()) == [(0, 2), (1, 0), (2, 2), (4, 2)]
     empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         empty = common.stored(stage(spark, empty, sf_dir))
