@@ -216,6 +216,58 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def test_similar_documents(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    texts = {}
+    for g in range(12):
+        base = [rng.choice(words) for _ in range(300)]
+        texts[100 * g] = " ".join(base)
+        for k in range(1, 8):
+            own = list(base)
+            for _ in range(k if k < 6 else 40):
+                own[rng.randrange(300)] = rng.choice(words)
+            texts[100 * g + k] = " ".join(own)
+    docs = docs_of(spark, [(i, t, "s") for i, t in texts.items()])
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    for i in texts:
+        for j in texts:
+            if i < j:
+                s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                if s >= 0.86:
+                    assert got[i] == got[j]
+    for i, c in got.items():
+        others = [j for j in got if j != i and got[j] == c]
+        assert not others or max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in others) >= 0.7
+    a, b = texts[0], texts[2]
+    est = simhash.sketch_similarity(simhash.sketch(a)[1], simhash.sketch(b)[1])
+    assert abs(est - len(sets[0] & sets[2]) / len(sets[0] | sets[2])) < 0.1
+
+
+def test_similar_documents_edges(spark):
+    rows = [(5, None, "a"), (3, "", "a"), (None, "", "a"), (7, "one two", "b"), (7, "one two", "b"), (8, "ONE two", "b"), (9, "one three", "b"), (11, "w " * 100000, "c"), (12, "w " * 100000, "c")]
+    got = Counter((r.doc_id, r.component_id) for r in simhash.similar_documents(docs_of(spark, rows)).collect())
+    assert got == Counter([(5, 3), (3, 3), (None, None), (7, 7), (7, 7), (8, 7), (9, 9), (11, 11), (12, 11)])
+    assert simhash.similar_documents(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_nearest_in_the_tree():
+    rng = random.Random(1)
+    keys, tree = [rng.getrandbits(14) for _ in range(200)], simhash.BKTree()
+    for k in keys:
+        tree.add(k)
+    for _ in range(60):
+        q = rng.getrandbits(14)
+        want = min((((k ^ q).bit_count(), i) for i, k in enumerate(keys) if (k ^ q).bit_count() <= 4), default=None)
+        assert tree.nearest(q, 4) == (want and (want[1], want[0]))
+
+
 def test_bk_tree():
     rng = random.Random(0)
     keys, tree = [rng.getrandbits(16) for _ in range(300)], simhash.BKTree()
@@ -570,7 +622,7 @@ def test_pipeline_stages(spark, sf_dir):
         if name == "decontamination":
             assert decontaminate.leaks(out, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).count() == 0
         if name == "near_duplicates":
-            assert simhash.near_duplicates(out).where("doc_id <> component_id").count() == 0
+            assert simhash.similar_documents(out).where("doc_id <> component_id").count() == 0
         if name == "personal_data":
             assert not any(slow_pii(r.text) for r in out.collect())
         docs = out
