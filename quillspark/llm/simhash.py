@@ -281,13 +281,11 @@ def sketch(text: str | None, shingle: int = 5) -> tuple[int, bytes]:
     if not parts:
         return 0, bytes(BINS)
     h = xxhash.xxh64_intdigest
-    counts, n = np.zeros(64, np.int64), 0
-    for at in range(0, len(parts), _CHUNK):
-        own = set(parts[at : at + _CHUNK]) if len(parts) <= _CHUNK else parts[at : at + _CHUNK]
-        bits = np.array([h(w, 42) for w in own], dtype="<u8").view(np.uint8).reshape(-1, 8)
+    words, counts = list(set(parts)), np.zeros(64, np.int64)
+    for at in range(0, len(words), _CHUNK):
+        bits = np.array([h(w, 42) for w in words[at : at + _CHUNK]], dtype="<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(own)
-    fp = int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    fp = int(np.packbits(counts * 2 > len(words), bitorder="little").view("<u8")[0])
     joined = b" ".join(parts)
     length = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(length + 1) - 1
