@@ -169,22 +169,6 @@ def _bucket_links(fps: list[int], side: list[bool], cross: bool, radius: int) ->
     return out
 
 
-def _nearest_links(fps: list[int], side: list[bool], cross: bool, radius: int) -> list[tuple[int, int]]:
-    """Each member with its nearest earlier one inside a bucket, or its nearest in the other piece."""
-    tree, members, out = BKTree(), [], []
-    order = [i for i in range(len(fps)) if side[i]] if cross else range(len(fps))
-    for i in order:
-        if not cross and (found := tree.nearest(fps[i], radius)):
-            out.append((i, members[found[0]]))
-        tree.add(fps[i])
-        members.append(i)
-    if cross:
-        for i in range(len(fps)):
-            if not side[i] and (found := tree.nearest(fps[i], radius)):
-                out.append((i, members[found[0]]))
-    return out
-
-
 def slice_choices(n: int, radius: int, bucket: float = 256, bits: int = 64) -> list[list[tuple[int, int]]]:
     """Choices of slices, each a list of (first bit, width), such that n random fingerprints fill a
     bucket with about `bucket` members at most."""
@@ -196,11 +180,10 @@ def slice_choices(n: int, radius: int, bucket: float = 256, bits: int = 64) -> l
     return [list(c) for c in combinations(slices, m - radius)]
 
 
-def links(reps: DataFrame, radius: int = 3, piece: int = 2048, shard_rows: int = 16384, bucket: float = 256, nearest: bool = False) -> DataFrame:
+def links(reps: DataFrame, radius: int = 3, piece: int = 2048, shard_rows: int = 16384, bucket: float = 256) -> DataFrame:
     """Links (u, v) between the nodes of reps (fp long, rep long), whose fp are distinct.
 
-    They connect exactly what lies within the radius: a forest a bucket, not all pairs. nearest: they
-    are each member's link to its nearest earlier one in every bucket, for a check that follows.
+    They connect exactly what lies within the radius: a forest a bucket, not all pairs.
     """
 
     def value(choice: list[tuple[int, int]]):
@@ -240,7 +223,7 @@ def links(reps: DataFrame, radius: int = 3, piece: int = 2048, shard_rows: int =
                 cross = c["a"][s] != c["b"][s]
                 rep = c["rep"][s:e]
                 side = (c["own"][s:e] == c["a"][s]).tolist()
-                for i, j in (_nearest_links if nearest else _bucket_links)(c["fp"][s:e].view(np.uint64).tolist(), side, bool(cross), radius):
+                for i, j in _bucket_links(c["fp"][s:e].view(np.uint64).tolist(), side, bool(cross), radius):
                     us.append(int(rep[i]))
                     vs.append(int(rep[j]))
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
@@ -272,6 +255,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Bins of a sketch: one byte each, the least hash among the shingles that fall into it; 0: none.
 BINS = 256
+#: Buckets of so many members or fewer are checked many at a time.
+_SMALL = 8
 
 
 def sketch(text: str | None, shingle: int = 5) -> tuple[int, bytes]:
@@ -307,16 +292,99 @@ def sketch_similarity(a: bytes, b: bytes) -> float:
     return 1.0 if not some else int(((x == y) & (x > 0)).sum()) / some
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, radius: int = 7, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _similar_pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """sketch_similarity() of the rows of x with those of y, or with the one row y."""
+    some = np.count_nonzero((x > 0) | (y > 0), axis=1)
+    return np.count_nonzero((x == y) & (x > 0), axis=1) / np.maximum(some, 1)
+
+
+def _sketch_forest(s: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A forest that connects exactly the rows of s whose similarity links them: every row reached
+    is compared with all that no link has reached yet."""
+    left, rest, out = np.arange(1, len(s)), s[1:], []
+    todo = [0]
+    while len(left):
+        if not todo:
+            todo, left, rest = [int(left[0])], left[1:], rest[1:]
+            continue
+        i = todo.pop()
+        hit = _similar_pairs(rest, s[i]) >= similarity
+        if hit.any():
+            found = left[hit].tolist()
+            out += [(i, j) for j in found]
+            todo += found
+            left, rest = left[~hit], rest[~hit]
+    return out
+
+
+def sketch_links(reps: DataFrame, similarity: float, piece: int = 2048, shard_rows: int = 16384) -> DataFrame:
+    """Links (u, v) between the nodes of reps (rep long, sig long, sketch binary) that connect
+    exactly those whose sketches agree in the share `similarity` of their bins.
+
+    The bins stand in bands so narrow that sketches which agree in that share cannot differ in every
+    band where one of them has a bin: of s bins in use at most s * (1 - similarity) differ, and they
+    lie in s / width bands at least. So every sketch goes to one bucket a band, and in a bucket
+    all pairs are checked but those already linked. Large buckets are cut into pieces as in links(),
+    each pair of pieces a task's.
+    """
+    width = 1
+    while 2 * width * (1 - similarity) < 1 - 1e-9 and width < 8:
+        width *= 2
+
+    def band(batches):
+        for b in batches:
+            own = np.frombuffer(b"".join(b.column("sketch").to_pylist()), f"<u{width}").reshape(b.num_rows, -1)
+            r, c = np.nonzero(own)
+            value = own[r, c].astype(np.uint64).view(np.int64)
+            at = pa.array(r)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(value), b.column("rep").take(at), b.column("sig").take(at)], ["band", "value", "rep", "sig"])
+
+    keyed = reps.select("rep", "sig", "sketch").mapInArrow(band, "band int, value long, rep long, sig long")
+    sizes = keyed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = stored(sizes.select("band", "value", "n", F.ceil(F.col("n") / piece).alias("pieces")))
+    total = sizes.agg(F.sum(F.col("n") * F.col("pieces"))).first()[0] or 0
+    n_shards = max(1, -(-int(total) // shard_rows))
+    few = sizes.count() <= _MOST_BROADCAST  # else the engine joins by a shuffle
+    rows = keyed.join(F.broadcast(sizes) if few else sizes.hint("shuffle_hash"), ["band", "value"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "sig"), F.col("pieces")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).where("pieces = 1 or own <> other")
+    rows = rows.select("band", "value", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "rep", "sig")
+    rows = rows.join(reps.select("rep", "sig", "sketch"), ["rep", "sig"])
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("band", "value", "a", "b"), F.lit(n_shards)))
+
+    def run(t: pa.Table) -> pa.Table:
+        c = {k: t.column(k).to_numpy() for k in ("band", "value", "a", "b", "rep")}
+        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        order = np.lexsort((c["rep"], c["b"], c["a"], c["value"], c["band"]))
+        c, s = {k: v[order] for k, v in c.items()}, s[order]
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([c[k][1:] != c[k][:-1] for k in ("band", "value", "a", "b")])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(order)))
+        us, vs = [], []
+        for n in range(2, _SMALL + 1):  # small buckets: all pairs at once
+            at = starts[sizes == n]
+            for i, j in combinations(range(n), 2):
+                ok = _similar_pairs(s[at + i], s[at + j]) >= similarity
+                us.append(c["rep"][at[ok] + i])
+                vs.append(c["rep"][at[ok] + j])
+        for at, n in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist()):
+            found = np.array(_sketch_forest(s[at : at + n], similarity), np.int64).reshape(-1, 2) + at
+            us.append(c["rep"][found[:, 0]])
+            vs.append(c["rep"][found[:, 1]])
+        return pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
+
+    return rows.groupBy("shard").applyInArrow(run, "u long, v long")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, component_id long): groups of documents that share `similarity` of their
     word shingles.
 
-    A change of a word alters few bits of a SimHash over a text's distinct words, but `shingle` of
-    its shingles; so candidates come from that SimHash, through the same BK-trees with a wider
-    radius, each document with the nearest of smaller id in each of its buckets. A link holds where
-    sketches of the word shingles, one least hash in each of 256 bins, agree in that share of bins
-    (standard deviation 0.025 at 0.8). Nulls, empty texts, repeats and other columns are as in
-    near_duplicates(); texts of the same sketch and SimHash are one text.
+    A link holds where sketches of the word shingles, one least hash in each of 256 bins, agree in
+    that share of bins (standard deviation 0.025 at 0.8). All pairs for which it holds are
+    found, wherever in the texts they differ: see sketch_links(). Nulls, empty texts, repeats and
+    other columns are as in near_duplicates(); texts of the same sketch and SimHash are one text.
     """
     text_batches(docs.sparkSession)
 
@@ -329,17 +397,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, radius: int = 7,
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(own.mapInArrow(run, "doc_id long, fp long, sig long, sketch binary"))
-    reps = stored(rows.where("doc_id is not null").groupBy("fp", "sig").agg(F.min("doc_id").alias("rep")))
-    found = stored(links(reps, radius, bucket=64, nearest=True).distinct())
-    nodes = found.select("u").union(found.select("v")).distinct()
-    sketches = stored(rows.select("doc_id", "sketch").join(nodes.hint("shuffle_hash"), F.col("doc_id") == F.col("u"), "left_semi").groupBy("doc_id").agg(F.min("sketch").alias("sketch")))
-    pairs = found.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b")), "v")
-
-    def hold(batches):
-        for b in batches:
-            yield b.select(["u", "v"]).filter(pa.array([sketch_similarity(x, y) >= similarity for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())], pa.bool_()))
-
-    label = components(pairs.mapInArrow(hold, "u long, v long"))
+    # Texts of one sig have one sketch.
+    reps = stored(rows.where("doc_id is not null").groupBy("fp", "sig").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
+    label = components(sketch_links(reps, similarity))
     marked = reps.join(label, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.col("sig").alias("g"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "fp", "sig").join(marked, (F.col("fp") == F.col("f")) & (F.col("sig") == F.col("g")), "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

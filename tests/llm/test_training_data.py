@@ -257,6 +257,31 @@ def test_similar_documents_edges(spark):
     assert simhash.similar_documents(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_similar_documents_joins_many_edited_copies(spark):
+    """Copies edited each apart from one base differ among themselves, and hang together by it."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(300)]
+    texts = {2000: " ".join(base)}
+    for k in range(1000):
+        own = list(base)
+        for at in rng.sample(range(300), 5):
+            own[at] = rng.choice(words)
+        texts[k] = " ".join(own)
+    ids = sorted(texts)
+    s = np.array([np.frombuffer(simhash.sketch(texts[i])[1], np.uint8) for i in ids])
+    parent = list(range(len(ids)))
+    for i in range(len(ids)):
+        agree, some = ((s == s[i]) & (s > 0)).sum(1), ((s > 0) | (s[i] > 0)).sum(1)
+        for j in np.flatnonzero(agree >= 0.8 * some):
+            simhash._join(parent, i, int(j))
+    for i in range(len(ids)):
+        parent[i] = parent[parent[i]]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, [(i, t, "s") for i, t in texts.items()])).collect()}
+    assert got == {i: ids[parent[k]] for k, i in enumerate(ids)}
+    assert sum(c == 0 for c in got.values()) >= 980
+
+
 def test_nearest_in_the_tree():
     rng = random.Random(1)
     keys, tree = [rng.getrandbits(14) for _ in range(200)], simhash.BKTree()
