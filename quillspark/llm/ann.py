@@ -171,7 +171,7 @@ def clean_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
     dim = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (dim["n"] if dim else 0))
+    return rows.where(F.size("v") == (dim["n"] if dim else 0)).dropDuplicates(["vec_id", "v"])
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -286,15 +286,20 @@ def nearest(
                 near_ids, near_d = [], []
                 for q in np.unique(qs[mine], axis=0):
                     with_q = mine[(qs[mine] == q).all(1)]
-                    lo, hi = np.searchsorted(own, qlist[with_q]), np.searchsorted(own, qlist[with_q], "right")
+                    mine_lists = np.unique(qlist[with_q])
+                    lo, hi = np.searchsorted(own, mine_lists), np.searchsorted(own, mine_lists, "right")
                     cand = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
                     cand = cand[ids[cand] != qids[mine[0]]]
                     if not len(cand):
                         continue
                     rough = sq[cand] - 2 * (vec[cand] @ q) + q @ q
-                    if len(cand) > k * replicas:  # copies of a vector in several lists count up to `replicas` times
-                        last = np.partition(rough, k * replicas - 1)[k * replicas - 1]
-                        cand = cand[rough <= last + 1e-9 * (q @ q + abs(last) + 1)]
+                    most = k * replicas
+                    while most < len(cand):  # an id stands once for each of its vectors and their lists
+                        last = np.partition(rough, most - 1)[most - 1]
+                        if len(np.unique(ids[cand[rough <= last]])) >= k:
+                            cand = cand[rough <= last + 1e-9 * (q @ q + abs(last) + 1)]
+                            break
+                        most *= 4
                     near_ids.append(ids[cand])
                     near_d.append(np.sqrt(((vec[cand] - q) ** 2).sum(1)))
                 if near_ids:

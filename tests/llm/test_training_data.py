@@ -59,6 +59,19 @@ def test_nearest_small_is_exact(spark):
     assert got[100] == want[100] == [(0.0, 101), (0.0, 102), (0.0, 103), (0.0, 104), (0.0, 105)]
 
 
+def test_nearest_with_repeats(spark):
+    """Rows that repeat, and ids with many vectors, take no place from other ids."""
+    rng = random.Random(4)
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)]
+    df = spark.createDataFrame(rows + [(1, [1.0, 1.0])] * 100 + [(2, [2.0, 1.0 + rng.random() / 100]) for _ in range(100)], "vec_id long, embedding array<double>")
+    assert ann.clean_vectors(df, "vec_id", "embedding").count() == 129
+    asked = spark.createDataFrame([(100, [0.5, 1.0])] * 10 + [(101, [3.2, 1.0])], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, asked, k=10, list_rows=1000).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {100: list(range(1, 11)), 101: [3, 4, 2, 5, 1, 6, 7, 8, 9, 10]}
+
+
 def test_nearest_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in ann.nearest(df, df).orderBy("query_id").collect()] == [(0, 1, 1, math.sqrt(2)), (1, 1, 0, math.sqrt(2))]
