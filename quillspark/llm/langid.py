@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import least_hashed, stored, text_batches
 
 _CODES = 1 << 16
-#: Rows with a known language that the likelihoods are fitted on, at most; and languages, at most.
+#: Ids with a known language that the likelihoods are fitted on, at most; of each language about so
+#: many or all that it has, whatever its share; and languages, above which fit() raises.
 TRAIN_ROWS = 8000
+LANGUAGE_ROWS = 200
 MAX_LANGUAGES = 64
 #: Trigrams of a text are not independent: their summed log likelihood counts by this much.
 TEMPER = 0.25
@@ -84,14 +86,24 @@ class Likelihoods:
         return total * TEMPER
 
 
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Likelihoods:
-    """From labelled (id, text, lang): the rows of the `rows` ids of least hash, their whole texts.
+def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, max_languages: int = MAX_LANGUAGES) -> Likelihoods:
+    """From labelled (id, text, lang): the rows of the `rows` ids of least hash, their whole texts,
+    and, so that no language is missed, of about LANGUAGE_ROWS ids of least hash in each language.
 
-    Counts by language and trigram are summed on the executors: 65,536 a language at most.
+    More than `max_languages` languages raise a ValueError. Counts by language and trigram are summed
+    on the executors: 65,536 a language at most.
     """
     known = labelled.where("lang is not null and id is not null")
-    ids = known.select("id").distinct()
-    pick = stored(least_hashed(ids, "id", rows, ids.count()))
+    named = stored(known.select("id", F.lower("lang").alias("lang")).distinct())
+    sizes = named.groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages are named; raise max_languages to tell them apart")
+    ids = named.select("id").distinct()
+    least = F.lit(0).cast("long")
+    for r in sizes:
+        least = F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, LANGUAGE_ROWS / r["count"]) * (1 << 40)))).otherwise(least)
+    some = named.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < least).select("id")
+    pick = stored(least_hashed(ids, "id", rows, ids.count()).union(some).distinct())
     text_batches(labelled.sparkSession)
 
     def count(batches):
@@ -106,12 +118,11 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Likelihoods:
     texts = known.select("id", "text", F.lower("lang").alias("lang")).join(F.broadcast(pick), "id", "left_semi")
     got = texts.select("lang", "text").mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     names = got.column("lang").to_pylist()
-    languages = sorted(set(names))[:MAX_LANGUAGES]
+    languages = sorted(set(names))
     table = np.full((_CODES, max(1, len(languages))), 0.1)
     place = {x: i for i, x in enumerate(languages)}
     for lang, code, n in zip(names, got.column("code").to_pylist(), got.column("n").to_pylist()):
-        if lang in place:
-            table[code, place[lang]] += n
+        table[code, place[lang]] += n
     return Likelihoods(languages or ["und"], np.log(table / table.sum(0)))
 
 
@@ -193,13 +204,13 @@ def fuse(seen: DataFrame, languages: list[str], strength: float = 20.0) -> DataF
     return out.select(*keys, best(F.col("post")).alias("lang"), F.array_max("post").alias("confidence"), best(F.col("p")).alias("text_lang"), F.col("declared").alias("declared_lang"))
 
 
-def identify(rows: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS, strength: float = 20.0) -> DataFrame:
+def identify(rows: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS, strength: float = 20.0, max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """Every row of rows with lang, confidence (the posterior), text_lang and declared_lang.
 
     rows: any key columns, body string, is_html boolean, url string. labelled: id, text, lang; the
-    languages are those it names, and a fit without rows knows one, "und". Null or empty bodies rest
+    languages are those it names, `max_languages` at most (more raise a ValueError), and a fit without rows knows one, "und". Null or empty bodies rest
     on the declared language and the priors; null urls have no host and take the whole table's
     shares; ties go to the language first by name. Key columns must not be named like a result.
     """
-    model = fit(labelled, train_rows)
+    model = fit(labelled, train_rows, max_languages)
     return fuse(evidence(rows, model), model.languages, strength)

@@ -439,6 +439,16 @@ def test_language_evidence_and_edges(spark):
     assert {r.lang for r in langid.identify(df, labelled.limit(0)).collect()} == {"und"}
 
 
+def test_every_language_is_fitted(spark):
+    rows = [(i, f"the words of row {i}", "en") for i in range(500)] + [(1000 + i, "bu satır türkçe", "TR") for i in range(3)] + [(2000 + i, f"text {i}", f"x{i:02d}") for i in range(68)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    with pytest.raises(ValueError, match="64 languages"):
+        langid.fit(df)
+    want = sorted({lang.lower() for _, _, lang in rows})
+    assert langid.fit(df, 10, max_languages=70).languages == want
+    assert langid.fit(df.where("id < 2000"), 10).languages == ["en", "tr"]
+
+
 def test_visible_text():
     assert "".join(langid.visible("a<p>b</p><script>x<y</script>c<!-- d -->e<STYLE>q</STYLE >&amp;f<b").split()) == "abce&f"
     assert langid.visible("<script>never closed") .strip() == "" and langid.visible(None) == ""
