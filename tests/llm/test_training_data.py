@@ -295,6 +295,21 @@ def test_similar_documents_joins_many_edited_copies(spark):
     assert sum(c == 0 for c in got.values()) >= 980
 
 
+def test_similar_documents_with_blocks(spark):
+    """Blocks that are appended or cut, the rest in place."""
+    rng, rows = random.Random(6), []
+    for n in (120, 300, 1000):
+        for s in (0.88, 0.9, 0.95):
+            for _ in range(10):
+                words = [f"w{rng.getrandbits(40)}" for _ in range(n)]
+                longer = words + [f"w{rng.getrandbits(40)}" for _ in range(int((n - 4) / s) - (n - 4))]
+                shorter = words[: 5 + int((n - 4) * s)]
+                at = 10 * len(rows)
+                rows += [(at, " ".join(words), "s"), (at + 1, " ".join(longer), "s"), (at + 2, " ".join(shorter), "s")]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, rows)).collect()}
+    assert got == {i: i // 10 * 10 for i, _, _ in rows}
+
+
 def test_nearest_in_the_tree():
     rng = random.Random(1)
     keys, tree = [rng.getrandbits(14) for _ in range(200)], simhash.BKTree()
