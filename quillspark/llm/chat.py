@@ -89,7 +89,8 @@ def topological(nodes_edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
 
     Kahn's rounds: a message is placed once all before it are. depth is the longest way to it, ready
     the latest turn on any way to it; messages on or behind a cycle are never placed, and keep their
-    turn. Sorting by (ready, depth, turn) puts every placed message behind what it needs.
+    turn. Sorting by (ready, depth, turn) puts every placed message behind what it needs. Chains
+    deeper than `max_depth` raise a RuntimeError.
     """
     edges = stored(nodes_edges.distinct())
     ends = edges.select("conv", F.col("a_node").alias("node"), F.col("a_turn").alias("turn")).union(edges.select("conv", F.col("b_node").alias("node"), F.col("b_turn").alias("turn"))).distinct()
@@ -106,6 +107,9 @@ def topological(nodes_edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
         same = F.col("s.conv").eqNullSafe(F.col("o.conv")) & (F.col("s.node") == F.col("o.node")) & F.col("s.turn").eqNullSafe(F.col("o.turn"))
         state = stored(rest.alias("s").join(out.alias("o"), same, "left").select("s.conv", "s.node", "s.turn", F.greatest("ready", "r").alias("ready"), F.greatest("depth", "d").alias("depth")))
         left = stored(left.alias("e").join(free.alias("s"), key("s", "e", "a"), "left_anti"))
+    else:
+        if not state.alias("s").join(left.alias("e"), key("s", "e", "b"), "left_anti").isEmpty():
+            raise RuntimeError(f"messages depend on each other more than {max_depth} deep")
     placed = state.limit(0) if done is None else done
     stuck = state if done is None else state.alias("s").join(done.alias("o"), F.col("s.conv").eqNullSafe(F.col("o.conv")) & (F.col("s.node") == F.col("o.node")) & F.col("s.turn").eqNullSafe(F.col("o.turn")), "left_anti")
     return placed.withColumn("cyclic", F.lit(False)).union(stuck.select("conv", "node", "turn", F.col("turn").alias("ready"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("cyclic")))

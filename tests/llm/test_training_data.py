@@ -421,6 +421,13 @@ def test_chat_topological_order(spark):
     assert chat.format_messages(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_deep_chain_is_no_cycle(spark):
+    chain = spark.createDataFrame([(1, i, i, i + 1, i + 1) for i in range(3)], "conv long, a_node long, a_turn long, b_node long, b_turn long")
+    with pytest.raises(RuntimeError, match="3 deep"):
+        chat.topological(chain, max_depth=3)
+    assert sorted((r.node, r.depth, r.cyclic) for r in chat.topological(chain, max_depth=4).collect()) == [(i, i, False) for i in range(4)]
+
+
 def test_chat_plan_has_no_python(spark, sf_dir):
     assert "Python" not in queries.op5_chat(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in queries.op10_mixture(spark, sf_dir)._jdf.queryExecution().toString()
