@@ -30,7 +30,8 @@ MAX_LANGUAGES = 64
 TEMPER = 0.25
 
 _CLEAN = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
-_LANG = re.compile(r"<html\b[^>]{0,500}?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
+_HTML = re.compile(r"<html\b", re.IGNORECASE)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
 _END = {k: re.compile(f"</{k}", re.IGNORECASE) for k in ("script", "style")}
 _TAG = re.compile(r"(script|style)\b", re.IGNORECASE)
 
@@ -61,8 +62,15 @@ def visible(html: str | None) -> str:
 
 
 def declared(html: str | None) -> str | None:
-    m = _LANG.search(html or "")
-    return m[1].lower() if m else None
+    """The language of the first <html tag that names one; each tag is read once, up to its >."""
+    html, at = html or "", 0
+    while tag := _HTML.search(html, at):
+        at = html.find(">", tag.end())
+        at = at if at >= 0 else len(html)
+        m = _LANG.search(html, tag.end(), at)
+        if m:
+            return m[1].lower()
+    return None
 
 
 def trigrams(text: str | None) -> np.ndarray:

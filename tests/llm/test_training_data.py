@@ -471,6 +471,12 @@ def test_every_language_is_fitted(spark):
     assert langid.fit(df.where("id < 2000"), 10).languages == ["en", "tr"]
 
 
+def test_declared_language_behind_long_attributes():
+    assert langid.declared(f'<html class="{"c " * 5000}" lang="tr">') == "tr"
+    assert langid.declared('<html><p lang="de"><HTML\nLang = EN-gb>') == "en"
+    assert langid.declared("<html " * 50000) is None
+
+
 def test_visible_text():
     assert "".join(langid.visible("a<p>b</p><script>x<y</script>c<!-- d -->e<STYLE>q</STYLE >&amp;f<b").split()) == "abce&f"
     assert langid.visible("<script>never closed") .strip() == "" and langid.visible(None) == ""
