@@ -1,19 +1,17 @@
-"""What the operators of this package share: stored tables, bounded Arrow batches, components."""
+"""What the operators of this package share: stored tables, row keys, samples, components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in one Arrow batch of texts. Texts can be long, so batches are short.
-TEXT_ROWS = 512
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
@@ -44,11 +42,43 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Texts are read, and go to Python, in short batches, so that one of long texts fits in memory."""
-    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
-        if int(spark.conf.get(key)) > TEXT_ROWS:
-            spark.conf.set(key, str(TEXT_ROWS))
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with two more columns that tell its rows apart, whatever they hold, and their names: a
+    hash of the row's file, and its place there. Rows that are not read from Parquet are stored first.
+    """
+    names = [fresh(docs, "row_file"), fresh(docs, "row_at")]
+    for rows in (docs, None):
+        rows = stored(docs) if rows is None else rows
+        try:
+            meta = rows.metadataColumn("_metadata")
+            out = rows.select(*[F.col(f"`{c}`") for c in rows.columns], F.xxhash64(meta["file_path"]).alias(names[0]), meta["row_index"].alias(names[1]))
+            out.schema  # resolves the columns
+            return out, names
+        except AnalysisException:
+            continue
+    raise ValueError("the stored rows have no place in a file")
+
+
+#: Row keys, of 16 bytes each, that are broadcast; more are joined by a shuffle of the rows.
+MOST_KEYS = 1_000_000
+
+
+def by_key(rows: DataFrame, names: list[str], keys: DataFrame, how: str) -> DataFrame:
+    """rows (of keyed()) that are among keys, a stored table of row keys ("left_semi"), or not among
+    them ("left_anti"). Texts stay where they are read while the keys fit in a broadcast of
+    MOST_KEYS; beyond that they stream past hash tables, each once, and are never sorted."""
+    few = keys.count() <= MOST_KEYS
+    keys = keys.toDF("key_file", "key_at").alias("keys")
+    on = (F.col(f"rows.{names[0]}") == F.col("keys.key_file")) & (F.col(f"rows.{names[1]}") == F.col("keys.key_at"))
+    return rows.alias("rows").join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), on, how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

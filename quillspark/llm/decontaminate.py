@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
 
 _WORDS = re.compile(r"\w+")
 
@@ -162,7 +161,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, id_col: str
     nothing. Rows with a null or repeated doc_id are read like any other. No other column is read.
     """
     spark = docs.sparkSession
-    text_batches(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, distance int, start int, end int"
     out = None
@@ -188,7 +186,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, id_col: str
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark item within its budget, with all their columns."""
     spark = docs.sparkSession
-    text_batches(spark)
     i = docs.columns.index(text_col)
     for items in _item_blocks(benchmark, item_id_col, item_text_col):
         shared = spark.sparkContext.broadcast(items)

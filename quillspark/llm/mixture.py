@@ -1,26 +1,28 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations alone.
 
-Each source's documents stand in a shuffled queue, repeated as often as the cap allows. A queued
-copy's virtual finish time is the words of its source up to and with it, divided by the source's
-target, so that all sources advance in step. Copies are range-sorted by finish time and taken up to the
-total budget; a copy that its source's target falls into gives the words before it.
-
-The running sum inside a source is split: documents lie in buckets by the leading digits of their
-shuffle key, buckets are summed first, and only a bucket is ordered in one task, so a source with a
-third of all rows spreads over all its buckets.
+Each source's documents stand in a shuffled queue, repeated as often as the cap allows, up to the
+source's target; the copy that the target falls into gives the words before it. A queued copy's
+virtual finish time is the words of its source up to and with it, divided by the source's target, so
+that all sources advance in step. All copies are range-partitioned by finish time, summed up in that
+order, and truncated where the total budget ends, inside a copy if need be.
+
+Running sums are split, inside a source as over all copies: parts (by the leading digits of the
+shuffle key, or by range of finish time) are summed first, and only a part is ordered in one task, so
+that a source with a third of all rows spreads over many.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, text_batches
+from .common import fresh, keyed, stored
 
-#: Leading hexadecimal digits of the shuffle key that name a bucket: 4096 buckets a source.
-_DIGITS = 3
-_SLOTS = 4096
+#: Rows that one part of a source's queue should hold at most, where the sources are alike.
+_PART_ROWS = 200_000
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
@@ -45,14 +47,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def queues(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
+def queues(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weights: tuple[int, ...], share: float, cap: int, keys: list[str]) -> DataFrame:
     """Each document with its size, its source's size and target, and done: the words of its
-    source's shuffled queue up to and with it."""
-    text_batches(docs.sparkSession)
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = stored(rows.withColumn("shuffle", key).withColumn("bucket", F.substring("shuffle", 1, _DIGITS)))
+    source's shuffled queue up to and with it. A row without an id has its place by its text."""
+    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    rows = docs.select(*keys, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), size.alias("size"), F.when(F.col(f"`{id_col}`").cast("long").isNull(), F.md5(text)).alias("no_id"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), "no_id")).cast("binary"))
+    rows = stored(rows.withColumn("shuffle", key).drop("no_id"))
+    digits = max(2, math.ceil(math.log(max(1, rows.count()) / _PART_ROWS, 16)))
+    rows = rows.withColumn("bucket", F.substring("shuffle", 1, digits))
     sums = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -61,30 +65,30 @@ def queues(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: s
     inside = W.partitionBy("source", "bucket").orderBy("shuffle", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("inside", F.sum("size").over(inside))
     rows = rows.join(starts, rows["source"].eqNullSafe(F.col("s")) & (rows["bucket"] == F.col("b")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("ahead") + F.col("inside")).alias("done"), "shuffle")
+    return rows.select(*keys, "doc_id", "source", "size", "source_size", "target", (F.col("ahead") + F.col("inside")).alias("done"))
 
 
-def cut_time(queued: DataFrame, budget: float, cap: int = 2) -> float:
-    """The virtual time before which copies taken in order of finish time keep within the budget; 1
-    at most, when every source has its target.
+def serve(queued: DataFrame, budget: float, cap: int) -> DataFrame:
+    """The copies of queued (from queues(); stored) with copy (0 first), finish, words, of which its
+    source's target leaves the copy so many, and taken, of which the budget leaves so many.
 
-    The copies are range-sorted into slots of finish time, twice over, and the slots' sums give the
-    cut: at most 4096 numbers reach the driver each time.
+    Ranges of (finish, source) are partitions; a running sum over the ranges, of which there are as
+    many as partitions, and one inside each give every copy's place in the budget.
     """
-    copies = queued.where("target > 0").select("size", "target", F.explode(F.array(*[(F.col("done") + F.col("source_size") * e) / F.col("target") for e in range(cap)])).alias("finish")).where("finish <= 1")
-    low, width, used = 0.0, 1.0, 0
-    for _ in range(2):
-        slot = F.least(F.floor((F.col("finish") - low) / (width / _SLOTS)), F.lit(_SLOTS - 1))
-        inside = copies.where((F.col("finish") >= low) & (F.col("finish") <= low + width))
-        sums = {r["slot"]: r["words"] for r in inside.groupBy(slot.alias("slot")).agg(F.sum("size").alias("words")).collect()}
-        for k in range(_SLOTS):
-            if used + sums.get(k, 0) > budget:
-                break
-            used += sums.get(k, 0)
-        else:
-            return low + width
-        low, width = low + k * width / _SLOTS, width / _SLOTS
-    return low
+    def copy(e: int) -> Column:
+        start = F.col("done") - F.col("size") + F.col("source_size") * e
+        words = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start))
+        return F.struct(F.lit(e).alias("copy"), words.alias("words"), ((start + words) / F.col("target")).alias("finish"))
+
+    copies = queued.where("size > 0 and target > 0").withColumn("c", F.explode(F.array(*map(copy, range(cap)))))
+    copies = copies.select(*queued.columns, "c.*").where("words > 0")
+    ranged = stored(copies.repartitionByRange(F.col("finish"), F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()))
+    ranges = ranged.groupBy(F.col("range").alias("r")).agg(F.sum("words").alias("in_range"))
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("in_range").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside = W.partitionBy("range").orderBy("finish", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = ranged.withColumn("inside", F.sum("words").over(inside)).join(F.broadcast(ranges.select("r", "before")), F.col("range") == F.col("r"))
+    left = F.lit(int(budget)) - (F.col("before") + F.col("inside") - F.col("words"))
+    return placed.select(*queued.columns, "copy", "finish", "words", F.greatest(F.lit(0), F.least("words", left)).cast("long").alias("taken"))
 
 
 def allocate(
@@ -97,33 +101,29 @@ def allocate(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    keys: list[str] | None = None,
 ) -> DataFrame:
     """Every row of docs as (doc_id long, source, size long, source_size long, target double,
-    taken long, finish double).
+    taken long, finish double), before them the columns named by keys.
 
     size counts the words of the whole text (null: 0). taken is what the mix takes of the document,
-    repeats counted: whole copies in order of finish time while the budget (default: `share` of all
-    words) lasts, and none beyond its source's target. Where the budget outlasts these, what is left
-    goes to the copy that each source is at, cut so that the source's sum is its target rounded
-    down. No document gives more than `cap` times its size. finish is the first copy's virtual finish time, null where
-    the target is 0. Null sources are one source, the last. Rows of one id stand together in their
-    queue, ordered by size; equal rows may change places among themselves. Reruns agree. An empty
-    table gives no rows; other columns are not read.
+    repeats counted: copies in order of virtual finish time, then of source, while the budget (default:
+    `share` of all words) lasts. Where the budget reaches all targets, a source's sum is its target
+    rounded down. No document gives more than `cap` times its size. finish is the first copy's virtual
+    finish time, null where the mix's queue does not hold it. Null sources are one source, the last.
+    Rows of one id stand together in their queue, ordered by size, and rows without an id by their
+    text; equal rows may change places among themselves. Reruns agree. An empty table gives no rows;
+    other columns are not read.
     """
-    rows = stored(queues(docs, id_col, text_col, source_col, seed, weights, share, cap))
+    keys = list(keys or [])
+    rows = stored(queues(docs, id_col, text_col, source_col, seed, weights, share, cap, keys))
     if budget is None:
         budget = share * (rows.agg(F.sum("size")).first()[0] or 0)
-    level = cut_time(rows, budget, cap)
-    taken = F.lit(0)
-    for e in range(cap):
-        done = F.col("done") + F.col("source_size") * e
-        if level < 1:
-            part = F.when((F.col("target") > 0) & (done / F.col("target") < level), F.col("size")).otherwise(0)
-        else:
-            part = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - (done - F.col("size"))))
-        taken = taken + part
-    finish = F.when(F.col("target") > 0, F.col("done") / F.col("target"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("finish"))
+    same = [*keys, "doc_id", "source", "size", "source_size", "target"]
+    # Of documents with words, source and done name one.
+    given = serve(rows, budget, cap).groupBy(*same, "done").agg(F.sum("taken").alias("taken"), F.min("finish").alias("finish"))
+    idle = rows.where("size = 0 or target <= 0 or floor(target) <= done - size")
+    return given.select(*same, "taken", "finish").union(idle.select(*same, F.lit(0).cast("long"), F.lit(None).cast("double")))
 
 
 def words_of(text: Column, first: Column, count: Column) -> Column:
@@ -143,16 +143,28 @@ def mix(
     source_col: str = "source",
 ) -> DataFrame:
     """The mixed stream: (copy int, finish double, taken long, then docs' columns as `doc`), one row
-    for every copy taken, globally range-sorted by finish time.
+    for every copy taken, globally range-sorted by finish time. Of the copy that the budget cuts,
+    taken words count (words_of() gives them).
 
-    The documents' columns come as one struct, so their names cannot clash. Ids must not repeat.
+    The documents' columns come as one struct, so their names cannot clash. Ids may be null or repeat.
     """
-    given = allocate(docs, weights, share, cap, None, seed, id_col, text_col, source_col)
-    per_copy = F.array(*[
-        F.struct(F.lit(e).alias("copy"), (F.col("finish") + F.col("source_size") * e / F.col("target")).alias("finish"), F.least(F.col("size"), F.col("taken") - F.col("size") * e).alias("taken"))
-        for e in range(cap)
-    ])
-    plan = given.where("taken > 0").select(F.col("doc_id").alias("mixed_id"), F.explode(per_copy).alias("c")).where("c.taken > 0")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    out = own.join(plan, F.col(f"doc.{id_col}") == F.col("mixed_id"))
-    return out.select("c.copy", "c.finish", "c.taken", "doc").orderBy("finish", "copy", F.col(f"doc.{id_col}"))
+    columns = docs.columns
+    docs, keys = keyed(docs)
+    rows = stored(queues(docs, id_col, text_col, source_col, seed, weights, share, cap, keys))
+    budget = share * (rows.agg(F.sum("size")).first()[0] or 0)
+    plan = serve(rows, budget, cap).where("taken > 0").select(F.col(keys[0]).alias("f"), F.col(keys[1]).alias("r"), F.col("copy"), F.col("finish"), F.col("taken"), F.col("source"))
+    own = docs.select(*keys, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"))
+    out = own.join(plan, (F.col(keys[0]) == F.col("f")) & (F.col(keys[1]) == F.col("r")))
+    return out.orderBy("finish", F.col("source").asc_nulls_last()).select("copy", "finish", "taken", "doc")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs, a row for each, with what allocate() says of it: size, source_size, target, taken (0
+    where the mix leaves it out) and finish. A column of docs of such a name gets a `_` at its end."""
+    columns = docs.columns
+    docs, keys = keyed(docs)
+    given = allocate(docs, keys=keys, **options)
+    facts = ["size", "source_size", "target", "taken", "finish"]
+    given = given.select(F.col(keys[0]).alias("f"), F.col(keys[1]).alias("r"), *facts).alias("given")
+    out = docs.alias("docs").join(given.hint("shuffle_hash"), (F.col(f"docs.{keys[0]}") == F.col("given.f")) & (F.col(f"docs.{keys[1]}") == F.col("given.r")))
+    return out.select(*[F.col(f"docs.`{c}`").alias(fresh(docs, c) if c.lower() in facts else c) for c in columns], *[F.col(f"given.{c}") for c in facts])

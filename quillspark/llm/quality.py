@@ -1,8 +1,8 @@
 """Quality classifier: regularised quadratic discriminant over document statistics.
 
 Statistics of the whole text are transformed (logarithms of counts and of smoothed shares) so that
-each class is close to a Gaussian. Each class's mean and covariance come from sums over all
-labelled training rows; covariances are shrunk towards their diagonal and towards the pooled one.
+each class is close to a Gaussian. Each class's mean and covariance come from sums over the
+labelled training rows, of which there is a bound; covariances are shrunk towards their diagonal and towards the pooled one.
 The score is the logistic of the difference of the classes' Mahalanobis log densities and of their
 log priors, computed with each class's Cholesky factor, which is inverted once and kept.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stored, text_batches
+from .common import held_out, least_hashed, stored
 
 _SENTENCE = re.compile(r"[.!?\n]+")
 _CLASS = np.zeros((256, 6))
@@ -63,19 +63,6 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, x array<double>) of every row."""
-    text_batches(docs.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            x = [statistics(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
-
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id long, x array<double>")
-
-
 @dataclass
 class Discriminant:
     """Two Gaussian classes; None where the training rows lack one of them."""
@@ -110,27 +97,38 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -500, 500)))
 
 
-def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", shrink: float = 0.1, pool: float = 0.2) -> Discriminant | None:
-    """Fitted on every labelled row of stats that is not held out.
+#: Labelled documents that the classes are fitted on, at most.
+TRAIN_ROWS = 65536
+
+
+def _matrix(texts: pa.Array) -> np.ndarray:
+    return np.array([statistics(t) for t in texts.to_pylist()]).reshape(len(texts), N_STATS)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", shrink: float = 0.1, pool: float = 0.2, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Discriminant | None:
+    """Fitted on the labelled documents that are not held out: all, or the `train_rows` whose ids have
+    the least hash. Only their texts are read for it, where they lie.
 
     Only sums for each class leave the executors: 2 * (1 + d + d * d) numbers in all. Labels other
     than 0 and 1, and null ids, are left out; an id labelled more than once takes its lowest label.
     """
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
-    own = own.where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
-    rows = stats.where(~held_out(F.col("doc_id"))).join(own, "doc_id").select("y", "x")
+    own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
+    own = own.where("id is not null and y in (0, 1)").where(~held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"))
+    own = stored(own)
+    own = stored(least_hashed(own, "id", train_rows, own.count()))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.join(F.broadcast(own), F.col("doc_id") == F.col("id")).select("y", "text")  # train_rows at most
     d = N_STATS
 
     def sums(batches):
+        total = np.zeros((2, 1 + d + d * d))
         for b in batches:
-            if not b.num_rows:
-                continue
-            y = b.column(0).to_numpy(zero_copy_only=False)
-            x = b.column(1).flatten().to_numpy().reshape(len(y), d)
+            y, x = b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1))
             for k in (0, 1):
                 own = x[y == k]
-                flat = np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), k, np.int32)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["y", "i", "s"])
+                total[k] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
+        for k in (0, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(total.shape[1], k, np.int32)), pa.array(np.arange(total.shape[1], dtype=np.int32)), pa.array(total[k])], ["y", "i", "s"])
 
     total = np.zeros((2, 1 + d + d * d))
     for r in rows.mapInArrow(sums, "y int, i int, s double").groupBy("y", "i").agg(F.sum("s").alias("s")).collect():
@@ -138,22 +136,37 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", shrink:
     return Discriminant.fit(total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(2, d, d), shrink, pool)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _scores(model: Discriminant | None, texts: pa.Array) -> np.ndarray:
+    """Where the training rows lack a class nothing can be told apart, and every score is 1."""
+    return np.ones(len(texts)) if model is None else model.score(_matrix(texts))
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, held_out boolean, score double, predicted int) for every row of docs.
 
     Empty and null texts are scored like any other. Where the training rows lack a class nothing
     can be told apart, and every score is 1. A null id is not held out. Repeated rows each get a
     row. Only the id and the text are read from docs; labels, lang and source never enter a score.
     """
-    stats = stored(document_statistics(docs, id_col, text_col))
-    model = docs.sparkSession.sparkContext.broadcast(fit(stats, labels))  # a few hundred numbers
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, train_rows=train_rows, id_col=id_col, text_col=text_col))  # a few hundred numbers
 
     def run(batches):
         for b in batches:
-            n = b.num_rows
-            x = b.column(1).flatten().to_numpy().reshape(n, N_STATS)
-            score = np.ones(n) if model.value is None else model.value.score(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(model.value, b.column(1)))], ["doc_id", "score"])
 
-    out = stats.mapInArrow(run, "doc_id long, score double")
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    out = own.mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that classify() predicts to be of class 1, with all their columns. A row is
+    judged by its text where it is read, so null and repeated ids are judged like others."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, train_rows=train_rows, id_col=id_col, text_col=text_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_scores(model.value, b.column(at)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -66,7 +66,7 @@ def queries() -> dict:
 _OP10 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS shuffle
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, 2 * source_size AS most, row_number() OVER (ORDER BY source NULLS LAST) AS place,
@@ -74,14 +74,20 @@ w AS (SELECT source, source_size, 2 * source_size AS most, row_number() OVER (OR
 r AS (SELECT *, CAST(most AS DOUBLE) / weight AS ratio, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 AS budget FROM w),
 l AS (SELECT *, (budget - CAST(coalesce(sum(most) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
              / CAST(sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lev FROM r),
-t AS (SELECT source, source_size, least(CAST(most AS DOUBLE), coalesce(weight * (SELECT arg_min(lev, ratio) FROM l WHERE ratio > lev), most)) AS target FROM l),
-q AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-             CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.shuffle, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS done
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - (done - size)))
-          + greatest(0, least(size, CAST(floor(target) AS BIGINT) - (done - size + source_size))) AS BIGINT) AS taken
-FROM q
+t AS (SELECT source, source_size, budget, least(CAST(most AS DOUBLE), coalesce(weight * (SELECT arg_min(lev, ratio) FROM l WHERE ratio > lev), most)) AS target FROM l),
+q AS (SELECT row_number() OVER (ORDER BY d.source NULLS LAST, d.shuffle, d.size) AS place, d.doc_id, d.source, d.size, t.source_size, t.target, t.budget,
+             CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.shuffle, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT place, source, target, budget, start + copy * source_size AS start,
+             least(size, CAST(floor(target) AS BIGINT) - (start + copy * source_size)) AS words
+      FROM q, (VALUES (0), (1)) AS copies(copy)
+      WHERE least(size, CAST(floor(target) AS BIGINT) - (start + copy * source_size)) > 0),
+o AS (SELECT place, words, CAST(floor(budget) AS BIGINT)
+             - (CAST(sum(words) OVER (ORDER BY CAST(start + words AS DOUBLE) / target, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS BIGINT) - words) AS remaining
+      FROM c),
+g AS (SELECT place, sum(greatest(0, least(words, remaining))) AS taken FROM o GROUP BY place)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(g.taken, 0) AS BIGINT) AS taken
+FROM q LEFT JOIN g ON q.place = g.place
 """
 
 #: The tables' messages hold no tool calls, so each stands for itself.

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored, text_batches
+from .common import by_key, components, keyed, stored
 
 _CHUNK = 1 << 16
 #: Rows, of 20 bytes each, in a table of large buckets that is broadcast.
@@ -67,7 +67,6 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(doc_id long, fp long) of every row; fp holds the fingerprint's 64 bits as a signed number."""
-    text_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -253,153 +252,318 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-#: Bins of a sketch: one byte each, the least hash among the shingles that fall into it; 0: none.
-BINS = 256
-#: Buckets of so many members or fewer are checked many at a time.
-_SMALL = 8
+# --- texts that share most of their shingles
 
+#: Bands of a text's MinHash values and values in a band. Of two texts that share 0.8 of their shingles
+#: all bands differ with a probability of (1 - 0.8 ** 5) ** 16 = 0.002.
+BANDS, BAND_ROWS = 16, 5
+#: Bits in which the SimHashes of two such texts may differ. 9.7 are expected at 0.8, with a
+#: standard deviation of 2.9.
+WIDE_RADIUS = 20
+_MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def sketch(text: str | None, shingle: int = 5) -> tuple[int, bytes]:
-    """(SimHash over the distinct words, sketch of the shingles) of a whole text, as in
-    fingerprint()."""
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of a whole text's word shingles, in order; words as in
+    fingerprint(), and a text of fewer words than a shingle needs is one shingle."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0, bytes(BINS)
-    h = xxhash.xxh64_intdigest
-    words, counts = list(set(parts)), np.zeros(64, np.int64)
-    for at in range(0, len(words), _CHUNK):
-        bits = np.array([h(w, 42) for w in words[at : at + _CHUNK]], dtype="<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    fp = int(np.packbits(counts * 2 > len(words), bitorder="little").view("<u8")[0])
+    n, h = len(parts), xxhash.xxh64_intdigest
+    if not n:
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
-    length = np.fromiter(map(len, parts), np.int64, len(parts))
+    length = np.fromiter(map(len, parts), np.int64, n)
     ends = np.cumsum(length + 1) - 1
-    starts = ends - length
-    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    total = max(1, len(parts) - shingle + 1)
-    starts, ends = starts[:total], ends[len(parts) - total :]
-    for at in range(0, total, _CHUNK):
-        hashes = np.array([h(joined[a:b], 7) for a, b in zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist())], np.uint64)
-        np.minimum.at(least, (hashes & np.uint64(BINS - 1)).astype(np.int64), hashes >> np.uint64(8))
-    empty = least == np.iinfo(np.uint64).max
-    return fp, np.where(empty, 0, 1 + least % np.uint64(255)).astype(np.uint8).tobytes()
-
-
-def sketch_similarity(a: bytes, b: bytes) -> float:
-    """The estimated share of shingles in common; exact where both are equal or have none."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    some = int(((x > 0) | (y > 0)).sum())
-    return 1.0 if not some else int(((x == y) & (x > 0)).sum()) / some
-
-
-def _similar_pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """sketch_similarity() of the rows of x with those of y, or with the one row y."""
-    some = np.count_nonzero((x > 0) | (y > 0), axis=1)
-    return np.count_nonzero((x == y) & (x > 0), axis=1) / np.maximum(some, 1)
-
-
-def _sketch_forest(s: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """A forest that connects exactly the rows of s whose similarity links them: every row reached
-    is compared with all that no link has reached yet."""
-    left, rest, out = np.arange(1, len(s)), s[1:], []
-    todo = [0]
-    while len(left):
-        if not todo:
-            todo, left, rest = [int(left[0])], left[1:], rest[1:]
-            continue
-        i = todo.pop()
-        hit = _similar_pairs(rest, s[i]) >= similarity
-        if hit.any():
-            found = left[hit].tolist()
-            out += [(i, j) for j in found]
-            todo += found
-            left, rest = left[~hit], rest[~hit]
-    return out
+    total = max(1, n - shingle + 1)
+    starts, ends = (ends - length)[:total].tolist(), ends[n - total :].tolist()
+    return np.unique(np.array([h(joined[a:b], 42) for a, b in zip(starts, ends)], np.uint64))
+
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of hashes; 0 for an empty set."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        raw = hashes[at : at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def band_values(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit value for each band of the set's MinHash values; an empty set has values too."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, (hashes[at : at + 512, None] * _MULTIPLIERS).min(axis=0), out=least)
+    raw, width = least.tobytes(), 8 * BAND_ROWS
+    return np.array([xxhash.xxh64_intdigest(raw[width * b : width * (b + 1)], b) for b in range(BANDS)], np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The share of two sets of distinct values that both hold; 1 where both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+class BulkTree:
+    """The BK-tree that adding distinct keys one by one would give, built level by level for all keys
+    at once, and searched for many keys at once."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        live, node = np.arange(1, len(keys)), np.zeros(max(0, len(keys) - 1), np.int64)
+        parents, edges, children = [], [], []
+        while len(live):
+            d = np.bitwise_count(keys[live] ^ keys[node]).astype(np.int64)
+            slot, first, own = np.unique(node * 65 + d, return_index=True, return_inverse=True)
+            child = live[first]  # of those that come to one edge the first stays there
+            parents.append(node[first])
+            edges.append(d[first])
+            children.append(child)
+            to = child[own]
+            on = live != to
+            live, node = live[on], to[on]
+        none = [np.zeros(0, np.int64)]
+        parent = np.concatenate(parents or none)
+        order = np.argsort(parent, kind="stable")
+        self.edge, self.child = np.concatenate(edges or none)[order], np.concatenate(children or none)[order]
+        self.start = np.searchsorted(parent[order], np.arange(len(keys) + 1))
+
+    def search(self, wanted: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in wanted, place in keys) of every pair within the radius, following only edges
+        within the radius of a node's own distance."""
+        asked, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if not len(self.keys):
+            return asked[0], found[0]
+        q, node = np.arange(len(wanted)), np.zeros(len(wanted), np.int64)
+        while len(q):
+            d = np.bitwise_count(self.keys[node] ^ wanted[q]).astype(np.int64)
+            hit = d <= radius
+            asked.append(q[hit])
+            found.append(node[hit])
+            n = self.start[node + 1] - self.start[node]
+            at = np.repeat(self.start[node] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            q, d = np.repeat(q, n), np.repeat(d, n)
+            on = np.abs(self.edge[at] - d) <= radius
+            q, node = q[on], self.child[at[on]]
+        return np.concatenate(asked), np.concatenate(found)
+
+
+def _near_pairs(fps: np.ndarray, side: np.ndarray | None, radius: int):
+    """Yields (i, the places near i) of one bucket's fingerprints, or of those between its two sides,
+    found through the BK-tree of the distinct ones; of a pair within one side the later has the
+    earlier."""
+    n = len(fps)
+    own, ask = (np.arange(n), np.arange(n)) if side is None else (np.flatnonzero(side), np.flatnonzero(~side))
+    keys, which = np.unique(fps[own], return_inverse=True)
+    tree, by = BulkTree(keys), np.argsort(which, kind="stable")
+    first = np.searchsorted(which[by], np.arange(len(keys) + 1))
+    step = max(1, 400_000 // max(1, len(keys)))
+    for at in range(0, len(ask), step):
+        part = ask[at : at + step]
+        q, k = tree.search(fps[part], radius)
+        order = np.argsort(q, kind="stable")
+        q, k = q[order], k[order]
+        cut = np.searchsorted(q, np.arange(len(part) + 1))
+        for j, i in enumerate(part.tolist()):
+            near = k[cut[j] : cut[j + 1]]
+            if len(near):
+                members = own[np.concatenate([by[first[x] : first[x + 1]] for x in near.tolist()])]
+                yield i, members if side is not None else members[members < i]
+
+
+def _pieces(rows: DataFrame, sizes: DataFrame, piece: int, shard_rows: int) -> DataFrame:
+    """rows (bucket, node, ...) with a and b, the two pieces of their bucket that a task compares, own,
+    the row's piece, and shard: buckets of sizes (bucket, n; stored) above `piece` rows are cut, and
+    each pair of pieces, a piece with itself too, stands for itself."""
+    sizes = sizes.select(F.col("bucket").alias("cut_bucket"), F.col("n"), F.ceil(F.col("n") / piece).alias("pieces"))
+    total, large = sizes.agg(F.sum(F.col("n") * F.col("pieces")), F.count_if(F.col("pieces") > 1)).first()
+    n_shards = max(1, -(-int(total or 0) // shard_rows))
+    cut = sizes.where("pieces > 1")
+    if large <= _MOST_BROADCAST:  # else the engine joins by a shuffle
+        cut = F.broadcast(cut)
+    rows = rows.join(cut, F.col("bucket") == F.col("cut_bucket"), "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    rows = rows.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
+    return rows.drop("cut_bucket", "n", "pieces", "other").withColumn("shard", F.pmod(F.xxhash64("bucket", "a", "b"), F.lit(n_shards)))
 
-def sketch_links(reps: DataFrame, similarity: float, piece: int = 2048, shard_rows: int = 16384) -> DataFrame:
-    """Links (u, v) between the nodes of reps (rep long, sig long, sketch binary) that connect
-    exactly those whose sketches agree in the share `similarity` of their bins.
 
-    The bins stand in bands so narrow that sketches which agree in that share cannot differ in every
-    band where one of them has a bin: of s bins in use at most s * (1 - similarity) differ, and they
-    lie in s / width bands at least. So every sketch goes to one bucket a band, and in a bucket
-    all pairs are checked but those already linked. Large buckets are cut into pieces as in links(),
-    each pair of pieces a task's.
-    """
-    width = 1
-    while 2 * width * (1 - similarity) < 1 - 1e-9 and width < 8:
-        width *= 2
+def _groups_of(t: pa.Table, keys: tuple[str, ...], last: str) -> tuple[dict, list[tuple[int, int]], np.ndarray]:
+    """The table's long columns in order of keys and last, where each group of equal keys of two rows
+    or more lies in it, and the order."""
+    c = {k: t.column(k).to_numpy() for k in t.column_names if pa.types.is_int64(t.schema.field(k).type)}
+    order = np.lexsort([c[last], *[c[k] for k in reversed(keys)]])
+    c = {k: v[order] for k, v in c.items()}
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[k][1:] != c[k][:-1] for k in keys])
+    cuts = np.append(np.flatnonzero(new), len(order))
+    return c, [(s, e) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if e - s > 1], order
 
-    def band(batches):
-        for b in batches:
-            own = np.frombuffer(b"".join(b.column("sketch").to_pylist()), f"<u{width}").reshape(b.num_rows, -1)
-            r, c = np.nonzero(own)
-            value = own[r, c].astype(np.uint64).view(np.int64)
-            at = pa.array(r)
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(value), b.column("rep").take(at), b.column("sig").take(at)], ["band", "value", "rep", "sig"])
-
-    keyed = reps.select("rep", "sig", "sketch").mapInArrow(band, "band int, value long, rep long, sig long")
-    sizes = keyed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = stored(sizes.select("band", "value", "n", F.ceil(F.col("n") / piece).alias("pieces")))
-    total = sizes.agg(F.sum(F.col("n") * F.col("pieces"))).first()[0] or 0
-    n_shards = max(1, -(-int(total) // shard_rows))
-    few = sizes.count() <= _MOST_BROADCAST  # else the engine joins by a shuffle
-    rows = keyed.join(F.broadcast(sizes) if few else sizes.hint("shuffle_hash"), ["band", "value"])
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "sig"), F.col("pieces")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).where("pieces = 1 or own <> other")
-    rows = rows.select("band", "value", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "rep", "sig")
-    rows = rows.join(reps.select("rep", "sig", "sketch"), ["rep", "sig"])
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("band", "value", "a", "b"), F.lit(n_shards)))
+
+def _open_members(rows: DataFrame, radius: int) -> DataFrame:
+    """(bucket, a, b, node) of rows (bucket, a, b, own, node, fp, label, shard) that are within the
+    radius of a row of their bucket with another label."""
 
     def run(t: pa.Table) -> pa.Table:
-        c = {k: t.column(k).to_numpy() for k in ("band", "value", "a", "b", "rep")}
-        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-        order = np.lexsort((c["rep"], c["b"], c["a"], c["value"], c["band"]))
-        c, s = {k: v[order] for k, v in c.items()}, s[order]
-        new = np.ones(len(order), bool)
-        new[1:] = np.logical_or.reduce([c[k][1:] != c[k][:-1] for k in ("band", "value", "a", "b")])
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(order)))
-        us, vs = [], []
-        for n in range(2, _SMALL + 1):  # small buckets: all pairs at once
-            at = starts[sizes == n]
-            for i, j in combinations(range(n), 2):
-                ok = _similar_pairs(s[at + i], s[at + j]) >= similarity
-                us.append(c["rep"][at[ok] + i])
-                vs.append(c["rep"][at[ok] + j])
-        for at, n in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist()):
-            found = np.array(_sketch_forest(s[at : at + n], similarity), np.int64).reshape(-1, 2) + at
-            us.append(c["rep"][found[:, 0]])
-            vs.append(c["rep"][found[:, 1]])
-        return pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
+        c, groups, _ = _groups_of(t, ("bucket", "a", "b"), "node")
+        fp, keep = c["fp"].view(np.uint64), np.zeros(t.num_rows, bool)
+        for s, e in groups:
+            side = None if c["a"][s] == c["b"][s] else c["own"][s:e] == c["a"][s]
+            label = c["label"][s:e]
+            if (label == label[0]).all():
+                continue
+            for i, near in _near_pairs(fp[s:e], side, radius):
+                other = near[label[near] != label[i]]
+                if len(other):
+                    keep[s + i] = keep[s + other] = True
+        return pa.table({k: pa.array(c[k][keep]) for k in ("bucket", "a", "b", "node")})
+
+    return rows.groupBy("shard").applyInArrow(run, "bucket long, a long, b long, node long")
+
+
+def _exact_links(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links (u, v) of rows (bucket, a, b, node, fp, label, hashes, shard): those found within the
+    radius whose sets share the similarity, less those that earlier links of the bucket imply."""
+
+    def run(t: pa.Table) -> pa.Table:
+        c, groups, order = _groups_of(t, ("bucket", "a", "b"), "node")
+        fp, sets, us, vs = c["fp"].view(np.uint64), t.column("hashes").combine_chunks(), [], []
+        flat, at = sets.flatten().to_numpy(), np.append(0, np.cumsum(sets.value_lengths().to_numpy()))
+        of = lambda i: flat[at[order[i]] : at[order[i] + 1]]
+        for s, e in groups:
+            label = c["label"][s:e].copy()
+            for i, near in _near_pairs(fp[s:e], None, radius):
+                for j in near.tolist():
+                    if label[j] == label[i]:
+                        continue
+                    x, y = of(s + i), of(s + j)
+                    if min(len(x), len(y)) >= similarity * max(len(x), len(y)) and jaccard(x, y) >= similarity:
+                        us.append(int(c["node"][s + i]))
+                        vs.append(int(c["node"][s + j]))
+                        label[label == label[j]] = label[i]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return rows.groupBy("shard").applyInArrow(run, "u long, v long")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, component_id long): groups of documents that share `similarity` of their
-    word shingles.
+def _text_groups(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, list[str], DataFrame]:
+    """(docs with row keys, their names, rows (key_file, key_at, doc_id, part)): part is one for all
+    rows whose texts are linked.
 
-    A link holds where sketches of the word shingles, one least hash in each of 256 bins, agree in
-    that share of bins (standard deviation 0.025 at 0.8). All pairs for which it holds are
-    found, wherever in the texts they differ: see sketch_links(). Nulls, empty texts, repeats and
-    other columns are as in near_duplicates(); texts of the same sketch and SimHash are one text.
+    Texts of one shingle set are one node. Nodes meet in buckets of equal bands. Each bucket's
+    heaviest node, that with most company over all its buckets, is held against its other nodes:
+    so copies edited each apart from one text are held against that one. What this leaves apart is
+    searched in the buckets by BK-trees, and compared there. Links are decided on whole shingle sets
+    alone, which move only where a fingerprint lies within WIDE_RADIUS.
     """
-    text_batches(docs.sparkSession)
+    docs, names = keyed(docs)
+    own = docs.select(F.col(names[0]).alias("key_file"), F.col(names[1]).alias("key_at"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
-    def run(batches):
+    def read(batches):
+        for b in batches:
+            node, fp, bands = [], [], []
+            for text in b.column(3).to_pylist():
+                hashes = shingle_set(text, shingle)
+                node.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+                fp.append(set_fingerprint(hashes))
+                bands.append(band_values(hashes))
+            flat = np.concatenate(bands) if bands else np.zeros(0, np.uint64)
+            values = pa.ListArray.from_arrays(np.arange(len(bands) + 1, dtype=np.int32) * BANDS, flat.view(np.int64))
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *longs, values], ["key_file", "key_at", "doc_id", "node", "fp", "bands"])
+
+    rows = stored(own.mapInArrow(read, "key_file long, key_at long, doc_id long, node long, fp long, bands array<long>"))
+    nodes = stored(rows.select("node", "fp", "bands").dropDuplicates(["node"]))
+    spread = nodes.select("node", "fp", F.explode("bands").alias("bucket"))
+    sizes = stored(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    few = sizes.count() <= _MOST_BROADCAST * 5
+    met = stored(spread.join(F.broadcast(sizes) if few else sizes.hint("shuffle_hash"), "bucket"))
+    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    heavy = met.select("bucket", "node", "fp").join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node", "fp")).alias("h"))
+    stars = met.select("bucket", "node", "fp").join(heavy, "bucket").where("node <> h.node")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("h.fp"))) <= WIDE_RADIUS
+    stars = stored(stars.where(near).select(F.col("h.node").alias("u"), F.col("node").alias("v")).distinct())
+
+    def hash_sets(wanted: DataFrame) -> DataFrame:
+        """(node, hashes) of the wanted (node), each read again from one of its rows."""
+        at = rows.select("node", "key_file", "key_at").join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("key_file", "key_at")).alias("k"))
+        texts = by_key(docs, names, stored(at.select("k.key_file", "k.key_at")), "left_semi").select(F.col(f"rows.`{text_col}`").alias("text"))
+
+        def run(batches):
+            for b in batches:
+                sets = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
+                node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "hashes"])
+
+        return stored(texts.mapInArrow(run, "node long, hashes array<long>"))
+
+    def verify(batches):
         for b in batches:
-            got = [sketch(t, shingle) for t in b.column(1).to_pylist()]
-            fp = np.array([f for f, _ in got], np.uint64).view(np.int64)
-            sig = np.array([xxhash.xxh64_intdigest(k, 0) for _, k in got], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(sig), pa.array([k for _, k in got], pa.binary())], ["doc_id", "fp", "sig", "sketch"])
+            (x, y), keep = (b.column(i) for i in (2, 3)), np.zeros(b.num_rows, bool)
+            fx, fy = x.flatten().to_numpy(), y.flatten().to_numpy()
+            ax, ay = (np.append(0, np.cumsum(c.value_lengths().to_numpy())) for c in (x, y))
+            for i in range(b.num_rows):
+                keep[i] = jaccard(fx[ax[i] : ax[i + 1]], fy[ay[i] : ay[i + 1]]) >= similarity
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep))
+
+    sets = hash_sets(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    # A heavy node's set goes to a few tasks for every _STAR of its links, so that none waits for all.
+    stars_of = stars.groupBy("u").agg(F.ceil(F.count("*") / _STAR).alias("salts"))
+    left = sets.join(stars_of, F.col("node") == F.col("u")).select("u", "hashes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    salted = stars.join(stars_of, "u").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")))
+    pairs = salted.join(left, ["u", "salt"]).join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("other")), "v").select("u", "v", "hashes", "other")
+    sized = F.least(F.size("hashes"), F.size("other")) >= F.greatest(F.size("hashes"), F.size("other")) * (similarity - 1e-9)
+    found = stored(pairs.where(sized).mapInArrow(verify, "u long, v long"))
+    label = components(found)
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(own.mapInArrow(run, "doc_id long, fp long, sig long, sketch binary"))
-    # Texts of one sig have one sketch.
-    reps = stored(rows.where("doc_id is not null").groupBy("fp", "sig").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
-    label = components(sketch_links(reps, similarity))
-    marked = reps.join(label, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.col("sig").alias("g"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "fp", "sig").join(marked, (F.col("fp") == F.col("f")) & (F.col("sig") == F.col("g")), "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    # Buckets whose nodes the stars have not all joined.
+    marked = met.join(label.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("bucket", "node", "fp", "n", F.coalesce("component", "node").alias("label"))
+    marked = stored(marked)
+    open_ = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("n").alias("n")).where("low <> high").select("bucket", "n")
+    open_ = stored(open_)
+    few = open_.count() <= _MOST_BROADCAST * 5
+    inside = marked.drop("n").join(F.broadcast(open_.select("bucket")) if few else open_.select("bucket"), "bucket")
+    members = stored(_open_members(_pieces(inside, open_, 2048, 65536), WIDE_RADIUS))
+    if not members.isEmpty():
+        # Parts of buckets that hold the same nodes are compared once.
+        same = members.groupBy("bucket", "a", "b").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"))
+        same = same.groupBy("n", "low", "all").agg(F.min(F.struct("bucket", "a", "b")).alias("p")).select("p.*")
+        members = members.join(same, ["bucket", "a", "b"]).select(F.xxhash64("bucket", "a", "b").alias("bucket"), "node")
+        sets = hash_sets(members.select("node").distinct())
+        facts = marked.select("node", "fp", "label").dropDuplicates(["node"])
+        held = stored(members.join(facts, "node").join(sets, "node").withColumns({"a": F.lit(0).cast("long"), "b": F.lit(0).cast("long")}))
+        words = held.agg(F.sum(F.size("hashes") + 16)).first()[0]
+        shards = max(1, -(-int(words) // _SHARD_HASHES))
+        more = _exact_links(held.withColumn("shard", F.pmod(F.xxhash64("bucket"), F.lit(shards))), similarity, WIDE_RADIUS)
+        label = components(found.union(more))
+    out = rows.select("key_file", "key_at", "doc_id", "node").join(label.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
+    return docs, names, stored(out.select("key_file", "key_at", "doc_id", F.coalesce("component", "node").alias("part")))
+
+
+#: Links of one heavy node that one task compares, and hashes of 8 bytes in one task's sets.
+_STAR = 1024
+_SHARD_HASHES = 4_000_000
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id long, component_id long): groups of documents that share `similarity` of their distinct
+    word shingles, for every row of docs.
+
+    Every link is decided on the whole sets of both texts. Of pairs at 0.8 over 0.99 are found, nearer
+    ones more surely: BANDS and WIDE_RADIUS say what is lost. component_id is the smallest id of the
+    group. A null text counts as empty; texts without a word are alike. Repeated ids keep all their
+    rows. A row whose id is null has no component, but its text joins others. Other columns are not
+    read.
+    """
+    _, _, rows = _text_groups(docs, similarity, shingle, id_col, text_col)
+    least = rows.groupBy(F.col("part").alias("p")).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    out = rows.join(least, F.col("part") == F.col("p"), "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+
+
+def without_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of similar_documents(): that of the smallest id, null last;
+    of several such rows the first by place in its file. All columns stay."""
+    columns = docs.columns
+    docs, names, rows = _text_groups(docs, similarity, shingle, id_col, text_col)
+    best = rows.groupBy(F.col("part").alias("p")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_file", "key_at")).alias("b"), F.count("*").alias("n")).where("n > 1")
+    gone = rows.join(best, F.col("part") == F.col("p")).where("key_file <> b.key_file or key_at <> b.key_at").select("key_file", "key_at")
+    return by_key(docs, names, stored(gone), "left_anti").select(*[F.col(f"rows.`{c}`") for c in columns])

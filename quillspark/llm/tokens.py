@@ -18,7 +18,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
 
 _KEPT = 1 << 18
 
@@ -119,7 +118,6 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     vocabulary: the path of the vocabulary file, which every executor must see. A null text counts
     as empty: 0 bytes, 0 tokens. Null and repeated ids keep their rows. Other columns are not read.
     """
-    text_batches(docs.sparkSession)
 
     def run(batches):
         if vocabulary not in _COUNTERS:
