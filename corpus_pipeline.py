@@ -10,30 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, mixture, pii, quality, simhash
-from quillspark.llm.common import stored, table, text_batches
-
-
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose id is not in gone (gone_id). The texts stream past a hash table of
-    ids, which are few to a partition as each stands once, and are never sorted."""
-    text_batches(docs.sparkSession)
-    gone = gone.alias("gone").hint("shuffle_hash")
-    return docs.alias("docs").join(gone, F.col("docs.doc_id") == F.col("gone.gone_id"), "left_anti")
+from quillspark.llm.common import stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted to be of low quality go; a null id cannot be judged, and stays."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
-    low = scored.where("predicted = 0").select(F.col("doc_id").alias("gone_id")).distinct()
-    return without(docs, low)
+    """Documents predicted to be of low quality go; each row is judged by its text."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 0.8 of their five-word shingles the document with the smallest id stays, with all its rows
-    where its id repeats; rows without an id stand in no group, and stay."""
-    groups = simhash.similar_documents(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return without(docs, gone)
+    """Of each group of documents that share 0.8 of their five-word shingles one row stays, that of
+    the smallest id; rows without an id are grouped by their texts like others."""
+    return simhash.without_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +38,9 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's decision for each document: its words, and how many of them the mix takes."""
-    return mixture.allocate(docs)
+    """Each document with its words (size) and how many of them the mix takes (taken), in order of
+    finish where the mix is read as a stream; documents that it leaves out have taken = 0."""
+    return mixture.mixed_documents(docs)
 
 
 STAGES = [
