@@ -67,18 +67,34 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     raise ValueError("the stored rows have no place in a file")
 
 
-#: Row keys, of 16 bytes each, that are broadcast; more are joined by a shuffle of the rows.
+#: Row keys, of 16 bytes each, that are broadcast; of more, a bitmap of BITS bits.
 MOST_KEYS = 1_000_000
+BITS = 1 << 29
 
 
 def by_key(rows: DataFrame, names: list[str], keys: DataFrame, how: str) -> DataFrame:
     """rows (of keyed()) that are among keys, a stored table of row keys ("left_semi"), or not among
-    them ("left_anti"). Texts stay where they are read while the keys fit in a broadcast of
-    MOST_KEYS; beyond that they stream past hash tables, each once, and are never sorted."""
-    few = keys.count() <= MOST_KEYS
+    them ("left_anti").
+
+    Up to MOST_KEYS keys are broadcast, and the rows stay where they are read. Of more, a bitmap of
+    their hashes is, 64 MB at most whatever their number: rows that it rules out stay where they
+    are, and only the others stream, unsorted, past hash tables of keys.
+    """
     keys = keys.toDF("key_file", "key_at").alias("keys")
     on = (F.col(f"rows.{names[0]}") == F.col("keys.key_file")) & (F.col(f"rows.{names[1]}") == F.col("keys.key_at"))
-    return rows.alias("rows").join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), on, how)
+    if keys.count() <= MOST_KEYS:
+        return rows.alias("rows").join(F.broadcast(keys), on, how)
+    place = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(BITS))
+    maps = keys.select(place("key_file", "key_at").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("map_number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map"))
+    maps = stored(maps).alias("maps")
+    at = place(F.col(f"rows.{names[0]}"), F.col(f"rows.{names[1]}"))
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col("maps.map"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)).cast("int") % 2 == 1, F.lit(False))
+    probed = rows.alias("rows").join(F.broadcast(maps), F.bitmap_bucket_number(at) == F.col("maps.map_number"), "left")
+    own = [F.col(f"rows.`{c}`") for c in rows.columns]
+    some = probed.where(met).select(*own).alias("rows").join(keys.hint("shuffle_hash"), on, how)
+    return some.alias("rows") if how == "left_semi" else probed.where(~met).select(*own).union(some).alias("rows")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

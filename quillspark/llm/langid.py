@@ -31,7 +31,9 @@ TEMPER = 0.25
 
 _CLEAN = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 _HTML = re.compile(r"<html\b", re.IGNORECASE)
-_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
+_ENDS = re.compile("[>\"']")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_CODE = re.compile(r"\s*([A-Za-z]{2,3})(?![A-Za-z])")
 _END = {k: re.compile(f"</{k}", re.IGNORECASE) for k in ("script", "style")}
 _TAG = re.compile(r"(script|style)\b", re.IGNORECASE)
 
@@ -61,15 +63,26 @@ def visible(html: str | None) -> str:
     return markup.unescape(text) if "&" in text else text
 
 
+def _tag_end(html: str, at: int) -> int:
+    """Where the tag that `at` is in ends: the first > outside quotes, or without one, the text's end. A
+    quote that never closes is read as a letter."""
+    while m := _ENDS.search(html, at):
+        if m[0] == ">":
+            return m.start()
+        close = html.find(m[0], m.end())
+        at = close + 1 if close >= 0 else m.end()
+    return len(html)
+
+
 def declared(html: str | None) -> str | None:
-    """The language of the first <html tag that names one; each tag is read once, up to its >."""
+    """The language of the first <html tag whose attribute lang (or xml:lang) names one; each tag is
+    read once, whole."""
     html, at = html or "", 0
     while tag := _HTML.search(html, at):
-        at = html.find(">", tag.end())
-        at = at if at >= 0 else len(html)
-        m = _LANG.search(html, tag.end(), at)
-        if m:
-            return m[1].lower()
+        at = _tag_end(html, tag.end())
+        for m in _ATTRIBUTE.finditer(html, tag.end(), at):
+            if m[1].lower() in ("lang", "xml:lang") and (code := _CODE.match(m[2] or m[3] or m[4] or "")):
+                return code[1].lower()
     return None
 
 
@@ -77,8 +90,6 @@ def trigrams(text: str | None) -> np.ndarray:
     """Codes of the byte trigrams of the letters of a whole text."""
     raw = " ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(_CLEAN).decode("latin-1").split())
     a = np.frombuffer(f" {raw} ".encode("latin-1"), np.uint8).astype(np.int64)
-    if len(a) < 5:
-        a = a[:0]
     return ((a[:-2] << 10) ^ (a[1:-1] << 5) ^ a[2:]) & (_CODES - 1)
 
 
@@ -137,7 +148,7 @@ def evidence(rows: DataFrame, model: Likelihoods) -> DataFrame:
     """rows (key columns, body, is_html, url) with declared, host, suffix, and ll: the tempered log
     likelihoods; body and url go."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # 65,536 numbers a language
-    keys = [c for c in rows.columns if c not in ("body", "is_html", "url")]
+    keys = [c for c in rows.columns if c not in ("body", "is_html", "url")]  # free of "host" and the other names used here
     host = F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]+)", 1))
     own = rows.select(*keys, F.when(host != "", host).alias("host"), "is_html", "body")
     n = len(keys) + 1
@@ -152,7 +163,7 @@ def evidence(rows: DataFrame, model: Likelihoods) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, [*keys, "host", "declared", "ll"])
 
     kinds = dict(own.dtypes)
-    schema = ", ".join([f"{c} {kinds[c]}" for c in [*keys, "host"]] + ["declared string", "ll array<double>"])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in [*keys, "host"]] + ["declared string", "ll array<double>"])
     out = own.mapInArrow(run, schema)
     suffix = F.when(F.col("host").contains("."), F.substring_index("host", ".", -1))
     return out.withColumn("suffix", suffix)
@@ -216,7 +227,16 @@ def identify(rows: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS,
     rows: any key columns, body string, is_html boolean, url string. labelled: id, text, lang; the
     languages are those it names, `max_languages` at most (more raise a ValueError), and a fit without rows knows one, "und". Null or empty bodies rest
     on the declared language and the priors; null urls have no host and take the whole table's
-    shares; ties go to the language first by name. Key columns must not be named like a result.
+    shares; ties go to the language first by name. A key column named like a result gets a `_` at its end.
+    Rows that repeat each get a row; labelled rows without an id, a text or a language teach nothing.
     """
+    columns = [c for c in rows.columns if c not in ("body", "is_html", "url")]
+    names = {c: f"key{i}_{c}" for i, c in enumerate(columns)}
     model = fit(labelled, train_rows, max_languages)
-    return fuse(evidence(rows, model), model.languages, strength)
+    out = fuse(evidence(rows.withColumnsRenamed(names), model), model.languages, strength)
+    own = {c: c + "_" if c.lower() in RESULTS else c for c in columns}
+    return out.select(*[F.col(f"`{names[c]}`").alias(own[c]) for c in columns], *RESULTS)
+
+
+#: What identify() says of a row.
+RESULTS = ("lang", "confidence", "text_lang", "declared_lang")

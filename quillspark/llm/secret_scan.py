@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import by_key, keyed, stored
 
 #: The kinds of secret in the order of listing, their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
@@ -52,33 +52,37 @@ def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rule_version: int
     """(paths, additions): every row of docs as (doc_id long, sha string), and the ledger's new rows
     (sha, rule_version, found) for the blobs that it has not yet under this rule version.
 
-    The texts that are moved are those of new blobs' representatives, one for each blob: the rows
-    are keyed by address and path, so that many copies of one blob do not meet in one task. A null
-    text counts as empty. Ids may be null or repeat. Other columns are not read.
+    An id that stands with several texts is a path with several versions. Addresses are computed where
+    the texts lie; of each new blob one row is read again, also where it lies, and scanned. Where
+    the ledger has all blobs, no text is read again. A null text counts as empty. Ids may be null
+    or repeat. Other columns are not read.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = own.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
-    paths = stored(own.select("doc_id", "sha"))
-    new = paths.groupBy("sha").agg(F.min("doc_id").alias("rep"))
+    docs, names = keyed(docs)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    paths = stored(docs.select(F.col(names[0]).alias("key_file"), F.col(names[1]).alias("key_at"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("sha")))
+    new = paths.groupBy("sha").agg(F.min(F.struct("key_file", "key_at")).alias("k"))
     if ledger is not None:
         new = new.join(ledger.where(F.col("rule_version") == rule_version).select("sha"), "sha", "left_anti")
-    new = new.select(F.col("sha").alias("new_sha"), "rep")
-    # The texts stream past a hash table of keys, and are never sorted.
-    texts = own.join(new.hint("shuffle_hash"), (F.col("sha") == F.col("new_sha")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    new = stored(new.select("k.*"))
+    texts = by_key(docs, names, new, "left_semi").select(F.coalesce(F.col(f"rows.`{text_col}`"), F.lit("")).alias("text"))
+    texts = texts.select(F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text")
 
     def run(batches):
-        done: dict[str, list] = {}  # rows that repeat whole lie in one partition
         for b in batches:
-            shas, found = [], []
-            for sha, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if sha not in done:
-                    done[sha] = []
-                    shas.append(sha)
-                    found.append([{"kind": k, "start": s, "end": e} for k, s, e in scan(text)])
-            yield pa.RecordBatch.from_arrays([pa.array(shas, pa.string()), pa.array(found, _FOUND_ARROW)], ["sha", "found"])
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(text)] for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _FOUND_ARROW)], ["sha", "found"])
 
-    found = texts.select("sha", "text").mapInArrow(run, f"sha string, found {_FOUND}")
-    return paths, found.select("sha", F.lit(rule_version).alias("rule_version"), "found")
+    if new.isEmpty():
+        found = empty_ledger(docs.sparkSession).select("sha", "found")
+    else:
+        found = texts.mapInArrow(run, f"sha string, found {_FOUND}")
+    return paths.select("doc_id", "sha"), found.select("sha", F.lit(rule_version).alias("rule_version"), "found")
+
+
+def _joined(paths: DataFrame, known: DataFrame) -> DataFrame:
+    # Most blobs hold nothing: only the others are joined back.
+    hits = known.where(F.size("found") > 0).select("sha", "found").dropDuplicates(["sha"])
+    return paths.join(hits, "sha", "left").select("doc_id", "sha", F.coalesce("found", F.array().cast(_FOUND)).alias("found"))
 
 
 def findings(docs: DataFrame, ledger: DataFrame | None = None, rule_version: int = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,9 +91,39 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, rule_version: int
     known = stored(additions)
     if ledger is not None:
         known = known.unionByName(ledger.where(F.col("rule_version") == rule_version))
-    # Most blobs hold nothing: only the others are joined back.
-    hits = known.where(F.size("found") > 0).select("sha", "found")
-    return paths.join(hits, "sha", "left").select("doc_id", "sha", F.coalesce("found", F.array().cast(_FOUND)).alias("found"))
+    return _joined(paths, known)
+
+
+class Ledger:
+    """A ledger kept as Parquet in a folder that driver and executors share.
+
+    Only whole appends are seen; where two runs add one blob at once, it stands twice and counts once.
+    """
+
+    def __init__(self, spark, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame:
+        """(sha, rule_version, found) of all that was scanned before."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return empty_ledger(self.spark)
+        return self.spark.read.schema(f"sha string, rule_version int, found {_FOUND}").parquet(self.path)
+
+    def findings(self, docs: DataFrame, rule_version: int = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+        """(findings(), how many blobs were scanned for it): what is new is scanned and appended, and
+        all comes from the ledger."""
+        paths, new = scan_new(docs, self.read(), rule_version, id_col, text_col)
+        new = stored(new)
+        scanned = new.count()
+        if scanned:
+            new.write.mode("append").parquet(self.path)
+        return _joined(paths, self.read().where(F.col("rule_version") == rule_version)), scanned
+
+    def merge(self, other: DataFrame) -> None:
+        """Adds the rows of another ledger that this one has not."""
+        own = self.read().select("sha", "rule_version")
+        stored(other.dropDuplicates(["sha", "rule_version"]).join(own, ["sha", "rule_version"], "left_anti").select("sha", "rule_version", "found")).write.mode("append").parquet(self.path)
 
 
 def digest(found: DataFrame) -> DataFrame:

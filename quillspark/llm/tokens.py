@@ -21,6 +21,24 @@ from pyspark.sql import functions as F
 
 _KEPT = 1 << 18
 
+#: Where the library's Unicode tables differ from those of this process. Code points
+#: (hexadecimal ranges) that `regex` takes for letters or numbers and the library for neither.
+NO_LETTERS = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959
+10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8
+16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128
+1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED
+1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+#: Capitals whose lower case Python does not know: first, last, and the way to the small letter.
+LATE_CAPITALS = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27)]
+_FIRST_LATE = "\u0558"
+
+
+def _ranges(text: str) -> list[int]:
+    ends = [[int(x, 16) for x in r.split("-")] for r in text.split()]
+    return [c for e in ends for c in range(e[0], e[-1] + 1)]
+
 
 def _byte_letters() -> dict[int, str]:
     """The printable letter that byte-level vocabularies write for each byte: printable Latin-1
@@ -50,10 +68,12 @@ class PairCounter:
         self.letters = _byte_letters()
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # Its library matches by the Unicode White_Space property, which \s here is too.
-        self.pieces = regex.compile(split, regex.V0).findall
+        self.pieces, self.spans = regex.compile(split, regex.V0).findall, regex.compile(split, regex.V0).finditer
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.known: dict[str, int] = {}
+        self.lower = {c: c + by for a, b, by in LATE_CAPITALS for c in range(a, b + 1)}
+        self.other = dict.fromkeys(_ranges(NO_LETTERS), "\ue000")  # stands for what is neither letter nor number
 
     def piece(self, piece: str) -> int:
         """The tokens of one piece."""
@@ -84,8 +104,13 @@ class PairCounter:
         # Letter by letter lower case: the capital sigma has one form wherever it stands.
         text = unicodedata.normalize("NFC", text) if not text.isascii() else text
         text = text.replace("Σ", "σ").lower()
+        if text.isascii() or max(text) < _FIRST_LATE:
+            pieces = self.pieces(text)
+        else:
+            text = text.translate(self.lower)
+            pieces = [text[m.start() : m.end()] for m in self.spans(text.translate(self.other))]
         known, total = self.known, 0
-        for piece, times in Counter(self.pieces(text)).items():
+        for piece, times in Counter(pieces).items():
             n = known.get(piece)
             if n is None:
                 n = self.piece(piece)

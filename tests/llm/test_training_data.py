@@ -493,6 +493,24 @@ def test_tokens_on_odd_strings():
     assert [own.count(t) for t in odd] == [len(library.encode(t, add_special_tokens=False).ids) for t in odd]
 
 
+def test_tokens_of_every_code_point():
+    """Each code point between letters, digits and marks, and alone."""
+    library, own = pytest.importorskip("tokenizers").Tokenizer.from_file(VOCABULARY), tokens.PairCounter(VOCABULARY)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b1{c}2;{c}. {c} {c}{c}" for c in points]
+    for at in range(0, len(texts), 50_000):
+        part = texts[at : at + 50_000]
+        want = [len(e.ids) for e in library.encode_batch(part, add_special_tokens=False)]
+        assert [t for t, n in zip(part, want) if own.count(t) != n] == []
+
+
+def test_tokens_of_a_very_long_text():
+    library, own = pytest.importorskip("tokenizers").Tokenizer.from_file(VOCABULARY), tokens.PairCounter(VOCABULARY)
+    rng = random.Random(1)
+    for t in (" ".join("".join(rng.choice("aeioustrn") for _ in range(rng.randint(1, 9))) for _ in range(400_000)), "ab" * 200_000):
+        assert own.count(t) == len(library.encode(t, add_special_tokens=False).ids)
+
+
 def test_tokens_edges(spark):
     got = [tuple(r) for r in tokens.token_counts(docs_of(spark, [(None, None, "a"), (1, "", "a"), (1, "word " * 3000, "b")]), VOCABULARY).collect()]
     assert Counter(got) == Counter([(None, 0, 0, False), (1, 0, 0, False), (1, 15000, 3000, True)])
@@ -601,6 +619,65 @@ def test_declared_language_behind_long_attributes():
     assert langid.declared("<html " * 50000) is None
 
 
+def test_declared_language_in_quoted_attributes():
+    assert langid.declared('<html data-x="a > b" lang="tr">') == "tr"
+    assert langid.declared("<html data-x=' lang=de ' LANG=fr>") == "fr"
+    assert langid.declared('<html xml:lang="nl">') == "nl" and langid.declared('<html hreflang="nl">') is None
+    assert langid.declared("<html lang=english>") is None
+
+
+def test_short_texts_give_evidence(spark):
+    assert [len(langid.trigrams(t)) for t in ("", None, " .", "a", "de", "a b")] == [0, 0, 0, 1, 2, 3]
+    labelled = spark.createDataFrame([(1, "de la le un", "fr"), (2, "to in of it", "en"), (3, None, "en"), (None, "x", "de")], "id long, text string, lang string")
+    rows = spark.createDataFrame([(1, 2.5, "de", False, None), (1, 2.5, "de", False, None), (2, 0.5, "of", False, None), (3, 1.0, "the of in it " * 200_000, False, None)], "lang long, host double, body string, is_html boolean, url string")
+    out = langid.identify(rows, labelled)
+    assert out.columns == ["lang_", "host", "lang", "confidence", "text_lang", "declared_lang"]
+    assert sorted((r.lang_, r.host, r.lang) for r in out.collect()) == [(1, 2.5, "fr"), (1, 2.5, "fr"), (2, 0.5, "en"), (3, 1.0, "en")]
+
+
+def test_language_matches_brute_force(spark, sf_dir):
+    """Likelihoods, priors and the fusion again by plain loops, over a few pages and documents."""
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    pages = [(r.page_id, r.html, r.url) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(40).collect()]
+    labelled = spark.createDataFrame(docs, "id long, text string, lang string")
+    rows = [(i, h, True, u) for i, h, u in pages] + [(1000 + i, t[:40], False, None) for i, t, _ in docs] + [(5000, "<html lang=xx>", True, pages[0][2])]
+    got = {r.k: r for r in langid.identify(spark.createDataFrame(rows, "k long, body string, is_html boolean, url string"), labelled).collect()}
+    names, counts = sorted({x.lower() for _, _, x in docs}), {}
+
+    def grams(text):
+        low = "".join(chr(b) if b >= 128 or chr(b).isalpha() else " " for b in (text or "").lower().encode())
+        low = " " + " ".join(low.split()) + " "
+        return [((ord(low[i]) << 10) ^ (ord(low[i + 1]) << 5) ^ ord(low[i + 2])) & 65535 for i in range(len(low) - 2)]
+
+    for _, t, x in docs:
+        counts.setdefault(x.lower(), Counter()).update(grams(t))
+    logs = {x: {c: math.log((n + 0.1) / (sum(own.values()) + 6553.6)) for c, n in own.items()} | {None: math.log(0.1 / (sum(own.values()) + 6553.6))} for x, own in counts.items()}
+    soft = lambda v: [math.exp(x - max(v)) / sum(math.exp(y - max(v)) for y in v) for x in v]
+    seen = []
+    for k, body, is_html, url in rows:
+        g = grams(langid.visible(body) if is_html else body)
+        ll = [0.25 * sum(logs[x].get(c, logs[x][None]) for c in g) for x in names]
+        said = langid.declared(body) if is_html else None
+        host = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]+)", url or "")
+        seen.append((k, ll, soft(ll), said, host and host[1].lower()))
+    n = range(len(names))
+    whole = [sum(p[i] for *_, p, _, _ in seen) + 1 for i in n]
+    whole = [x / sum(whole) for x in whole]
+    kinds = [*names, "other"]
+    agree = [[sum(p[i] for *_, p, d, _ in seen if d is not None and (d if d in names else "other") == kind) + 0.5 + 2 * (kind == names[i]) for i in n] for kind in kinds]
+    agree = [[math.log(row[i] / sum(r[i] for r in agree)) for i in n] for row in agree]
+    for k, ll, p, said, host in seen:
+        suffix = host.rsplit(".", 1)[-1] if host and "." in host else None
+        prior = whole
+        if host:
+            of_suffix = [sum(q[i] for *_, q, _, h in seen if suffix and h and "." in h and h.rsplit(".", 1)[-1] == suffix) for i in n]
+            level = [(of_suffix[i] + 20 * whole[i]) / (sum(of_suffix) + 20) for i in n] if suffix else whole
+            rest = [max(0, sum(q[i] for *_, q, _, h in seen if h == host) - p[i]) for i in n]
+            prior = [(rest[i] + 20 * level[i]) / (sum(rest) + 20) for i in n]
+        post = soft([ll[i] + math.log(prior[i]) + (agree[kinds.index(said if said in names else "other")][i] if said is not None else 0) for i in n])
+        assert math.isclose(got[k].confidence, max(post), rel_tol=1e-6) and (got[k].lang == names[post.index(max(post))] or sorted(post)[-1] - sorted(post)[-2] < 1e-9)
+
+
 def test_visible_text():
     assert "".join(langid.visible("a<p>b</p><script>x<y</script>c<!-- d -->e<STYLE>q</STYLE >&amp;f<b").split()) == "abce&f"
     assert langid.visible("<script>never closed") .strip() == "" and langid.visible(None) == ""
@@ -710,6 +787,38 @@ def test_ledger_scans_only_what_is_new(spark):
     assert secret_scan.findings(docs.limit(0)).count() == 0
 
 
+def test_ledger_is_kept_and_merged(spark, tmp_path, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ledger = secret_scan.Ledger(spark, str(tmp_path / "ledger"))
+    first, n = ledger.findings(docs)
+    first = sorted(map(str, first.collect()))
+    assert n == docs.select("text").distinct().count() and ledger.read().count() == n
+    again, m = ledger.findings(docs)
+    plan = secret_scan.scan_new(docs, ledger.read())[1]._jdf.queryExecution().toString()
+    assert m == 0 and "text" not in plan and sorted(map(str, again.collect())) == first
+    more = docs.union(docs.limit(3).withColumn("text", F.lit("token=abcdefgh9")).select(docs.columns))  # new versions of three paths
+    out, m = ledger.findings(more)
+    assert m == 1 and out.count() == docs.count() + 3
+    other = secret_scan.Ledger(spark, str(tmp_path / "other"))
+    other.findings(docs_of(spark, [(1, "token=abcdefgh9", "a"), (2, "secret=zzzzzzz", "a")]))
+    ledger.merge(other.read())
+    assert ledger.read().count() == n + 2 and ledger.findings(more, rule_version=7)[1] == n + 1
+
+
+def test_row_keys_broadcast_or_by_bitmap(spark, sf_dir, monkeypatch):
+    docs, names = common.keyed(spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("row_at", F.lit("clash")))
+    assert names == ["row_file", "row_at_"]
+    want = {r.doc_id for r in docs.where("doc_id % 3 = 0").collect()}
+    keys = common.stored(docs.where("doc_id % 3 = 0").select(*names))
+    for most, bits in ((10**6, 1 << 29), (0, 1 << 29), (0, 1 << 17), (0, 64)):
+        monkeypatch.setattr(common, "MOST_KEYS", most)
+        monkeypatch.setattr(common, "BITS", bits)
+        got = [r.doc_id for r in common.by_key(docs, names, keys, "left_semi").select("rows.doc_id").collect()]
+        assert sorted(got) == sorted(want)
+        left = [r.doc_id for r in common.by_key(docs, names, keys, "left_anti").select("rows.doc_id").collect()]
+        assert len(left) + len(got) == docs.count() and not set(left) & want
+
+
 # --- personal data
 
 
