@@ -96,6 +96,30 @@ def test_nearest_recall(spark, sf_dir):
     assert set(got) == {i for i in ids.tolist() if i % 100 == 0} and hit >= 0.9 * 10 * len(got)
 
 
+def test_nearest_reads_few_of_many_lists(spark, tmp_path, monkeypatch):
+    """Over 100 lists: recall against brute force, the share of lists read, and an index kept and loaded."""
+    rng = np.random.default_rng(7)
+    middle = rng.normal(size=(300, 24)) * 3
+    x = middle[rng.integers(0, 300, 12_000)] + rng.normal(size=(12_000, 24))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "SHARD_QUERIES", 40)
+    path = str(tmp_path / "index")
+    ann.Index.build(df, path=path, list_rows=64).save(path)
+    index = ann.Index.load(spark, path)
+    asked = df.where("vec_id % 100 = 0")
+    lists = index.lists_of(asked).select(F.avg(F.size("lists"))).first()[0]
+    assert len(index.centroids.points) >= 100 and lists / len(index.centroids.points) < 0.3
+    hit, got = 0, defaultdict(set)
+    for r in index.search(asked, shard_rows=1000).collect():
+        got[r.query_id].add(r.vec_id)
+    for q in range(0, 12_000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.9 * 1200
+    assert index.search(asked.limit(0)).count() == 0
+
+
 def test_graph_walk_finds_the_nearest_centroids():
     rng = np.random.default_rng(0)
     points, q = rng.normal(size=(900, 8)), rng.normal(size=(50, 8))
