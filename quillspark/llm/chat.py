@@ -83,25 +83,77 @@ def check_arguments(calls: DataFrame, tools: DataFrame) -> DataFrame:
     return rows.withColumn("problems", problems).drop("sc", "sn", "parameters", "fields", "props")
 
 
+#: Conversations of so many edges at most, and of so many that lead back in turn, are ordered in one row.
+FOLD_EDGES, FOLD_BACK = 1024, 16
+
+
 def topological(nodes_edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """(conv, node, turn, ready long, depth long, cyclic boolean) of every end of the edges
     (conv, a_node, a_turn, b_node, b_turn), a before b.
 
-    Kahn's rounds: a message is placed once all before it are. depth is the longest way to it, ready
-    the latest turn on any way to it; messages on or behind a cycle are never placed, and keep their
-    turn. Sorting by (ready, depth, turn) puts every placed message behind what it needs. Chains
-    deeper than `max_depth` raise a RuntimeError.
+    A message is placed once all before it are. depth is the longest way to it, ready the latest turn
+    on any way to it; messages on or behind a cycle are never placed, and keep their turn. Sorting by
+    (ready, depth, turn) puts every placed message behind what it needs.
+
+    A conversation of few edges (FOLD_EDGES, a bound on what is gathered) is folded in its row, see
+    _folded(); others, and those with a cycle, go through Kahn's rounds over the whole table, where
+    chains deeper than `max_depth` raise a RuntimeError.
     """
     edges = stored(nodes_edges.distinct())
+    back = F.coalesce(F.col("a_turn") >= F.col("b_turn"), F.lit(True))
+    sizes = edges.groupBy(F.col("conv").alias("c")).agg(F.count("*").alias("n"), F.count_if(back).alias("back"))
+    small = sizes.where((F.col("n") <= FOLD_EDGES) & (F.col("back") <= FOLD_BACK)).select("c")
+    own = F.col("conv").eqNullSafe(F.col("c"))
+    folded = stored(_folded(edges.join(small, own, "left_semi")))
+    settled = folded.where("settled").select(F.col("conv").alias("c"))
+    rest = _rounds(stored(edges.join(settled, own, "left_anti")), max_depth)
+    # Each list once: the exploded places are the conversation's messages.
+    placed = folded.where("settled").select("conv", F.explode("places").alias("p")).select("conv", "p.node", "p.turn", "p.ready", "p.depth", F.lit(False).alias("cyclic"))
+    return placed.union(rest)
+
+
+def _folded(edges: DataFrame) -> DataFrame:
+    """(conv, places array of (node, turn, ready, depth), settled) of each conversation: its messages
+    in order of turn, edges swept in order of the message that they lead to until nothing changes.
+
+    One sweep places all that edges onward in turn reach, and each edge back in turn asks for one more
+    at most; what has not settled by then has a cycle.
+    """
+    conv = edges.groupBy("conv").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(F.struct(F.col("a_turn").alias("turn"), F.col("a_node").alias("node")), F.struct(F.col("b_turn").alias("turn"), F.col("b_node").alias("node"))))))).alias("at"),
+        F.collect_list(F.struct(F.struct(F.col("a_turn").alias("turn"), F.col("a_node").alias("node")).alias("a"), F.struct(F.col("b_turn").alias("turn"), F.col("b_node").alias("node")).alias("b"))).alias("own"),
+    )
+    conv = conv.withColumn("own", F.array_sort(F.transform("own", lambda e: F.struct(F.array_position("at", e.b).alias("b"), F.array_position("at", e.a).alias("a")))))
+    start = F.struct(F.transform("at", lambda x: x.turn).alias("ready"), F.transform("at", lambda x: F.lit(0).cast("long")).alias("depth"), F.lit(True).alias("changed"))
+
+    def step(s, e):
+        ready, depth = F.element_at(s.ready, e.a.cast("int")), F.element_at(s.depth, e.a.cast("int")) + 1
+        later, deeper = ready > F.element_at(s.ready, e.b.cast("int")), depth > F.element_at(s.depth, e.b.cast("int"))
+        put = lambda values, v, more: F.when(more, F.transform(values, lambda x, i: F.when(i + 1 == e.b, v).otherwise(x))).otherwise(values)
+        later, deeper = F.coalesce(later, F.lit(False)), F.coalesce(deeper, F.lit(False))
+        return F.struct(put(s.ready, ready, later).alias("ready"), put(s.depth, depth, deeper).alias("depth"), (s.changed | later | deeper).alias("changed"))
+
+    fresh = lambda s: F.struct(s.ready.alias("ready"), s.depth.alias("depth"), F.lit(False).alias("changed"))
+    back = F.size(F.filter("own", lambda e: e.a >= e.b))
+    swept = F.aggregate(F.sequence(F.lit(0), back + 1), start, lambda s, _: F.when(s.changed, F.aggregate("own", fresh(s), step)).otherwise(s))
+    conv = conv.withColumn("s", swept)
+    places = F.transform(F.arrays_zip("at", F.col("s.ready"), F.col("s.depth")), lambda z: F.struct(z["at"].node.alias("node"), z["at"].turn.alias("turn"), z["ready"].alias("ready"), z["depth"].alias("depth")))
+    return conv.select("conv", places.alias("places"), (~F.col("s.changed")).alias("settled"))
+
+
+def _rounds(edges: DataFrame, max_depth: int) -> DataFrame:
+    """topological() of stored edges by Kahn's rounds."""
+    if edges.isEmpty():
+        return edges.select("conv", F.col("a_node").alias("node"), F.col("a_turn").alias("turn"), F.col("a_turn").alias("ready"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("cyclic"))
     ends = edges.select("conv", F.col("a_node").alias("node"), F.col("a_turn").alias("turn")).union(edges.select("conv", F.col("b_node").alias("node"), F.col("b_turn").alias("turn"))).distinct()
     state = stored(ends.withColumn("ready", F.col("turn")).withColumn("depth", F.lit(0).cast("long")))
     done, left = None, edges
     key = lambda a, b, n: F.col(f"{a}.conv").eqNullSafe(F.col(f"{b}.conv")) & (F.col(f"{a}.node") == F.col(f"{b}.{n}_node")) & F.col(f"{a}.turn").eqNullSafe(F.col(f"{b}.{n}_turn"))
-    for _ in range(max_depth):
+    for number in range(max_depth):
         free = stored(state.alias("s").join(left.alias("e"), key("s", "e", "b"), "left_anti"))
         if free.isEmpty():
             break
-        done = free if done is None else done.union(free)
+        done = free if done is None else stored(done.union(free)) if number % 16 == 15 else done.union(free)
         out = left.alias("e").join(free.alias("s"), key("s", "e", "a")).groupBy(F.col("e.conv").alias("conv"), F.col("b_node").alias("node"), F.col("b_turn").alias("turn")).agg(F.max("ready").alias("r"), (F.max("depth") + 1).alias("d"))
         rest = state.alias("s").join(left.alias("e"), key("s", "e", "b"), "left_semi")
         same = F.col("s.conv").eqNullSafe(F.col("o.conv")) & (F.col("s.node") == F.col("o.node")) & F.col("s.turn").eqNullSafe(F.col("o.turn"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import ann, chat, decontaminate, langid, mixture, pii, quality, secret_scan, simhash, tokens
@@ -34,6 +35,26 @@ def op5_chat(spark: SparkSession, d: str) -> DataFrame:
     return chat.format_messages(table(spark, d, "conversations"))
 
 
+def tool_links(spark: SparkSession, d: str) -> DataFrame:
+    """What op5's operator links, over conversations made of the table's turns, which hold no calls of
+    their own: of every conversation's messages each even turn is a call that needs the result before it,
+    and each odd turn a result. Odd conversations stand in the reverse order; in every seventh the first call
+    also needs the last result, which is a cycle. A call of a text with an `a` lacks an argument."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("last", F.max("turn").over(W.partitionBy("conv_id"))).where("turn <= last - (last + 1) % 2")
+    call_id = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    end = F.col("last") - F.col("last") % 2 - F.when(F.col("last") % 2 == 0, 2).otherwise(0)
+    need = F.when(F.col("turn") > 0, F.array(call_id(F.col("turn") - 2))).when((F.col("conv_id") % 7 == 0), F.array(call_id(end))).otherwise(F.array().cast("array<string>"))
+    given = F.when(F.instr("text", "a") > 0, F.lit('{"n":1}')).otherwise(F.lit('{"n":1,"q":"x"}'))
+    call = F.to_json(F.struct(F.array(F.struct(call_id(F.col("turn")).alias("id"), F.lit("find").alias("name"), given.alias("arguments"), need.alias("depends_on"))).alias("tool_calls")))
+    result = F.to_json(F.struct(call_id(F.col("turn") - 1).alias("tool_call_id"), F.lit("done").alias("content")))
+    place = F.when(F.col("conv_id") % 2 == 0, F.col("turn")).otherwise(F.col("last") - F.col("turn"))
+    made = rows.select("conv_id", place.alias("turn"), F.when(F.col("turn") % 2 == 0, "assistant").otherwise("tool").alias("role"), F.when(F.col("turn") % 2 == 0, call).otherwise(result).alias("text"))
+    tools = rows.where("turn = 0").select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("system").alias("role"), F.lit('{"tools":[{"name":"find","parameters":{"properties":{"n":{"type":"integer"},"q":{"type":"string"}},"required":["q"]}}]}').alias("text"))
+    out = chat.format_messages(made.withColumn("turn", F.col("turn").cast("long")).union(tools))
+    return out.select("conv_id", "turn", "ready", "depth", "kind", "n_calls", "problems", "cyclic")
+
+
 def op6_language(spark: SparkSession, d: str) -> DataFrame:
     """Pages by text, markup, suffix and host; documents, which have no markup and no address, by
     text and the table's shares."""
@@ -64,7 +85,7 @@ def op10_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_nearest, op2_quality, op3_simhash, op4_tokens, op5_chat, op6_language, op7_decontaminate, op8_secrets, op9_pii, op10_mixture)}
+    return {f.__name__: f for f in (op1_nearest, op2_quality, op3_simhash, op4_tokens, op5_chat, tool_links, op6_language, op7_decontaminate, op8_secrets, op9_pii, op10_mixture)}
 
 
 _OP10 = r"""
@@ -105,5 +126,21 @@ FROM (SELECT conv_id, turn, lower(trim(coalesce(role, ''))) AS role,
 """
 
 
+_TOOL_LINKS = r"""
+WITH m AS (SELECT conv_id, turn, coalesce(text, '') AS text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+r AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, CASE WHEN conv_id % 2 = 0 THEN turn ELSE last - turn END AS place
+      FROM m WHERE turn <= last - (last + 1) % 2)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(place AS BIGINT) AS turn,
+       CAST(CASE WHEN conv_id % 7 = 0 OR conv_id % 2 = 0 THEN place ELSE last END AS BIGINT) AS ready,
+       CAST(CASE WHEN conv_id % 7 = 0 THEN 0 ELSE turn END AS BIGINT) AS depth,
+       CASE WHEN turn % 2 = 0 THEN 'calls' ELSE 'result' END AS kind, CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS n_calls,
+       CASE WHEN turn % 2 = 0 AND contains(text, 'a') THEN ['missing q'] ELSE CAST([] AS VARCHAR[]) END AS problems,
+       conv_id % 7 = 0 AS cyclic
+FROM r
+UNION ALL
+SELECT CAST(conv_id AS BIGINT), -1, -1, 0, 'message', 0, CAST([] AS VARCHAR[]), false FROM r WHERE turn = 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": _OP5, "op10_mixture": _OP10}
+    return {"tool_links": _TOOL_LINKS, "op5_chat": _OP5, "op10_mixture": _OP10}

@@ -587,7 +587,48 @@ def test_chat_topological_order(spark):
     assert chat.format_messages(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_chat_deep_chain_is_no_cycle(spark):
+def slow_order(edges):
+    """{(conv, node): (ready, depth, cyclic)} by relaxing one edge at a time."""
+    turn, before = {}, defaultdict(set)
+    for c, a, ta, b, tb in edges:
+        turn[c, a], turn[c, b] = ta, tb
+        before[c, b].add((c, a))
+    out, left = {}, set(turn)
+    while free := [n for n in left if not before[n] & left]:
+        for n in free:
+            out[n] = (max([turn[n], *(out[p][0] for p in before[n])]), max([0, *(out[p][1] + 1 for p in before[n])]), False)
+        left -= set(free)
+    return out | {n: (turn[n], 0, True) for n in left}
+
+
+def test_chat_order_matches_brute_force(spark, monkeypatch):
+    """Random graphs with and without cycles, folded in their rows and by rounds."""
+    rng, edges = random.Random(8), set()
+    for c in range(30):
+        n = rng.randint(2, 12)
+        turn = rng.sample(range(50), n)
+        for _ in range(rng.randint(1, 14)):
+            a, b = rng.sample(range(n), 2)
+            if c % 3 and a > b:
+                a, b = b, a
+            edges.add((c, a, turn[a], b, turn[b]))
+    edges |= {(100, i, i, i + 1, i + 1) for i in range(300)} | {(101, 5, 5, 5, 5)}
+    df = spark.createDataFrame(sorted(edges), "conv long, a_node long, a_turn long, b_node long, b_turn long")
+    want = slow_order(edges)
+    assert {(r.conv, r.node): (r.ready, r.depth, r.cyclic) for r in chat.topological(df).collect()} == want
+    monkeypatch.setattr(chat, "FOLD_EDGES", 0)
+    some = df.where("conv < 12")
+    assert {(r.conv, r.node): (r.ready, r.depth, r.cyclic) for r in chat.topological(some).collect()} == {k: v for k, v in want.items() if k[0] < 12}
+
+
+def test_chat_odd_rows(spark):
+    rows = [(1, None, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": {}}]})), (1, None, "tool", json.dumps({"tool_call_id": "a", "content": "x" * 2_000_000})), (1, 3, "user", "y" * 2_000_000)]
+    got = {r.kind: r for r in chat.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {"calls", "result", "message"} and len(got["result"].message) > 2_000_000 and got["result"].depth == 1 and got["result"].turn is None
+
+
+def test_chat_deep_chain_is_no_cycle(spark, monkeypatch):
+    monkeypatch.setattr(chat, "FOLD_EDGES", 0)
     chain = spark.createDataFrame([(1, i, i, i + 1, i + 1) for i in range(3)], "conv long, a_node long, a_turn long, b_node long, b_turn long")
     with pytest.raises(RuntimeError, match="3 deep"):
         chat.topological(chain, max_depth=3)
