@@ -24,13 +24,13 @@ def chunk_energy(signal: DataFrame, size: int = 400, form: str = "ln") -> DataFr
 
 
 def fixed(chunks: DataFrame, threshold: float = 20.0, shortest: int = 5, silence: int = 10) -> DataFrame:
-    """(utt, start, complete): the first chunk of speech, and the chunk at which speech of at least
+    """(utt, start, complete): the first voiced chunk, and the chunk at which voiced ones of at least
     `shortest` chunks in all is followed by `silence` silent ones in a row; null where never."""
     w = W.partitionBy("utt").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    speech = F.coalesce(F.col("energy") > threshold, F.lit(False))
-    rows = chunks.withColumn("_n", F.sum(speech.cast("int")).over(w)).withColumn("_last", F.max(F.when(speech, F.col("seq"))).over(w))
+    voiced = F.coalesce(F.col("energy") > threshold, F.lit(False))
+    rows = chunks.withColumn("_n", F.sum(voiced.cast("int")).over(w)).withColumn("_last", F.max(F.when(voiced, F.col("seq"))).over(w))
     done = (F.col("_n") >= shortest) & (F.col("seq") - F.col("_last") >= silence)
-    return rows.groupBy("utt").agg(F.min(F.when(speech, F.col("seq"))).alias("start"), F.min(F.when(done, F.col("seq"))).alias("complete"))
+    return rows.groupBy("utt").agg(F.min(F.when(voiced, F.col("seq"))).alias("start"), F.min(F.when(done, F.col("seq"))).alias("complete"))
 
 
 def noise_floor(chunks: DataFrame, first: int = 10, last: int = 19) -> DataFrame:
@@ -49,7 +49,7 @@ class Adaptive:
     adjustment: float = 0.05
     threshold: float = 10.0
     track: str = "level"
-    hold: int = 0  # silent chunks that still count as speech
+    hold: int = 0  # silent chunks that still count as voiced
     silent: int = field(default=0)
 
     def step(self, energy: float, offset: float = 0.0) -> bool:
@@ -67,7 +67,7 @@ class Adaptive:
 
 
 def adaptive(chunks: DataFrame, threshold: float = 10.0, forget: float = 1.0, adjustment: float = 0.05, track: str = "level", hold: int = 0, start: float = 0.0) -> DataFrame:
-    """(utt, seq, level, background, speech) of every chunk; a chunk without energy counts as the
+    """(utt, seq, level, background, voiced) of every chunk; a chunk without energy counts as the
     background. One stream is folded in one task."""
     kind = dict(chunks.dtypes)["utt"]
 
@@ -75,30 +75,30 @@ def adaptive(chunks: DataFrame, threshold: float = 10.0, forget: float = 1.0, ad
         pdf = pdf.sort_values("seq")
         state, out = Adaptive(start, start, forget, adjustment, threshold, track, hold), []
         for e in pdf["energy"]:
-            speech = state.step(state.background if e is None or math.isnan(e) else e)
-            out.append((state.level, state.background, speech))
-        return pd.DataFrame({"utt": pdf["utt"], "seq": pdf["seq"], "level": [o[0] for o in out], "background": [o[1] for o in out], "speech": [o[2] for o in out]})
+            voiced = state.step(state.background if e is None or math.isnan(e) else e)
+            out.append((state.level, state.background, voiced))
+        return pd.DataFrame({"utt": pdf["utt"], "seq": pdf["seq"], "level": [o[0] for o in out], "background": [o[1] for o in out], "voiced": [o[2] for o in out]})
 
-    return chunks.select("utt", "seq", "energy").groupBy("utt").applyInPandas(run, f"utt {kind}, seq long, level double, background double, speech boolean")
+    return chunks.select("utt", "seq", "energy").groupBy("utt").applyInPandas(run, f"utt {kind}, seq long, level double, background double, voiced boolean")
 
 
 def run_start(flags: DataFrame, need: int = 6) -> DataFrame:
-    """(utt, start): the first chunk that ends a run of more than `need` speech chunks."""
+    """(utt, start): the first chunk that ends a run of more than `need` voiced chunks."""
     w = W.partitionBy("utt").orderBy("seq")
-    island = F.col("seq") - F.row_number().over(W.partitionBy("utt", "speech").orderBy("seq"))
+    island = F.col("seq") - F.row_number().over(W.partitionBy("utt", "voiced").orderBy("seq"))
     rows = flags.withColumn("_g", island)
-    run = F.row_number().over(W.partitionBy("utt", "speech", "_g").orderBy("seq"))
-    rows = rows.withColumn("_run", F.when(F.col("speech"), run).otherwise(0)).withColumn("_first", F.first("seq").over(w))
+    run = F.row_number().over(W.partitionBy("utt", "voiced", "_g").orderBy("seq"))
+    rows = rows.withColumn("_run", F.when(F.col("voiced"), run).otherwise(0)).withColumn("_first", F.first("seq").over(w))
     return rows.groupBy("utt").agg(F.min(F.when(F.col("_run") > need, F.col("seq"))).alias("start"))
 
 
 def tail_prune(flags: DataFrame, run: int = 5, keep: int = 15) -> DataFrame:
-    """(utt, keep_chunks): back from the end to `run` speech chunks in a row; those and `keep` more
+    """(utt, keep_chunks): back from the end to `run` voiced chunks in a row; those and `keep` more
     stay. Without such a run all before the last look stays."""
     w = W.partitionBy("utt").orderBy(F.desc("seq"))
     rows = flags.withColumn("_back", F.row_number().over(w))
     ahead = w.rowsBetween(-(run - 1), 0)
-    rows = rows.withColumn("_hit", (F.count_if("speech").over(ahead) == run))
+    rows = rows.withColumn("_hit", (F.count_if("voiced").over(ahead) == run))
     got = rows.groupBy("utt").agg(F.max("seq").alias("_top"), F.max(F.when(F.col("_hit"), F.col("seq"))).alias("_at"), F.min("seq").alias("_low"))
     end = F.least(F.coalesce("_at", "_low") + run + keep, F.col("_top") + 1)
     return got.select("utt", end.alias("keep_chunks"))

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 BLOCK = 1 << 16
 
 
@@ -256,24 +258,142 @@ def vectors(features: DataFrame, value: str = "v") -> DataFrame:
     return features.groupBy("utt", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", F.col(value).alias("x")))), lambda s: s["x"]).alias("vec"))
 
 
-def mfcc(signal: DataFrame, p: Profile = PY) -> DataFrame:
-    """(utt, t, vec): cepstra with first and second differences under one profile."""
-    y = pre_emphasis(signal, p.alpha)
-    base = long_form(cepstra_direct(frames(y, p, "y"), p), "cepstra")
-    if p.normalise_first:
-        base = z_score(base)
-    k = p.keep
-    if p.forward:
-        both = delta_forward(delta_forward(base), "delta", "delta2")
-    else:
-        both = delta_central(delta_central(base), "delta", "delta2", edge=2)
-    parts = F.array(*[F.struct((F.col("d") + k * j).alias("d"), F.col(c).alias("v")) for j, c in enumerate(("v", "delta", "delta2"))])
-    out = both.select("utt", "t", F.explode(parts).alias("p")).select("utt", "t", "p.d", "p.v")
-    if p.trim:
-        out = edge_trim(out, p.trim)
-    if not p.normalise_first:
-        out = z_score(out)
-    return vectors(out)
+#: Frames that one block owns, and frames that it holds besides on either side for the differences.
+FRAMES, HALO = 2048, 2
+
+
+def sample_blocks(signal: DataFrame, p: Profile = PY, frames_per_block: int = FRAMES) -> DataFrame:
+    """(utt, b, n, first, x array<double>): the samples that block b's frames need, from place `first` on,
+    of an utterance of n. A sample is in one block, but for those near a block's ends, which are in two."""
+    length = signal.groupBy(F.col("utt").alias("u")).agg((F.max("i") + 1).alias("n"))
+    low = F.greatest(F.ceil((F.col("i") - p.frame + 1) / p.shift) - HALO, F.lit(0))
+    high = F.floor((F.col("i") + 1) / p.shift) + HALO
+    rows = signal.withColumn("b", F.explode(F.sequence(F.floor(low / frames_per_block), F.floor(high / frames_per_block))))
+    got = rows.groupBy("utt", "b").agg(F.array_sort(F.collect_list(F.struct("i", F.col("x").cast("double").alias("x")))).alias("s"))
+    got = got.join(length, F.col("utt").eqNullSafe(F.col("u")))
+    return got.select("utt", "b", "n", F.col("s")[0]["i"].alias("first"), F.transform("s", lambda s: s["x"]).alias("x"))
+
+
+def array_blocks(recordings: DataFrame, p: Profile = PY, frames_per_block: int = FRAMES) -> DataFrame:
+    """sample_blocks() of recordings (utt, samples array), cut from the arrays: no row a sample."""
+    n = F.size("samples").cast("long")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.floor(F.greatest(n - 1, F.lit(0)) / p.shift) / frames_per_block))).alias("b")
+    rows = recordings.where(F.size("samples") > 0).select("utt", n.alias("n"), "samples", blocks)
+    first = F.greatest((F.col("b") * frames_per_block - HALO) * p.shift - 1, F.lit(0))
+    size = ((F.col("b") + 1) * frames_per_block + HALO) * p.shift + p.frame - first
+    x = F.slice("samples", (first + 1).cast("int"), size.cast("int"))
+    return rows.select("utt", "b", "n", first.alias("first"), F.transform(x, lambda v: v.cast("double")).alias("x"))
+
+
+def _total(n: int, p: Profile) -> int:
+    return {"drop": max(0, (n - p.frame) // p.shift + 1), "keep": max(0, -(-(n - p.frame) // p.shift) + 1), "every": -(-n // p.shift)}[p.tail]
+
+
+def _cepstra_of(x: np.ndarray, first: int, n: int, low: int, high: int, p: Profile, weights: np.ndarray, bank: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """The cepstra of frames low to high of an utterance of n samples, of which x begins at first."""
+    y = x.copy()
+    y[1:] -= p.alpha * x[:-1]
+    at = np.arange(low, high)[:, None] * p.shift + np.arange(p.frame)[None, :]
+    inside = at < n
+    left = (p.fft - p.frame) // 2 if p.centred else 0
+    frame = np.zeros((high - low, p.fft))
+    frame[:, left : left + p.frame] = np.where(inside, y[np.where(inside, at - first, 0)], 0.0)
+    s = np.abs(np.fft.rfft(frame * weights, axis=1))
+    m = (s * s if p.power else s) @ bank.T
+    logs = np.log(np.where(m > 0, m, np.nan))
+    if p.dct > p.bands:
+        logs = np.hstack([logs, np.zeros((len(logs), p.dct - p.bands))])
+    return logs @ turn.T
+
+
+def _differences(base: np.ndarray, low: int, total: int, p: Profile) -> np.ndarray:
+    """base, of frames from low on, with first and second differences beside it; right for all but the
+    HALO frames at an end that is not the utterance's."""
+    t, last = np.arange(low, low + len(base))[:, None], total - 1
+
+    def central(v, edge):
+        d = np.zeros_like(v)
+        d[1:-1] = v[2:] - v[:-2]
+        return np.where((t >= edge) & (t <= last - edge), d, 0.0)
+
+    def forward(v):
+        return np.where(t < last, np.vstack([v[1:] - v[:-1], v[-1:]]), v)
+
+    one = forward(base) if p.forward else central(base, 1)
+    two = forward(one) if p.forward else central(one, 2)
+    return np.hstack([base, one, two])
+
+
+def mfcc_blocks(blocks: DataFrame, p: Profile = PY, frames_per_block: int = FRAMES) -> DataFrame:
+    """(utt, t, vec): cepstra with first and second differences under one profile, from the blocks of
+    sample_blocks() or array_blocks().
+
+    A block goes from samples to cepstra as matrices in one pass. Its values' counts, means and squared
+    deviations are merged by utterance, and come back to the block for the normalisation. A frame
+    without energy in a band is null and counts in no mean; a dimension that does not vary is null.
+    """
+    kind = dict(blocks.dtypes)["utt"]
+    weights, bank, turn, k = np.array(hamming(p)), mel_bank(p), dct_matrix(p), p.keep * (1 if p.normalise_first else 3)
+    doubles = pa.list_(pa.float64())
+
+    def own(b: int, total: int) -> tuple[int, int]:
+        """The frames that block b gives, those that a trim leaves out not among them."""
+        trim = p.trim
+        return max(b * frames_per_block, trim), min((b + 1) * frames_per_block, total - trim)
+
+    def first_pass(batches):
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                b, n, first = (batch.column(c)[i].as_py() for c in (1, 2, 3))
+                total = _total(n, p)
+                low, high = max(0, b * frames_per_block - HALO), min(total, (b + 1) * frames_per_block + HALO)
+                start, end = own(b, total)
+                if start >= end:
+                    continue
+                x = np.array(batch.column(4)[i].values.to_numpy(zero_copy_only=False), float)
+                v = _cepstra_of(x, first, n, low, high, p, weights, bank, turn)
+                if not p.normalise_first:
+                    v = _differences(v, low, total, p)
+                mine = v[start - low : end - low]
+                some = ~np.isnan(mine)
+                count = some.sum(0)
+                zero = np.array([c[s][0] if s.any() else 0.0 for c, s in zip(mine.T, some.T)])  # so that what does not vary has no deviation
+                mean = np.where(some, mine - zero, 0.0).sum(0) / np.maximum(count, 1)
+                square = np.where(some, (mine - zero - mean) ** 2, 0.0).sum(0)
+                rows.append((i, b, total, low, v.ravel(), count.astype(float), mean + zero, square))
+            cols = list(zip(*rows)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, pa.int64()) for c in cols[1:4]], *[pa.array(list(c), doubles) for c in cols[4:]]], ["utt", "b", "total", "low", "v", "count", "mean", "square"])
+
+    done = stored(blocks.select("utt", "b", "n", "first", "x").mapInArrow(first_pass, f"utt {kind}, b long, total long, low long, v array<double>, count array<double>, mean array<double>, square array<double>"))
+    part = done.select(F.col("utt").alias("u"), F.posexplode(F.arrays_zip("count", "mean", "square")).alias("d", "z")).select("u", "d", "z.*")
+    mean = part.groupBy("u", "d").agg((F.try_divide(F.sum(F.col("count") * F.col("mean")), F.sum("count"))).alias("m"), F.sum("count").alias("n"), F.min("mean").alias("lo"), F.max("mean").alias("hi"))
+    both = part.join(mean.select(F.col("u").alias("mu"), F.col("d").alias("md"), "m", "n", "lo", "hi"), F.col("u").eqNullSafe(F.col("mu")) & (F.col("d") == F.col("md")))
+    apart = F.when(F.col("lo") == F.col("hi"), 0.0).otherwise(F.col("mean") - F.col("m"))
+    spread = both.groupBy("u", "d").agg(F.first("m").alias("m"), F.sqrt(F.try_divide(F.sum(F.col("square") + F.col("count") * apart * apart), F.first("n"))).alias("s"))
+    stats = spread.groupBy("u").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", F.coalesce("m", F.lit(0.0)).alias("m"), F.coalesce("s", F.lit(0.0)).alias("s")))), lambda z: F.struct(z.m.alias("m"), z.s.alias("s"))).alias("z"))
+    rows = done.join(stats, F.col("utt").eqNullSafe(F.col("u"))).select("utt", "b", "total", "low", "v", F.transform("z", lambda z: z.m).alias("m"), F.transform("z", lambda z: z.s).alias("s"))
+
+    def second_pass(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b, total, low = (batch.column(c)[i].as_py() for c in (1, 2, 3))
+                v, m, s = (batch.column(c)[i].values.to_numpy() for c in (4, 5, 6))
+                v = (v.reshape(-1, k) - m) / np.where(s > 0, s, np.nan)
+                if p.normalise_first:
+                    v = _differences(v, low, total, p)
+                start, end = own(b, total)
+                v = v[start - low : end - low]
+                flat = pa.array(v.ravel(), from_pandas=True)  # not a number: null
+                offsets = pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(v), batch.column(0).type), pa.array(np.arange(start - p.trim, end - p.trim)), pa.ListArray.from_arrays(offsets, flat)], ["utt", "t", "vec"])
+
+    return rows.mapInArrow(second_pass, f"utt {kind}, t long, vec array<double>")
+
+
+def mfcc(signal: DataFrame, p: Profile = PY, frames_per_block: int = FRAMES) -> DataFrame:
+    """mfcc_blocks() of a signal (utt, i, x)."""
+    return mfcc_blocks(sample_blocks(signal, p, frames_per_block), p, frames_per_block)
 
 
 def stages(signal: DataFrame, p: Profile = PY) -> dict[str, DataFrame]:

@@ -34,6 +34,7 @@ def _long(df: DataFrame, name: str, digits: int = 6) -> DataFrame:
 
 
 _SIG = "sig AS (SELECT user_id AS utt, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CAST(value AS DOUBLE) AS x FROM events)"
+_EMPHASISED = _SIG.replace("sig AS", "raw AS") + ", sig AS (SELECT utt, i, coalesce(x - 0.95 * lag(x) OVER (PARTITION BY utt ORDER BY i), x) AS x FROM raw)"
 _FEAT = _SIG + ", feat AS (SELECT utt, i AS t, 0 AS d, x AS v FROM sig UNION ALL SELECT utt, i, 1, CAST(i % 7 AS DOUBLE) FROM sig)"
 
 
@@ -93,15 +94,38 @@ def _feature_out(df: DataFrame, name: str) -> DataFrame:
     return df.select("utt", F.col("t").cast("long").alias("t"), "d", F.round(name, 6).alias("v"))
 
 
+def _mfcc(spark, d, p):
+    out = signal.mfcc(wave(spark, d), p, 3)
+    return out.select("utt", "t", F.transform("vec", lambda v: F.round(v, 5) + 0.0).alias("vec"))
+
+
+def _mfcc_sql(p) -> str:
+    """Cepstra, normalisation and differences, each as in its own query, put together."""
+    score = "CASE WHEN stddev_pop(v) OVER q > 1e-12 THEN (v - avg(v) OVER q) / stddev_pop(v) OVER q END"
+    base = f"SELECT utt, f AS t, c AS d, {score if p.normalise_first else 'v'} AS v FROM cep WINDOW q AS (PARTITION BY utt, c)"
+    if p.forward:
+        one = f"SELECT *, coalesce(lead(v) OVER ({_D}) - v, v) AS d1 FROM m0"
+        two = f"SELECT *, coalesce(lead(d1) OVER ({_D}) - d1, d1) AS d2 FROM m1"
+    else:
+        last = "max(t) OVER (PARTITION BY utt)"
+        one = f"SELECT *, CASE WHEN t BETWEEN 1 AND {last} - 1 THEN lead(v) OVER ({_D}) - lag(v) OVER ({_D}) ELSE 0.0 END AS d1 FROM m0"
+        two = f"SELECT *, CASE WHEN t BETWEEN 2 AND {last} - 2 THEN lead(d1) OVER ({_D}) - lag(d1) OVER ({_D}) ELSE 0.0 END AS d2 FROM m1"
+    k = p.keep
+    long = f"SELECT utt, t, d, v FROM m2 UNION ALL SELECT utt, t, d + {k}, d1 FROM m2 UNION ALL SELECT utt, t, d + {2 * k}, d2 FROM m2"
+    kept = f"SELECT utt, t - {p.trim} AS t, d, v FROM (SELECT *, max(t) OVER (PARTITION BY utt) AS last FROM m3) WHERE t BETWEEN {p.trim} AND last - {p.trim}"
+    final = "v" if p.normalise_first else score
+    return f"WITH {_dct_sql(p).replace(_SIG, _EMPHASISED)}, m0 AS ({base}), m1 AS ({one}), m2 AS ({two}), m3 AS ({long}), m4 AS ({kept}), m5 AS (SELECT utt, t, d, {final} AS v FROM m4 WINDOW q AS (PARTITION BY utt, d)) SELECT utt, CAST(t AS BIGINT) AS t, list(round(v, 5) + 0.0 ORDER BY d) AS vec FROM m5 GROUP BY utt, t"
+
+
 def _chunks(spark, d, form="ln", size=4):
     return endpoint.chunk_energy(wave(spark, d), size, form)
 
 
 def _flags(spark, d):
-    return _chunks(spark, d).select("utt", "seq", F.coalesce(F.col("energy") > 11, F.lit(False)).alias("speech"))
+    return _chunks(spark, d).select("utt", "seq", F.coalesce(F.col("energy") > 11, F.lit(False)).alias("voiced"))
 
 
-_CH = _SIG + ", ch AS (SELECT utt, i // 4 AS seq, sum(x * x) AS s FROM sig GROUP BY utt, i // 4), en AS (SELECT utt, seq, CASE WHEN s > 0 THEN ln(s) END AS energy, s FROM ch), fl AS (SELECT utt, seq, coalesce(energy > 11, false) AS speech, energy FROM en)"
+_CH = _SIG + ", ch AS (SELECT utt, i // 4 AS seq, sum(x * x) AS s FROM sig GROUP BY utt, i // 4), en AS (SELECT utt, seq, CASE WHEN s > 0 THEN ln(s) END AS energy, s FROM ch), fl AS (SELECT utt, seq, coalesce(energy > 11, false) AS voiced, energy FROM en)"
 
 _D = "PARTITION BY utt, d ORDER BY t"
 _DELTA = _FEAT + f", a AS (SELECT *, max(t) OVER (PARTITION BY utt) AS last, lead(v) OVER ({_D}) AS nx, lag(v) OVER ({_D}) AS pv FROM feat), d1 AS (SELECT utt, t, d, last, CASE WHEN t >= 1 AND t <= last - 1 THEN nx - pv ELSE 0.0 END AS v FROM a), b AS (SELECT *, lead(v) OVER ({_D}) AS nx, lag(v) OVER ({_D}) AS pv FROM d1), d2 AS (SELECT utt, t, d, CASE WHEN t >= 2 AND t <= last - 2 THEN nx - pv ELSE 0.0 END AS v FROM b)"
@@ -122,7 +146,7 @@ lv(utt, seq, level, background) AS (
     SELECT utt, seq, l, CASE WHEN e < background THEN l ELSE background + (e - background) * 0.05 END AS b FROM (
       SELECT lv.utt, lv.seq + 1 AS seq, (lv.level + coalesce(en.energy, lv.background)) / 2 AS l, coalesce(en.energy, lv.background) AS e, lv.background
       FROM lv JOIN en ON en.utt = lv.utt AND en.seq = lv.seq + 1)))
-SELECT utt, seq, round(level, 6) AS level, round(background, 6) AS background, level - background > 5 AS speech FROM lv WHERE seq >= 0
+SELECT utt, seq, round(level, 6) AS level, round(background, 6) AS background, level - background > 5 AS voiced FROM lv WHERE seq >= 0
 """
 
 
@@ -147,17 +171,17 @@ def queries() -> dict:
         "delta2_forward": lambda s, d: _feature_out(signal.delta_forward(signal.delta_forward(_features(s, d)), "delta", "delta2"), "delta2"),
         "zscore": lambda s, d: _feature_out(signal.z_score(_features(s, d)), "v"),
         "edge_trim": lambda s, d: _feature_out(signal.edge_trim(_features(s, d)), "v"),
-        "mfcc_py": lambda s, d: signal.mfcc(wave(s, d), PY),
-        "mfcc_cpp": lambda s, d: signal.mfcc(wave(s, d), CPP),
-        "mfcc_g5": lambda s, d: signal.mfcc(wave(s, d), G5),
+        "mfcc_py": lambda s, d: _mfcc(s, d, PY),
+        "mfcc_cpp": lambda s, d: _mfcc(s, d, CPP),
+        "mfcc_g5": lambda s, d: _mfcc(s, d, G5),
         "mel_scale": lambda s, d: table(s, d, "events").select("event_id", F.round(C.hz_to_mel(F.col("value")), 6).alias("mel"), F.round(C.mel_to_hz(C.hz_to_mel(F.col("value"))), 6).alias("hz"), F.round(C.hz_to_mel_ln(F.col("value")), 6).alias("mel_ln"), F.round(C.mel_to_hz_ln(C.hz_to_mel_ln(F.col("value"))), 6).alias("hz_ln")),
         "chunk_energy": lambda s, d: _chunks(s, d).select("utt", "seq", F.round("energy", 6).alias("energy")),
         "chunk_energy_db": lambda s, d: _chunks(s, d, "db").select("utt", "seq", F.round("energy", 6).alias("energy")),
         "chunk_energy_ln1": lambda s, d: _chunks(s, d, "ln1").select("utt", "seq", F.round("energy", 6).alias("energy")),
         "endpoint_fixed": lambda s, d: endpoint.fixed(_chunks(s, d), 11.0, 3, 2),
-        "endpoint_adaptive": lambda s, d: endpoint.adaptive(_chunks(s, d), 5.0).select("utt", "seq", F.round("level", 6).alias("level"), F.round("background", 6).alias("background"), "speech"),
+        "endpoint_adaptive": lambda s, d: endpoint.adaptive(_chunks(s, d), 5.0).select("utt", "seq", F.round("level", 6).alias("level"), F.round("background", 6).alias("background"), "voiced"),
         "noise_floor": lambda s, d: endpoint.noise_floor(_chunks(s, d), 2, 5).select("utt", F.round("floor", 6).alias("floor")),
-        "speech_run_start": lambda s, d: endpoint.run_start(_flags(s, d), 2),
+        "voiced_run_start": lambda s, d: endpoint.run_start(_flags(s, d), 2),
         "tail_prune": lambda s, d: endpoint.tail_prune(_flags(s, d), 3, 4),
         "start_rewind": lambda s, d: endpoint.fixed(_chunks(s, d), 11.0, 3, 2).select("utt", C.rewind(F.col("start") * 4, 2, 4).alias("start_sample")),
         "recording_cap": lambda s, d: endpoint.capped(_chunks(s, d), 0.5, 4, 80).select("utt", "seq"),
@@ -179,6 +203,9 @@ def oracle_sql() -> dict[str, str]:
         "dct_ortho": _out(_dct_sql(PY), "cep", "c", 5),
         "dct_raw": _out(_dct_sql(CPP), "cep", "c", 5),
         "dct_padded": _out(_dct_sql(G5), "cep", "c", 5),
+        "mfcc_py": _mfcc_sql(PY),
+        "mfcc_cpp": _mfcc_sql(CPP),
+        "mfcc_g5": _mfcc_sql(G5),
         "delta_central": _feature_sql(_DELTA, "d1"),
         "delta2_central": _feature_sql(_DELTA, "d2"),
         "delta_forward": _feature_sql(_FORWARD, "d1"),
@@ -189,11 +216,11 @@ def oracle_sql() -> dict[str, str]:
         "chunk_energy": f"WITH {_CH} SELECT utt, seq, round(energy, 6) AS energy FROM en",
         "chunk_energy_db": f"WITH {_CH} SELECT utt, seq, round(CASE WHEN s > 0 THEN log10(s) * 10 END, 6) AS energy FROM en",
         "chunk_energy_ln1": f"WITH {_CH} SELECT utt, seq, round(ln(s + 1) * 10, 6) AS energy FROM en",
-        "endpoint_fixed": f"WITH {_CH}, w AS (SELECT *, count(*) FILTER (speech) OVER q AS n, max(CASE WHEN speech THEN seq END) OVER q AS last FROM fl WINDOW q AS (PARTITION BY utt ORDER BY seq ROWS UNBOUNDED PRECEDING)) SELECT utt, min(CASE WHEN speech THEN seq END) AS start, min(CASE WHEN n >= 3 AND seq - last >= 2 THEN seq END) AS complete FROM w GROUP BY utt",
+        "endpoint_fixed": f"WITH {_CH}, w AS (SELECT *, count(*) FILTER (voiced) OVER q AS n, max(CASE WHEN voiced THEN seq END) OVER q AS last FROM fl WINDOW q AS (PARTITION BY utt ORDER BY seq ROWS UNBOUNDED PRECEDING)) SELECT utt, min(CASE WHEN voiced THEN seq END) AS start, min(CASE WHEN n >= 3 AND seq - last >= 2 THEN seq END) AS complete FROM w GROUP BY utt",
         "endpoint_adaptive": _ADAPTIVE,
         "noise_floor": f"WITH {_CH} SELECT utt, round(avg(energy), 6) AS floor FROM en WHERE seq BETWEEN 2 AND 5 GROUP BY utt",
-        "speech_run_start": f"WITH {_CH}, g AS (SELECT *, count(*) FILTER (NOT speech) OVER (PARTITION BY utt ORDER BY seq) AS grp FROM fl), r AS (SELECT *, count(*) FILTER (speech) OVER (PARTITION BY utt, grp ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT utt, min(CASE WHEN speech AND run > 2 THEN seq END) AS start FROM r GROUP BY utt",
-        "tail_prune": f"WITH {_CH}, r AS (SELECT *, count(*) FILTER (speech) OVER (PARTITION BY utt ORDER BY seq ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) = 3 AS hit FROM fl) SELECT utt, least(coalesce(max(CASE WHEN hit THEN seq END), min(seq)) + 7, max(seq) + 1) AS keep_chunks FROM r GROUP BY utt",
-        "start_rewind": f"WITH {_CH} SELECT utt, greatest(min(CASE WHEN speech THEN seq END) * 4 - 8, CASE WHEN bool_or(speech) THEN 0 END) AS start_sample FROM fl GROUP BY utt",
+        "voiced_run_start": f"WITH {_CH}, g AS (SELECT *, count(*) FILTER (NOT voiced) OVER (PARTITION BY utt ORDER BY seq) AS grp FROM fl), r AS (SELECT *, count(*) FILTER (voiced) OVER (PARTITION BY utt, grp ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT utt, min(CASE WHEN voiced AND run > 2 THEN seq END) AS start FROM r GROUP BY utt",
+        "tail_prune": f"WITH {_CH}, r AS (SELECT *, count(*) FILTER (voiced) OVER (PARTITION BY utt ORDER BY seq ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) = 3 AS hit FROM fl) SELECT utt, least(coalesce(max(CASE WHEN hit THEN seq END), min(seq)) + 7, max(seq) + 1) AS keep_chunks FROM r GROUP BY utt",
+        "start_rewind": f"WITH {_CH} SELECT utt, greatest(min(CASE WHEN voiced THEN seq END) * 4 - 8, CASE WHEN bool_or(voiced) THEN 0 END) AS start_sample FROM fl GROUP BY utt",
         "recording_cap": f"WITH {_CH} SELECT utt, seq FROM en WHERE seq < 10",
     }

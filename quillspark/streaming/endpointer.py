@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.endpoint import Adaptive
 
 OUTPUT = "stream string, start long, complete long"
-_STATE = "speech long, silent long, start long, first long, level double, background double"
+_STATE = "voiced long, silent long, start long, first long, level double, background double"
 
 
 class _Endpointer(StatefulProcessor):
@@ -55,7 +55,7 @@ class _Endpointer(StatefulProcessor):
 
 
 class FixedEndpointer(_Endpointer):
-    """Speech is energy above a threshold."""
+    """Voiced is energy above a threshold."""
 
     def __init__(self, threshold: float = 20.0, shortest: int = 5, silence: int = 10, most: int = 2400) -> None:
         super().__init__(shortest, silence, most)
@@ -66,7 +66,7 @@ class FixedEndpointer(_Endpointer):
 
 
 class AdaptiveEndpointer(_Endpointer):
-    """Speech is a smoothed level well above a tracked background."""
+    """Voiced is a smoothed level well above a tracked background."""
 
     def __init__(self, threshold: float = 10.0, forget: float = 1.0, adjustment: float = 0.05, track: str = "level", shortest: int = 5, silence: int = 10, most: int = 2400) -> None:
         super().__init__(shortest, silence, most)
@@ -74,9 +74,9 @@ class AdaptiveEndpointer(_Endpointer):
 
     def speaks(self, energy: float, state: list) -> bool:
         a = Adaptive(state[4], state[5], *self.args)
-        speech = a.step(energy)
+        voiced = a.step(energy)
         state[4], state[5] = a.level, a.background
-        return speech
+        return voiced
 
 
 def endpoints(chunks: DataFrame, processor: _Endpointer | None = None) -> DataFrame:

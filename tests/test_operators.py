@@ -282,14 +282,14 @@ def test_scoring(spark):
 # --- training
 
 
-def speech(rng, model, n):
+def voiced(rng, model, n):
     centers = {"a": [0, 5, 10], "b": [10, 0, 5]}[model]
     return [[float(rng.normal(c, 0.5))] for c in centers for _ in range(rng.integers(3, 8))] if n else []
 
 
 def test_segmental_k_means(spark):
     rng = np.random.default_rng(11)
-    seqs = spark.createDataFrame([(m, f"{m}{i}", speech(rng, m, 1)) for m in "ab" for i in range(12)], "model string, utt string, frames array<array<double>>")
+    seqs = spark.createDataFrame([(m, f"{m}{i}", voiced(rng, m, 1)) for m in "ab" for i in range(12)], "model string, utt string, frames array<array<double>>")
     got = training.segmental_k_means(seqs, states=3)
     assert all(a >= b - 1e-6 for a, b in zip(got.costs, got.costs[1:]))
     assert [round(s[0][1][0]) for s in got.models["a"].states] == [0, 5, 10]
@@ -327,7 +327,7 @@ def test_fixed_and_pruning(spark):
     chunks = spark.createDataFrame([("s", i, float(e)) for i, e in enumerate(ENERGY)] + [("q", 0, None)], "utt string, seq long, energy double")
     got = {r.utt: (r.start, r.complete) for r in endpoint.fixed(chunks).collect()}
     assert got == {"s": (2, 19), "q": (None, None)}
-    flags = chunks.where("utt = 's'").select("utt", "seq", (F.col("energy") > 20).alias("speech"))
+    flags = chunks.where("utt = 's'").select("utt", "seq", (F.col("energy") > 20).alias("voiced"))
     assert endpoint.run_start(flags, 4).first().start == 6
     assert endpoint.tail_prune(flags, 5, 2).first().keep_chunks == 22 + 5 + 2
     assert endpoint.noise_floor(chunks, 0, 2).where("utt = 's'").first().floor == pytest.approx(32 / 3)
@@ -454,7 +454,7 @@ def test_continuous_training(spark):
 
 def test_greedy_training(spark):
     rng = np.random.default_rng(19)
-    seqs = spark.createDataFrame([("a", f"a{i}", speech(rng, "a", 1)) for i in range(10)], "model string, utt string, frames array<array<double>>")
+    seqs = spark.createDataFrame([("a", f"a{i}", voiced(rng, "a", 1)) for i in range(10)], "model string, utt string, frames array<array<double>>")
     got = training.segmental_k_means(seqs, states=3, greedy=True)
     assert [round(s[0][1][0]) for s in got.models["a"].states] == [0, 5, 10]
     e = rng.uniform(0, 3, (9, 3))
