@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,15 +71,129 @@ def adaptive(chunks: DataFrame, threshold: float = 10.0, forget: float = 1.0, ad
     background. One stream is folded in one task."""
     kind = dict(chunks.dtypes)["utt"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        state, out = Adaptive(start, start, forget, adjustment, threshold, track, hold), []
-        for e in pdf["energy"]:
-            voiced = state.step(state.background if e is None or math.isnan(e) else e)
-            out.append((state.level, state.background, voiced))
-        return pd.DataFrame({"utt": pdf["utt"], "seq": pdf["seq"], "level": [o[0] for o in out], "background": [o[1] for o in out], "voiced": [o[2] for o in out]})
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("seq")
+        energy = t.column("energy").to_pylist()
+        state, level, background, voiced = Adaptive(start, start, forget, adjustment, threshold, track, hold), [], [], []
+        for e in energy:
+            voiced.append(state.step(state.background if e is None or math.isnan(e) else e))
+            level.append(state.level)
+            background.append(state.background)
+        return pa.table({"utt": t.column("utt"), "seq": t.column("seq"), "level": pa.array(level, pa.float64()), "background": pa.array(background, pa.float64()), "voiced": pa.array(voiced, pa.bool_())})
+
+    return chunks.select("utt", F.col("seq").cast("long").alias("seq"), F.col("energy").cast("double").alias("energy")).groupBy("utt").applyInArrow(run, f"utt {kind}, seq long, level double, background double, voiced boolean")
+
+
+@dataclass(frozen=True)
+class Rules:
+    """How a live stream's utterances are told. Without `adaptive` a chunk is voiced above the
+    threshold. Else the first `warm` chunks are only heard: those from floor[0] to floor[1] give the
+    background, and the first one the level where first_level says so. An utterance begins with the
+    chunk that ends a run of more than start_run voiced ones, until when the threshold is higher by
+    `offset`, and is complete after `shortest` voiced chunks and `silence` others in a row, or, with what
+    it has, after `most` chunks of the recording."""
+
+    threshold: float = 20.0
+    adaptive: bool = False
+    forget: float = 1.0
+    adjustment: float = 0.05
+    track: str = "level"
+    hold: int = 0
+    warm: int = 0
+    floor: tuple[int, int] = (0, -1)
+    first_level: bool = False
+    offset: float = 0.0
+    start_run: int = 0
+    shortest: int = 5
+    silence: int = 10
+    most: int = 2400
+
+
+#: The three recorders' rules: fixed; with a held tail of half a second; with a run that begins it.
+FIXED = Rules()
+HELD = Rules(threshold=2.0, adaptive=True, hold=20, warm=10, floor=(0, 9), first_level=True)
+RUN = Rules(threshold=40.0, adaptive=True, track="chunk", warm=20, floor=(9, 18), offset=3.0, start_run=6, shortest=7, silence=131)
+
+
+@dataclass
+class Tracker:
+    """One stream's place under some rules, in plain numbers that a state store can keep."""
+
+    voiced: int = 0
+    silent: int = 0
+    start: int = -1
+    first: int = -1
+    last: int = -1
+    heard: int = 0
+    run: int = 0
+    held: int = 0
+    level: float = 0.0
+    background: float = 0.0
+    floor_sum: float = 0.0
+
+    def _voiced(self, energy: float | None, r: Rules) -> bool:
+        none = energy is None or math.isnan(energy)
+        if not r.adaptive:
+            return not none and energy > r.threshold
+        a = Adaptive(self.level, self.background, r.forget, r.adjustment, r.threshold, r.track, r.hold, self.held)
+        out = a.step(self.background if none else energy, r.offset if self.start < 0 else 0.0)
+        self.level, self.background, self.held = a.level, a.background, a.silent
+        return out
+
+    def _warm(self, i: int, energy: float | None, r: Rules) -> None:
+        energy = 0.0 if energy is None or math.isnan(energy) else energy
+        if i == 0 and r.first_level:
+            self.level = energy
+        if r.floor[0] <= i <= r.floor[1]:
+            self.floor_sum += energy
+        if i == r.floor[1]:
+            self.background = self.floor_sum / (r.floor[1] - r.floor[0] + 1)
+
+    def step(self, seq: int, energy: float | None, r: Rules) -> tuple[int, int] | None:
+        """(start, complete) of the utterance that this chunk ends. A chunk that does not come after the
+        last one is late, and is left out."""
+        if seq <= self.last:
+            return None
+        self.last, self.first = seq, seq if self.first < 0 else self.first
+        i, self.heard = self.heard, self.heard + 1
+        if r.adaptive and i < r.warm:
+            self._warm(i, energy, r)
+        elif self._voiced(energy, r):
+            self.run += 1
+            if self.start < 0 and self.run > r.start_run:
+                self.start, self.voiced = seq, self.run - 1
+            if self.start >= 0:
+                self.voiced, self.silent = self.voiced + 1, 0
+        else:
+            self.run = 0
+            self.silent += self.start >= 0
+        if self.start >= 0 and self.voiced >= r.shortest and self.silent >= r.silence or seq - self.first + 1 >= r.most:
+            return self.end()
+        return None
+
+    def end(self) -> tuple[int, int] | None:
+        """Ends the recording here: what began is given, and the next one begins anew, with the level
+        and the background as they are."""
+        out = (self.start, self.last) if self.start >= 0 else None
+        self.voiced = self.silent = self.run = self.held = 0
+        self.start = self.first = -1
+        return out
+
+
+def utterances(chunks: DataFrame, rules: Rules = FIXED) -> DataFrame:
+    """(utt, start, complete) of every complete utterance of each stream, as the live form gives them.
+    A stream is folded in one task, with its chunks' energies as one array."""
+    kind = dict(chunks.dtypes)["utt"]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("seq")
+        tracker, out = Tracker(), []
+        for seq, energy in zip(t.column("seq").to_pylist(), t.column("energy").to_pylist()):
+            if got := tracker.step(seq, energy, rules):
+                out.append(got)
+        return pa.table({"utt": pa.array(t.column("utt").to_pylist()[:1] * len(out), t.schema.field("utt").type), "start": pa.array([o[0] for o in out], pa.int64()), "complete": pa.array([o[1] for o in out], pa.int64())})
 
-    return chunks.select("utt", "seq", "energy").groupBy("utt").applyInPandas(run, f"utt {kind}, seq long, level double, background double, voiced boolean")
+    return chunks.select("utt", F.col("seq").cast("long").alias("seq"), F.col("energy").cast("double").alias("energy")).groupBy("utt").applyInArrow(run, f"utt {kind}, start long, complete long")
 
 
 def run_start(flags: DataFrame, need: int = 6) -> DataFrame:

@@ -1,88 +1,86 @@
 """Endpointing of live streams: stateful operators over chunks (stream, seq, ts, energy).
 
-A stream's state is a few numbers. A micro-batch's chunks are taken in order of seq; a finished
-utterance is emitted and the state cleared, so the next one begins anew. A timer ends recordings
-that fall silent for good.
+A stream's state is a few numbers. A micro-batch's chunks are taken in order of seq, and one that comes
+after a later chunk's batch is left out; a finished utterance is emitted and the state begins anew. Where
+`idle` is set, a processing-time timer ends the recording of a stream that sends nothing for so many
+seconds: what had begun is emitted, and the stream's state goes. A query with timers never runs out of
+batches, so a replay that should end by itself (availableNow) goes without.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import astuple, fields, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.endpoint import Adaptive
+from ..operators.endpoint import FIXED, HELD, Rules, Tracker
 
 OUTPUT = "stream string, start long, complete long"
-_STATE = "voiced long, silent long, start long, first long, level double, background double"
+_STATE = ", ".join(f"{f.name} {'double' if f.type == 'float' else 'long'}" for f in fields(Tracker))
 
 
-class _Endpointer(StatefulProcessor):
-    def __init__(self, shortest: int, silence: int, most: int) -> None:
-        self.shortest, self.silence, self.most = shortest, silence, most
+class Endpointer(StatefulProcessor):
+    """Utterances under some rules; see operators.endpoint."""
+
+    def __init__(self, rules: Rules = FIXED, idle: float | None = None) -> None:
+        self.rules, self.idle = rules, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", _STATE)
+        self.handle, self.state = handle, handle.getValueState("state", _STATE)
 
     def close(self) -> None:
         pass
 
-    def speaks(self, energy: float, state: list) -> bool:
-        raise NotImplementedError
+    def _tracker(self) -> Tracker:
+        return Tracker(*self.state.get()) if self.state.exists() else Tracker()
+
+    @staticmethod
+    def _out(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["stream", "start", "complete"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values("seq")
-        s = list(self.state.get()) if self.state.exists() else [0, 0, -1, -1, 0.0, 0.0]
-        out = []
+        tracker, out = self._tracker(), []
         for seq, energy in zip(pdf["seq"], pdf["energy"]):
-            if s[3] < 0:
-                s[3] = int(seq)
-            if energy is not None and energy == energy and self.speaks(energy, s):
-                if s[0] == 0:
-                    s[2] = int(seq)
-                s[0], s[1] = s[0] + 1, 0
-            elif s[0]:
-                s[1] += 1
-            full = seq - s[3] + 1 >= self.most
-            if s[0] >= self.shortest and s[1] >= self.silence or full:
-                if s[2] >= 0:
-                    out.append((key[0], s[2], int(seq)))
-                s = [0, 0, -1, -1, s[4], s[5]]
-        self.state.update(tuple(s))
-        yield pd.DataFrame(out, columns=["stream", "start", "complete"])
-
-
-class FixedEndpointer(_Endpointer):
+            if got := tracker.step(int(seq), energy, self.rules):
+                out.append((key[0], *got))
+        self.state.update(astuple(tracker))
+        if self.idle is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.idle * 1000))
+        yield self._out(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        got = self._tracker().end()
+        self.state.clear()
+        yield self._out([(key[0], *got)] if got else [])
+
+
+class FixedEndpointer(Endpointer):
     """Voiced is energy above a threshold."""
 
-    def __init__(self, threshold: float = 20.0, shortest: int = 5, silence: int = 10, most: int = 2400) -> None:
-        super().__init__(shortest, silence, most)
-        self.threshold = threshold
-
-    def speaks(self, energy: float, state: list) -> bool:
-        return energy > self.threshold
-
+    def __init__(self, threshold: float = 20.0, shortest: int = 5, silence: int = 10, most: int = 2400, idle: float | None = None) -> None:
+        super().__init__(replace(FIXED, threshold=threshold, shortest=shortest, silence=silence, most=most), idle)
 
-class AdaptiveEndpointer(_Endpointer):
-    """Voiced is a smoothed level well above a tracked background."""
 
-    def __init__(self, threshold: float = 10.0, forget: float = 1.0, adjustment: float = 0.05, track: str = "level", shortest: int = 5, silence: int = 10, most: int = 2400) -> None:
-        super().__init__(shortest, silence, most)
-        self.args = (forget, adjustment, threshold, track)
+class AdaptiveEndpointer(Endpointer):
+    """Voiced is a smoothed level well above a tracked background, which the first chunks give. rules:
+    operators.endpoint.HELD, RUN, or others."""
 
-    def speaks(self, energy: float, state: list) -> bool:
-        a = Adaptive(state[4], state[5], *self.args)
-        voiced = a.step(energy)
-        state[4], state[5] = a.level, a.background
-        return voiced
+    def __init__(self, rules: Rules = HELD, idle: float | None = None, **changes) -> None:
+        super().__init__(replace(rules, **changes), idle)
 
 
-def endpoints(chunks: DataFrame, processor: _Endpointer | None = None) -> DataFrame:
+def endpoints(chunks: DataFrame, processor: Endpointer | None = None) -> DataFrame:
     """A streaming DataFrame of finished utterances (see OUTPUT) from streaming chunks."""
     rows = chunks.selectExpr("cast(stream as string) as stream", "seq", "energy")
-    return rows.groupBy("stream").transformWithStateInPandas(statefulProcessor=processor or FixedEndpointer(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+    processor = processor or FixedEndpointer()
+    timed = "None" if processor.idle is None else "ProcessingTime"
+    return rows.groupBy("stream").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Append", timeMode=timed)
 
 
 def chunk_stream(spark, path: str, schema: str = "stream string, seq long, ts timestamp, samples array<smallint>", files_per_trigger: int = 1) -> DataFrame:

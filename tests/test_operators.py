@@ -4,6 +4,8 @@ import math
 import os
 import random
 import struct
+import time
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -334,26 +336,129 @@ def test_fixed_and_pruning(spark):
     assert endpoint.capped(chunks, 1.0, 400, 1600).where("utt = 's'").count() == 4
 
 
-@pytest.mark.parametrize("processor", [endpointer.FixedEndpointer(), endpointer.AdaptiveEndpointer()])
-def test_stream_equals_batch(spark, tmp_path, processor):
-    schema = "stream string, seq long, ts timestamp, samples array<smallint>"
-    for k in range(4):
-        rows = [("s", i, None, [int(math.exp(e / 2))] if e > 1 else [1]) for i, e in enumerate(min(x, 20.6) for x in ENERGY) if i % 4 == k or True][k * 10 : k * 10 + 10]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    live = endpointer.endpoints(endpointer.chunk_stream(spark, str(tmp_path / "in"), files_per_trigger=100), processor)
+def direct_utterances(energies, threshold, start_run, offset, shortest, silence, hold, warm, floor, first_level, to_chunk):
+    """The adaptive rules written out once more, without a state object."""
+    level = energies[0] if first_level else 0.0
+    background = sum(energies[floor[0] : floor[1] + 1]) / (floor[1] - floor[0] + 1)
+    out, start, voiced, quiet, run, held = [], None, 0, 0, 0, 0
+    for seq in range(warm, len(energies)):
+        e = energies[seq]
+        level = (level + e) / 2
+        background = (e if to_chunk else level) if e < background else background + (e - background) * 0.05
+        level = max(level, background)
+        loud = level - background > threshold + (offset if start is None else 0)
+        held = 0 if loud else held + 1
+        if loud or held < hold:
+            run += 1
+            if start is None and run > start_run:
+                start, voiced = seq, run - 1
+            if start is not None:
+                voiced, quiet = voiced + 1, 0
+        else:
+            run = 0
+            if start is not None:
+                quiet += 1
+        if start is not None and voiced >= shortest and quiet >= silence:
+            out.append((start, seq))
+            start, voiced, quiet, run, held = None, 0, 0, 0, 0
+    return out
+
+
+def live_energies():
+    rng = random.Random(11)
+    quiet = lambda n: [20 + rng.random() for _ in range(n)]
+    return quiet(30) + [90.0] * 12 + quiet(5) + [95.0] * 9 + quiet(160) + [99.0] * 40 + quiet(150) + [90.0] * 8
+
+
+def test_adaptive_utterances(spark):
+    e = live_energies()
+    chunks = spark.createDataFrame([("s", i, x) for i, x in enumerate(e)] + [("q", 0, None)], "utt string, seq long, energy double")
+    got = {name: sorted((r.start, r.complete) for r in endpoint.utterances(chunks, rules).where("utt = 's'").collect()) for name, rules in (("held", endpoint.HELD), ("run", endpoint.RUN))}
+    assert got["held"] == direct_utterances(e, 2.0, 0, 0.0, 5, 10, 20, 10, (0, 9), True, False) and got["held"]
+    assert got["run"] == direct_utterances(e, 40.0, 6, 3.0, 7, 131, 0, 20, (9, 18), False, True) and len(got["run"]) == 2
+    short = endpoint.utterances(chunks, replace(endpoint.HELD, most=50)).where("utt = 's'")
+    assert max(r.complete - r.start for r in short.collect()) < 50
+
+
+@pytest.fixture
+def rocks(spark):
     conf = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(conf)
     spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(conf, before)
+
+
+def replay(spark, tmp_path, energies, processor, name):
+    """Chunks in five files, a micro-batch each."""
+    rows = [("s", i, None, [0]) for i in range(len(energies))]
+    step = -(-len(rows) // 5)
+    level = {i: x for i, x in enumerate(energies)}
+    for k in range(0, len(rows), step):
+        part = rows[k : k + step]
+        random.Random(k).shuffle(part)
+        spark.createDataFrame([(a, b, level[b]) for a, b, _, _ in part], "stream string, seq long, energy double").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    live = spark.readStream.schema("stream string, seq long, energy double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    q = endpointer.endpoints(live, processor).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"cp_{name}")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return sorted((r.start, r.complete) for r in spark.sql(f"select * from {name}").collect())
+
+
+@pytest.mark.parametrize("name,energies,processor,rules", [
+    ("fixed", [float(x) for x in ENERGY], endpointer.FixedEndpointer(), endpoint.FIXED),
+    ("held", live_energies(), endpointer.AdaptiveEndpointer(), endpoint.HELD),
+    ("run", live_energies(), endpointer.AdaptiveEndpointer(endpoint.RUN), endpoint.RUN),
+])
+def test_stream_equals_batch(spark, tmp_path, rocks, name, energies, processor, rules):
+    chunks = spark.createDataFrame([("s", i, x) for i, x in enumerate(energies)], "utt string, seq long, energy double")
+    want = sorted((r.start, r.complete) for r in endpoint.utterances(chunks, rules).collect())
+    assert want and replay(spark, tmp_path, energies, processor, name) == want
+    if name == "fixed":
+        assert want == [(2, 19), (22, 36)]
+
+
+def test_timer_ends_a_silent_stream(spark, tmp_path, rocks):
+    spark.createDataFrame([("s", i, 30.0) for i in range(8)], "stream string, seq long, energy double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema("stream string, seq long, energy double").parquet(str(tmp_path / "in"))
+    q = endpointer.endpoints(live, endpointer.FixedEndpointer(idle=2.0)).writeStream.format("memory").queryName("timed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
     try:
-        q = live.writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        rows = [tuple(r) for r in spark.sql("select * from found").collect()]
+        for _ in range(60):
+            rows = spark.sql("select * from timed").collect()
+            if rows:
+                break
+            time.sleep(1)
     finally:
-        spark.conf.set(conf, before)
-    if isinstance(processor, endpointer.FixedEndpointer):
-        assert rows == [("s", 2, 19), ("s", 22, 36)]
-    else:
-        assert rows and rows[0][1] >= 2
+        q.stop()
+    assert [(r.stream, r.start, r.complete) for r in rows] == [("s", 0, 7)]
+
+
+def test_chunk_stream_reads_samples(spark, tmp_path):
+    spark.createDataFrame([("s", 0, None, [3, 4]), ("s", 1, None, [0])], "stream string, seq long, ts timestamp, samples array<smallint>").write.parquet(str(tmp_path / "in"))
+    q = endpointer.chunk_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("raw").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = {r.seq: r.energy for r in spark.sql("select * from raw").collect()}
+    assert got[0] == pytest.approx(math.log(25)) and got[1] is None
+
+
+def test_gaussian_noise(spark):
+    rows = spark.range(20000).select(C.gaussian_noise(7).alias("x"))
+    r = rows.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.avg((F.abs("x") < 1.96).cast("int")).alias("inside")).first()
+    assert abs(r.m) < 0.03 and abs(r.s - 1) < 0.03 and abs(r.inside - 0.95) < 0.01
+    assert rows.limit(5).collect() == rows.limit(5).collect()
+
+
+def test_blocks_of_any_size_give_the_same_features(spark):
+    rng = random.Random(4)
+    data = {"a": [rng.randint(-9000, 9000) for _ in range(3000)], "b": [rng.randint(-90, 90) for _ in range(401)], "c": [5] * 700, "d": [1, 2]}
+    arrays = spark.createDataFrame(list(data.items()), "utt string, samples array<int>")
+    rows = spark.createDataFrame([(k, i, float(x)) for k, v in data.items() for i, x in enumerate(v)], "utt string, i long, x double")
+    for p in (signal.PY, signal.CPP, signal.small(signal.G5, frame=64, shift=40, fft=64)):
+        flat = lambda df: {(r.utt, r.t): r.vec for r in df.collect()}
+        want = flat(signal.mfcc(rows, p))
+        assert want
+        for other in (flat(signal.mfcc(rows, p, 4)), flat(signal.mfcc_blocks(signal.array_blocks(arrays, p, 5), p, 5))):
+            assert set(other) == set(want)
+            assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-6) for k in want for x, y in zip(want[k], other[k]))
 
 
 # --- sources
