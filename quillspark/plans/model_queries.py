@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import gauss, grammar, training, trellis
+from ..operators import decoding, gauss, relational, training, trellis
 from ..session import table
 from .signal_queries import _SIG, wave
 
@@ -109,43 +109,81 @@ def _dtw(s, d) -> DataFrame:
 WORDS = ("1", "2", "3")
 
 
-def _word_emission(x) -> F.Column:
-    return F.array(*[(x - (60.0 + 120 * w + 40 * k)) * (x - (60.0 + 120 * w + 40 * k)) / 5000.0 for w in range(len(WORDS)) for k in range(2)])
-
-
-def _word_models() -> dict:
-    return {w: {"emit": [2 * i, 2 * i + 1], "stay": [0.1, 0.0], "move": [0.3, 0.3]} for i, w in enumerate(WORDS)}
-
-
 LOOP = [(0, 1, w) for w in WORDS] + [(1, 0, None)]
 FIXED = [(0, 1, w) for w in WORDS] + [(1, 2, w) for w in WORDS] + [(2, 3, "1"), (2, 3, "2"), (1, 3, None)]
 
 
 def _decode(s, d, edges, start: int, end: int, penalty: float, beam: float | None = None) -> DataFrame:
-    graph, entries = grammar.compile_graph(edges, _word_models(), start, end, penalty)
-    e = trellis.sequences(wave(s, d), "utt", "i", _word_emission(F.col("x")))
-    got = trellis.align(e, graph, beam=beam)
-    names = F.create_map(*[F.lit(x) for k, v in entries.items() for x in (k, v)])
-    word = F.filter(F.transform("path", lambda j, i: F.when((i == 0) | (F.get("path", i - 1) != j), F.try_element_at(names, j))), lambda x: x.isNotNull())
-    return got.select("utt", F.round("cost", 4).alias("cost"), F.concat_ws("", word).alias("words"))
+    models = {w: training.Model([[(1.0, [60.0 + 120 * i + 40 * k], [2500.0])] for k in range(2)], [0.1, 0.0], [0.3, 0.3]) for i, w in enumerate(WORDS)}
+    e = trellis.sequences(wave(s, d), "utt", "i", F.array("x"), "frames")
+    got = decoding.as_text(decoding.decode(e, edges, models, start, end, penalty, beam=beam))
+    return got.select("utt", F.when(F.col("cost") < 1e300, F.round("cost", 4)).alias("cost"), F.col("result").alias("words"))
+
+
+def _decode_sql(beam: float | None = None) -> str:
+    """FIXED by recursion: p is the place in the sentence, w the word, k its state."""
+    e = "0.5 * (ln(2 * pi() * 2500.0) + (x - (60.0 + 120 * (w - 1) + 40 * k)) * (x - (60.0 + 120 * (w - 1) + 40 * k)) / 2500.0)"
+    pruned = f" WHERE c <= best + {beam}" if beam is not None else ""
+    leaves = f"AND (tr.q = d.p OR d.c + 2.0 <= d.best + {beam})" if beam is not None else ""  # a word's end is a state of its own
+    ends = f"AND d.c + 2.0 <= d.best + {beam}" if beam is not None else ""
+    return f"""WITH RECURSIVE {_SIG}, len AS (SELECT utt, max(i) AS last FROM sig GROUP BY utt),
+      tr(p, w, k, q, v, l, cost) AS (
+        SELECT p, w, 0, p, w, 0, 0.1::DOUBLE FROM (VALUES (1), (2), (3)) a(p), (VALUES (1), (2), (3)) b(w)
+        UNION ALL SELECT p, w, 1, p, w, 1, 0.0 FROM (VALUES (1), (2), (3)) a(p), (VALUES (1), (2), (3)) b(w)
+        UNION ALL SELECT p, w, 0, p, w, 1, 0.3 FROM (VALUES (1), (2), (3)) a(p), (VALUES (1), (2), (3)) b(w)
+        UNION ALL SELECT p, w, 1, p + 1, v, 0, 2.0 FROM (VALUES (1), (2)) a(p), (VALUES (1), (2), (3)) b(w), (VALUES (1), (2), (3)) n(v) WHERE p = 1 OR v < 3),
+      d(utt, t, p, w, k, c, words, best) AS (
+        SELECT utt, t, p, w, k, c, words, best FROM (
+          SELECT utt, i AS t, 1 AS p, w, 0 AS k, {e} AS c, CAST(w AS VARCHAR) AS words, min({e}) OVER (PARTITION BY utt) AS best
+          FROM sig, (SELECT 0 AS k, unnest([1, 2, 3]) AS w) WHERE i = 0)
+        {pruned}
+        UNION ALL
+        SELECT utt, t, p, w, k, c, words, best FROM (
+          SELECT *, min(c) OVER (PARTITION BY utt) AS best FROM (
+            SELECT utt, t, p, w, k, c + {e} AS c, words FROM (
+              SELECT d.utt, d.t + 1 AS t, tr.q AS p, tr.v AS w, tr.l AS k, min(d.c + tr.cost) AS c, any_value(x) AS x,
+                     arg_min(d.words || CASE WHEN tr.q > d.p THEN CAST(tr.v AS VARCHAR) ELSE '' END, d.c + tr.cost) AS words
+              FROM d JOIN tr ON tr.p = d.p AND tr.w = d.w AND tr.k = d.k JOIN sig ON sig.utt = d.utt AND sig.i = d.t + 1 {leaves}
+              GROUP BY d.utt, d.t, tr.q, tr.v, tr.l)))
+        {pruned}),
+      f AS (SELECT d.utt, min(c) + 2.0 AS c, arg_min(words, c) AS words FROM d JOIN len ON len.utt = d.utt AND len.last = d.t WHERE k = 1 AND p IN (1, 3) {ends} GROUP BY d.utt)
+      SELECT len.utt, round(f.c, 4) AS cost, coalesce(words, '') AS words FROM len LEFT JOIN f ON f.utt = len.utt"""
+
+
+def _rounds_sql(rounds: int, soft: bool) -> str:
+    """Rounds of EM, or of assigning and refitting, one after another from _COMP's start."""
+    cost = lambda c: f"0.5 * sum(ln(2 * pi() * {c}.var) + (x.x - {c}.mean) * (x.x - {c}.mean) / {c}.var)"
+    out = _COMP + ", c0 AS (SELECT model, d, g, alpha, mean, var FROM comp)"
+    for r in range(rounds):
+        c = f"c{r}"
+        out += f", l{r} AS (SELECT x.vec_id, x.model, {c}.g, ln(any_value({c}.alpha)) - {cost(c)} AS l FROM x JOIN {c} ON x.d = {c}.d AND x.model = {c}.model GROUP BY x.vec_id, x.model, {c}.g)"
+        if soft:
+            out += f", z{r} AS (SELECT vec_id, model, max(l) + ln(exp(min(l) - max(l)) + 1) AS z FROM l{r} GROUP BY vec_id, model), p{r} AS (SELECT l.vec_id, l.model, l.g, CASE WHEN exp(l - z) <= 1e-30 THEN 0.001 ELSE exp(l - z) END AS p FROM l{r} l JOIN z{r} USING (vec_id, model))"
+        else:
+            out += f", p{r} AS (SELECT vec_id, model, arg_max(g, (l, -g)) AS g, 1.0::DOUBLE AS p FROM l{r} GROUP BY vec_id, model)"
+        out += f", n{r} AS (SELECT model, g, sum(p) AS w FROM p{r} GROUP BY model, g), k{r} AS (SELECT model, count(DISTINCT vec_id) AS n FROM p{r} GROUP BY model)"
+        out += f", m{r} AS (SELECT p.model, p.g, x.d, sum(p * x.x) / sum(p) AS mean FROM p{r} p JOIN x USING (vec_id, model) GROUP BY p.model, p.g, x.d)"
+        out += f", c{r + 1} AS (SELECT p.model, x.d, p.g, any_value(n.w / k.n) AS alpha, any_value(m.mean) AS mean, sum(p * (x.x - m.mean) * (x.x - m.mean)) / sum(p) AS var FROM p{r} p JOIN x USING (vec_id, model) JOIN m{r} m ON m.model = p.model AND m.g = p.g AND m.d = x.d JOIN n{r} n ON n.model = p.model AND n.g = p.g JOIN k{r} k ON k.model = p.model GROUP BY p.model, p.g, x.d)"
+    return f"WITH {out} SELECT model, g, CAST(d AS INTEGER) AS d, round(mean, 4) AS mean, round(var, 4) AS var FROM c{rounds}"
 
 
 def _e(x: str, model: str, state: str) -> str:
     return f"0.5 * (ln(2 * pi() * 10000.0) + ({x} - (50.0 + 90.0 * {state} + 25.0 * {model})) * ({x} - (50.0 + 90.0 * {state} + 25.0 * {model})) / 10000.0)"
 
 
-def _viterbi_sql(models: str = "(VALUES (0))", skip: bool = False, path: bool = False) -> str:
+def _viterbi_sql(models: str = "(VALUES (0))", skip: bool = False, path: bool = False, beam: float | None = None) -> str:
     """A recursion over frames with the least cost by state: costs, and paths where asked for."""
     extra = " UNION ALL SELECT s, s + 2, 1.9::DOUBLE FROM st WHERE s < 3" if skip else ""
     keep = ", arg_min(list_append(v.path, tr.b), (v.c + tr.cost, -tr.a)) AS path" if path else ", CAST([] AS INTEGER[]) AS path"
+    first, last = ("SELECT utt, model, t, s, c, path FROM (SELECT *, min(c) OVER (PARTITION BY utt, model) AS best FROM (", f")) WHERE c <= best + {beam}") if beam is not None else ("", "")
     return f"""WITH RECURSIVE {_SIG}, st AS (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS s),
       tr(a, b, cost) AS (SELECT s, s, 0.2::DOUBLE FROM st UNION ALL SELECT s, s + 1, 0.7::DOUBLE FROM st WHERE s < 4{extra}),
       v(utt, model, t, s, c, path) AS (
         SELECT utt, m.model, i, 0, {_e('x', 'm.model', '0')}, [0] FROM sig CROSS JOIN {models} m(model) WHERE i = 0
         UNION ALL
-        SELECT utt, model, t, s, c + {_e('x', 'model', 's')}, path FROM (
+        {first}SELECT utt, model, t, s, c + {_e('x', 'model', 's')} AS c, path FROM (
           SELECT v.utt, v.model, v.t + 1 AS t, tr.b AS s, min(v.c + tr.cost) AS c, any_value(sig.x) AS x{keep}
-          FROM v JOIN tr ON tr.a = v.s JOIN sig ON sig.utt = v.utt AND sig.i = v.t + 1 GROUP BY v.utt, v.model, v.t, tr.b)),
+          FROM v JOIN tr ON tr.a = v.s JOIN sig ON sig.utt = v.utt AND sig.i = v.t + 1 GROUP BY v.utt, v.model, v.t, tr.b){last}),
       len AS (SELECT utt, max(i) AS last FROM sig GROUP BY utt)"""
 
 
@@ -163,11 +201,12 @@ def queries() -> dict:
         "gmm_weight_twice": lambda s, d: _mixture(s, d).select("vec_id", F.round(C.mixture_cost(F.col("vec"), F.col("components"), 2), 4).alias("cost")),
         "gmm_split": lambda s, d: _params(gauss.split(_models(s, d).withColumns({"g": F.lit(0), "alpha": F.lit(1.0)})), ["model", "g", "alpha"]),
         "kmeans_assign": lambda s, d: gauss.assign(frames(s, d), _components(s, d), ["model"]).select("vec_id", "g"),
+        "cluster_score": lambda s, d: _cluster_score(s, d),
         "kmeans_update": lambda s, d: _params(gauss.refit(gauss.assign(frames(s, d), _components(s, d), ["model"]), ["model"]).withColumn("alpha", F.round("alpha", 6)), ["model", "g", "alpha"]),
         "em_posterior": lambda s, d: gauss.posterior(frames(s, d), _components(s, d), ["model"]).select("vec_id", F.explode("gamma").alias("c")).select("vec_id", "c.g", F.round("c.p", 6).alias("p")),
         "em_cost": lambda s, d: gauss.posterior(frames(s, d), _components(s, d), ["model"]).agg(F.round(-F.sum("log_likelihood"), 3).alias("cost")),
         "em_mstep": lambda s, d: _params(gauss.em_update(gauss.posterior(frames(s, d), _components(s, d), ["model"]), ["model"]).withColumn("alpha", F.round("alpha", 6)), ["model", "g", "alpha"], 5),
-        "em_fit": lambda s, d: _params(gauss.em(frames(s, d), _components(s, d), ["model"], rounds=3), ["model", "g"], 4),
+        "em_fit": lambda s, d: _params(gauss.em(frames(s, d), _components(s, d), ["model"], epsilon=0.0, rounds=3), ["model", "g"], 4),
         "hard_cluster": lambda s, d: _params(gauss.hard_cluster(frames(s, d), _components(s, d), ["model"], rounds=5), ["model", "g"], 4),
         "viterbi_isolated": _isolated,
         "viterbi_costs": lambda s, d: _fold(s, d),
@@ -184,8 +223,12 @@ def queries() -> dict:
         "uniform_segment": lambda s, d: wave(s, d).groupBy("utt").agg(F.count("*").alias("n")).select("utt", F.posexplode(trellis.uniform_starts(F.col("n"))).alias("state", "start")),
         "decode_loop": lambda s, d: _decode(s, d, LOOP, 0, 1, 2.0),
         "decode_fixed": lambda s, d: _decode(s, d, FIXED, 0, 3, 2.0),
-        "decode_beam": lambda s, d: _decode(s, d, FIXED, 0, 3, 2.0, beam=1e6),
+        "decode_beam": lambda s, d: _decode(s, d, FIXED, 0, 3, 2.0, beam=6.0),
         "segmental_kmeans": _trained,
+        "two_level_training": lambda s, d: _costs(s, training.two_level(_one_model(s, d), STATES, outer=3)),
+        "mixture_training": lambda s, d: _costs(s, training.mixture_schedule(_one_model(s, d), STATES, doublings=1, rounds=1)),
+        "continuous_training": lambda s, d: _costs(s, training.continuous_k_means(_one_model(s, d).select("utt", F.array(F.lit("a"), F.lit("b")).alias("label"), "frames").where("size(frames) >= 8"), 2, rounds=4, silence="sil", silence_states=1)),
+        "aligned_labels": _aligned_labels,
         "total_path_cost": lambda s, d: _aligned(s, d).where("cost < 1e300").agg(F.round(F.sum("cost"), 2).alias("cost"), F.count("*").alias("n")),
         "score_change": lambda s, d: _score_change(s, d),
         "skip_transition_cost": lambda s, d: _skip_transitions(s, d),
@@ -196,6 +239,12 @@ def queries() -> dict:
     }
 
 
+def _cluster_score(s, d) -> DataFrame:
+    """What each frame costs in each cluster of its model."""
+    rows = frames(s, d).join(F.broadcast(_components(s, d)), "model")  # a few clusters a model
+    return rows.select("vec_id", "g", F.round(C.cluster_score(F.col("vec"), F.col("mean"), F.col("var"), F.col("alpha")), 4).alias("score"))
+
+
 def _score_change(s, d) -> DataFrame:
     """Summed absolute difference between paths' costs without and with skips."""
     a = trellis.align(_sequences(s, d), trellis.Graph.chain(STAY, MOVE)).select("utt", "cost")
@@ -216,7 +265,7 @@ def _frames_in_segments(s, d) -> DataFrame:
     """Frames joined with the segment that holds them: here segments are evenly shared frames."""
     n = wave(s, d).groupBy("utt").agg(F.count("*").alias("n"))
     seg = n.select(F.col("utt").alias("u"), "n", F.posexplode(trellis.uniform_starts(F.col("n"))).alias("state", "start")).withColumn("stop", F.floor((F.col("state") + 1) * F.col("n") / STATES))
-    return wave(s, d).join(seg, (F.col("utt") == F.col("u")) & (F.col("i") >= F.col("start")) & (F.col("i") < F.col("stop"))).select("utt", "i", "state")
+    return relational.in_ranges(wave(s, d), seg, "i", "start", "stop", 16).where("utt = u").select("utt", "i", "state")
 
 
 def _label_models(s, d) -> DataFrame:
@@ -232,11 +281,26 @@ def _uniform_lengths(s, d) -> DataFrame:
     return starts.select("utt", "state", (F.floor((F.col("state") + 1) * F.col("n") / STATES) - F.col("start")).alias("length"))
 
 
+def _one_model(s, d) -> DataFrame:
+    return trellis.sequences(wave(s, d), "utt", "i", F.array("x"), "frames").where(F.size("frames") >= STATES).withColumn("model", F.lit("all"))
+
+
+def _costs(s, got) -> DataFrame:
+    return s.createDataFrame([(i, round(c, 3)) for i, c in enumerate(got.costs)], "round int, cost double")
+
+
 def _trained(s, d) -> DataFrame:
     """Trains one model on all users' sequences; the cost of each round."""
-    seq = trellis.sequences(wave(s, d), "utt", "i", F.array("x"), "frames").where(F.size("frames") >= STATES).withColumn("model", F.lit("all"))
-    got = training.segmental_k_means(seq, STATES, rounds=6)
-    return s.createDataFrame([(i, round(c, 3)) for i, c in enumerate(got.costs)], "round int, cost double")
+    return _costs(s, training.segmental_k_means(_one_model(s, d), STATES, rounds=6))
+
+
+def _aligned_labels(s, d) -> DataFrame:
+    """Forced alignment to a label of two models, of three and of two states, which are one chain of
+    the states of _e: the join of labels with models as the operator makes it."""
+    own = {name: training.Model([[(1.0, [_center(0, k)], [10000.0])] for k in part], [0.2] * len(part), [0.7] * len(part)) for name, part in (("a", (0, 1, 2)), ("b", (3, 4)))}
+    seq = _one_model(s, d).select("utt", F.array(F.lit("a"), F.lit("b")).alias("label"), "frames")
+    got = training.align_labels(seq, own, 0.7, prefer_move=False)
+    return got.select("utt", F.col("t").cast("long").alias("t"), "model", (F.when(F.col("model") == "b", 3).otherwise(0) + F.col("state")).alias("state"))
 
 
 def oracle_sql() -> dict[str, str]:
@@ -256,6 +320,13 @@ def oracle_sql() -> dict[str, str]:
         "em_posterior": f"WITH {_GAMMA} SELECT vec_id, g, round(p, 6) AS p FROM gm",
         "em_cost": f"WITH {_LOGS} SELECT round(-sum(z), 3) AS cost FROM lse",
         "em_mstep": f"WITH {_EM} SELECT model, g, round(alpha, 6) AS alpha, CAST(d AS INTEGER) AS d, round(mean, 5) AS mean, round(var, 5) AS var FROM ev",
+        "em_fit": _rounds_sql(3, True),
+        "hard_cluster": _rounds_sql(5, False),
+        "cluster_score": f"WITH {_LOGS} SELECT vec_id, g, round(-l, 4) AS score FROM lg",
+        "viterbi_beam": _viterbi_sql(beam=3.0) + f" SELECT v.utt, s AS state, round(c, 6) AS cost {_FINAL}",
+        "decode_fixed": _decode_sql(),
+        "decode_beam": _decode_sql(6.0),
+        "aligned_labels": _PATH + " SELECT utt, t, CASE WHEN state < 3 THEN 'a' ELSE 'b' END AS model, state FROM pr",
         "viterbi_isolated": _viterbi_sql("(VALUES (0), (1), (2))") + f" SELECT v.utt, CAST(arg_min(model, (round(c, 4), model)) AS INTEGER) AS model, min(round(c, 4)) AS cost {_FINAL} WHERE s = 4 GROUP BY v.utt",
         "viterbi_costs": v + f" SELECT v.utt, s AS state, round(c, 6) AS cost {_FINAL}",
         "viterbi_skip": _viterbi_sql(skip=True) + f" SELECT v.utt, s AS state, round(c, 6) AS cost {_FINAL}",

@@ -99,7 +99,7 @@ def _positional(s, d) -> DataFrame:
 
     a = ranked(table(s, d, "orders").select("o_orderkey"), ["o_orderkey"], "idx")
     b = ranked(table(s, d, "customer").select("c_custkey"), ["c_custkey"], "idx")
-    return a.join(b, "idx").select("idx", "o_orderkey", "c_custkey")
+    return scoring.by_position(a.join(b.select("idx"), "idx", "left_semi"), b, "idx").select("idx", "o_orderkey", "c_custkey")
 
 
 def oracle_sql() -> dict[str, str]:
