@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grammar import compile_graph
-from .training import Model
+from .training import Model, _checked
 from .trellis import _Plan, best_path, words_of
 
 
@@ -24,7 +24,7 @@ def decode(sequences: DataFrame, edges: list[tuple[int, int, str | None]], model
         at[w], layout = layout, layout + len(models[w].states)
     parts = {w: {"emit": list(range(at[w], at[w] + len(models[w].states))), "stay": models[w].stay, "move": models[w].move} for w in names}
     graph, entries = compile_graph(edges, parts, start, end, exit_penalty, back_penalty)
-    shared = sequences.sparkSession.sparkContext.broadcast((graph, entries, [models[w] for w in names]))
+    shared = sequences.sparkSession.sparkContext.broadcast((graph, entries, [_checked(models)[w] for w in names]))
     kind = dict(sequences.dtypes)["utt"]
 
     def run(batches):
@@ -49,7 +49,7 @@ def recognise(sequences: DataFrame, models: dict[str, Model]) -> DataFrame:
     names = sorted(models)
     from .trellis import Graph
 
-    shared = sequences.sparkSession.sparkContext.broadcast([(w, models[w]) for w in names])
+    shared = sequences.sparkSession.sparkContext.broadcast([(w, _checked(models)[w]) for w in names])
     kind = dict(sequences.dtypes)["utt"]
 
     def run(batches):

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import gaussian_cost
-from ..session import stored
+from ..session import one_row, small, stored
 
 
 def fit(frames: DataFrame, by: list[str], vec: str = "vec") -> DataFrame:
@@ -27,20 +27,24 @@ def fit(frames: DataFrame, by: list[str], vec: str = "vec") -> DataFrame:
     return stats.groupBy(*by).agg(F.max("n").alias("n"), s.alias("a")).select(*by, "n", F.transform("a", lambda x: x["m"]).alias("mean"), F.transform("a", lambda x: x["s"]).alias("var"))
 
 
+def scores(frames: DataFrame, models: DataFrame, model: str = "model", vec: str = "vec", name: str = "scores") -> DataFrame:
+    """frames with an array of (model, cost), in order of model: every model is scored in the row
+    itself. The models come as one array, broadcast, of session.MOST_BROADCAST models at most."""
+    packed = one_row(models.select(model, "mean", "var")).agg(F.array_sort(F.collect_list(F.struct(model, "mean", "var"))).alias("_models"))
+    cost = lambda m: F.struct(m[model].alias(model), gaussian_cost(F.col(vec), m["mean"], m["var"]).alias("cost"))
+    return frames.crossJoin(F.broadcast(packed)).withColumn(name, F.transform("_models", cost)).drop("_models")  # with one row
+
+
 def score(frames: DataFrame, models: DataFrame, model: str = "model", vec: str = "vec") -> DataFrame:
-    """frames with every model and its cost. models holds few rows by design: it is broadcast."""
-    m = F.broadcast(models.select(model, "mean", "var"))
-    return frames.crossJoin(m).withColumn("cost", gaussian_cost(F.col(vec), F.col("mean"), F.col("var"))).drop("mean", "var")
+    """frames with every model and its cost, a row each: scores() taken apart, for few models."""
+    return scores(frames, models, model, vec, "_s").withColumn("_s", F.explode("_s")).select("*", f"_s.{model}", "_s.cost").drop("_s")
 
 
 def classify(frames: DataFrame, models: DataFrame, keys: list[str], model: str = "model", vec: str = "vec", digits: int | None = None) -> DataFrame:
-    """keys with the cheapest model; ties go to the first. The models are scored in the row itself:
-    they come as one array, broadcast, so no row is multiplied."""
-    packed = models.agg(F.array_sort(F.collect_list(F.struct(model, "mean", "var"))).alias("_models"))
-    cost = lambda m: gaussian_cost(F.col(vec), m["mean"], m["var"])
+    """keys with the cheapest model; ties go to the first. See scores()."""
     keep = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
-    rows = frames.crossJoin(F.broadcast(packed))
-    best = F.array_min(F.transform("_models", lambda m: F.struct(keep(cost(m)).alias("cost"), m[model].alias("model"))))
+    rows = scores(frames, models, model, vec, "_s")
+    best = F.array_min(F.transform("_s", lambda x: F.struct(keep(x["cost"]).alias("cost"), x[model].alias("model"))))
     return rows.withColumn("_best", best).select(*keys, F.col("_best.model").alias("predicted"), F.col("_best.cost").alias("cost"))
 
 
@@ -58,7 +62,7 @@ def _packed(components: DataFrame, by: list[str]) -> DataFrame:
 
 def assign(frames: DataFrame, components: DataFrame, by: list[str], vec: str = "vec") -> DataFrame:
     """frames with g: the component of least Gaussian cost less log weight; ties go to the first."""
-    rows = frames.join(F.broadcast(_packed(components, by)), by)
+    rows = frames.join(small(_packed(components, by)), by)
     live = F.filter("_c", lambda c: c["alpha"] > 0)
     cost = F.transform(live, lambda c: F.struct((gaussian_cost(F.col(vec), c["mean"], c["var"]) - F.ln(c["alpha"])).alias("cost"), c["g"].alias("g")))
     return rows.withColumn("g", F.array_min(cost)["g"]).drop("_c")
@@ -86,7 +90,7 @@ def hard_cluster(frames: DataFrame, components: DataFrame, by: list[str], vec: s
 def posterior(frames: DataFrame, components: DataFrame, by: list[str], vec: str = "vec", floor: float = 1e-30, least: float = 0.001) -> DataFrame:
     """frames with gamma, an array of (g, p): each component's posterior. One of `floor` or less
     becomes `least`; the sum is not normalised again."""
-    rows = frames.join(F.broadcast(_packed(components, by)), by)
+    rows = frames.join(small(_packed(components, by)), by)
     logs = F.transform("_c", lambda c: F.ln(c["alpha"]) - gaussian_cost(F.col(vec), c["mean"], c["var"]))
     rows = rows.withColumn("_l", logs).withColumn("_top", F.array_max("_l"))
     rows = rows.withColumn("_lse", F.col("_top") + F.ln(F.aggregate("_l", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_top")))))
@@ -99,7 +103,7 @@ def em_update(with_gamma: DataFrame, by: list[str], vec: str = "vec") -> DataFra
     """Components from posteriors: weights, weighted means and variances (two passes)."""
     rows = with_gamma.select(*by, F.explode("gamma").alias("c"), vec).select(*by, "c.g", "c.p", F.posexplode(vec).alias("d", "x"))
     mean = rows.groupBy(*by, "g", "d").agg((F.sum(F.col("p") * F.col("x")) / F.sum("p")).alias("m"), F.sum("p").alias("w"), F.count("*").alias("n"))
-    back = rows.join(F.broadcast(mean), [*by, "g", "d"])  # components x dimensions
+    back = rows.join(small(mean), [*by, "g", "d"])
     var = back.groupBy(*by, "g", "d").agg(F.max("m").alias("m"), (F.sum(F.col("p") * (F.col("x") - F.col("m")) * (F.col("x") - F.col("m"))) / F.max("w")).alias("s"), (F.max("w") / F.max("n")).alias("alpha"))
     got = var.groupBy(*by, "g").agg(F.max("alpha").alias("alpha"), F.array_sort(F.collect_list(F.struct("d", "m", "s"))).alias("a"))
     return got.select(*by, "g", "alpha", F.transform("a", lambda x: x["m"]).alias("mean"), F.transform("a", lambda x: x["s"]).alias("var"))

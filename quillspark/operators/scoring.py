@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -35,5 +36,18 @@ def digit_counts(labels: DataFrame, digits: str = "digits") -> DataFrame:
 
 
 def by_sequence(names: DataFrame, sequence: str = "digits", name: str = "file") -> DataFrame:
-    """(sequence, files): the names of each sequence, sorted."""
+    """(sequence, files): the names of each sequence, sorted. A list grows with its sequence's names,
+    so this is for reports; numbered_names() gives the same as rows."""
     return names.groupBy(sequence).agg(F.array_sort(F.collect_list(name)).alias("files"))
+
+
+def numbered_names(names: DataFrame, sequence: str = "digits", name: str = "file") -> DataFrame:
+    """(sequence, place, file): the names of each sequence, a row each, with their place from 0. No
+    sequence is gathered, and one with very many names is ordered in parts."""
+    part = F.substring(F.col(name), 1, 2)
+    rows = names.select(F.col(sequence), F.col(name), part.alias("_p"))
+    counts = rows.groupBy(F.col(sequence).alias("_s"), F.col("_p").alias("_q")).agg(F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(W.partitionBy("_s").orderBy("_q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_own", F.row_number().over(W.partitionBy(sequence, "_p").orderBy(name)))
+    rows = rows.join(counts.withColumn("_ahead", ahead), F.col(sequence).eqNullSafe(F.col("_s")) & F.col("_p").eqNullSafe(F.col("_q")))
+    return rows.select(sequence, (F.col("_ahead") + F.col("_own") - 1).alias("place"), name)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import model_queries, relational_queries, signal_queries, text_queries
+from . import model_queries, relational_queries, signal_queries, source_queries, text_queries
 
-_PARTS = (model_queries, signal_queries, text_queries, relational_queries)
+_PARTS = (model_queries, signal_queries, text_queries, relational_queries, source_queries)
 
 
 def queries() -> dict:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def session(app: str = "quillspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,19 +24,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the folder that driver and executors share, and read back: this cuts the
-    lineage of an iteration, and survives the loss of an executor. Only a local session may leave
-    spark.checkpoint.dir unset."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; only a local session may
+    leave it unset, and gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at}/quillspark/{uuid.uuid4().hex}"
+    return at
+
+
+def fleeting(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/quillspark/{name}{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: this cuts the lineage of an iteration, and
+    survives the loss of an executor."""
+    path = fleeting(df.sparkSession, "")
     df.write.parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table of models or components that is broadcast.
+MOST_BROADCAST = 100_000
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df to be broadcast where it has `most` rows at most, which is counted; else the engine joins
+    it by a shuffle."""
+    df = stored(df)
+    return broadcast(df) if df.count() <= most else df
+
+
+def one_row(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df, to be gathered into one row, stored; a ValueError where it has more than `most` rows."""
+    df = stored(df)
+    n = df.count()
+    if n > most:
+        raise ValueError(f"{n} rows are too many for one; {most} are allowed")
+    return df
