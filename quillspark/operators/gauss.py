@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,11 +102,42 @@ def posterior(frames: DataFrame, components: DataFrame, by: list[str], vec: str
 
 
 def em_update(with_gamma: DataFrame, by: list[str], vec: str = "vec") -> DataFrame:
-    """Components from posteriors: weights, weighted means and variances (two passes)."""
-    rows = with_gamma.select(*by, F.explode("gamma").alias("c"), vec).select(*by, "c.g", "c.p", F.posexplode(vec).alias("d", "x"))
-    mean = rows.groupBy(*by, "g", "d").agg((F.sum(F.col("p") * F.col("x")) / F.sum("p")).alias("m"), F.sum("p").alias("w"), F.count("*").alias("n"))
-    back = rows.join(small(mean), [*by, "g", "d"])
-    var = back.groupBy(*by, "g", "d").agg(F.max("m").alias("m"), (F.sum(F.col("p") * (F.col("x") - F.col("m")) * (F.col("x") - F.col("m"))) / F.max("w")).alias("s"), (F.max("w") / F.max("n")).alias("alpha"))
+    """Components from posteriors: weights, weighted means and variances.
+
+    One pass: a batch's frames go into matrix sums by group, around the batch's own means, and the few
+    partial moments are merged by component and dimension. A frame without a vector, or with a null
+    in it, takes no part.
+    """
+    kinds = dict(with_gamma.dtypes)
+    keys = ", ".join(f"`{k}` {kinds[k]}" for k in by)
+    gammas = with_gamma.select(*by, F.transform("gamma", lambda c: c["g"].cast("int")).alias("_g"), F.transform("gamma", lambda c: c["p"]).alias("_p"), F.col(vec).cast("array<double>").alias("_x"))
+    gammas = gammas.where(F.col("_p").isNotNull() & F.col("_x").isNotNull() & ~F.exists("_x", lambda x: x.isNull()))
+
+    def run(batches):
+        at = len(by)
+        for b in batches:
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(b.column(k).to_pylist() for k in range(at)), (tuple(g) for g in b.column(at).to_pylist()))):
+                groups.setdefault(key, []).append(i)
+            out = []
+            for (*_, gs), rows in groups.items():
+                take = pa.array(rows)
+                p = b.column(at + 1).take(take).flatten().to_numpy().reshape(len(rows), -1)
+                x = b.column(at + 2).take(take).flatten().to_numpy().reshape(len(rows), -1)
+                w = p.sum(0)
+                mean = (p.T @ x) / np.where(w > 0, w, 1)[:, None]
+                for j, g in enumerate(gs):
+                    out.append((rows[0], g, float(len(rows)), w[j], mean[j], p[:, j] @ (x - mean[j]) ** 2))
+            first, g, n, w, mean, square = list(zip(*out)) or [[]] * 6
+            where, doubles = pa.array(first, pa.int64()), pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(where) for k in range(at)), pa.array(g, pa.int32()), pa.array(n, pa.float64()), pa.array(w, pa.float64()), pa.array(list(mean), doubles), pa.array(list(square), doubles)], [*by, "g", "n", "w", "mean", "square"])
+
+    part = stored(gammas.mapInArrow(run, f"{keys}, g int, n double, w double, mean array<double>, square array<double>"))
+    part = part.select(*by, "g", "n", "w", F.posexplode(F.arrays_zip("mean", "square")).alias("d", "z")).select(*by, "g", "n", "w", "d", "z.*")
+    m = part.groupBy(*by, "g", "d").agg((F.sum(F.col("w") * F.col("mean")) / F.sum("w")).alias("m"))
+    both = part.join(small(m), [*by, "g", "d"])
+    apart = F.col("mean") - F.col("m")
+    var = both.groupBy(*by, "g", "d").agg(F.max("m").alias("m"), (F.sum(F.col("square") + F.col("w") * apart * apart) / F.sum("w")).alias("s"), (F.sum("w") / F.sum("n")).alias("alpha"))
     got = var.groupBy(*by, "g").agg(F.max("alpha").alias("alpha"), F.array_sort(F.collect_list(F.struct("d", "m", "s"))).alias("a"))
     return got.select(*by, "g", "alpha", F.transform("a", lambda x: x["m"]).alias("mean"), F.transform("a", lambda x: x["s"]).alias("var"))
 
