@@ -540,7 +540,7 @@ def _text_groups(docs: DataFrame, similarity: float, shingle: int, id_col: str,
 
 #: Links of one heavy node that one task compares, and hashes of 8 bytes in one task's sets.
 _STAR = 1024
-_SHARD_HASHES = 4_000_000
+_SHARD_HASHES = 500_000
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
