@@ -97,6 +97,27 @@ def by_key(rows: DataFrame, names: list[str], keys: DataFrame, how: str) -> Data
     return some.alias("rows") if how == "left_semi" else probed.where(~met).select(*own).union(some).alias("rows")
 
 
+#: A key of more rows than HOT_ROWS, and than one in MOST_HOT of all, is hot; MOST_HOT keys are at most.
+HOT_ROWS = 1000
+MOST_HOT = 100_000
+
+
+def with_groups(rows: DataFrame, key: str, groups: DataFrame, how: str = "inner", most: int | None = None) -> DataFrame:
+    """rows joined ("inner" or "left") with groups (key, n, facts; stored, one row a key), n being the
+    rows that have the key; n itself is left out.
+
+    Up to `most` groups (MOST_HOT unless given) are broadcast. Of more only the hot ones are, whose number is bounded whatever
+    the tables' size, so that no task gets all rows of such a key; the others meet by a shuffle.
+    """
+    count, total = groups.agg(F.count("*"), F.sum("n")).first()
+    if count <= (MOST_HOT if most is None else most):
+        return rows.join(F.broadcast(groups.drop("n")), key, how)
+    hot = F.col("n") > max(HOT_ROWS, int(total) // MOST_HOT)
+    first = F.broadcast(groups.where(hot).drop("n"))
+    rest = rows.join(first.select(key), key, "left_anti").join(groups.where(~hot).drop("n"), key, how)
+    return rows.join(first, key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

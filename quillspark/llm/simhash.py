@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, components, keyed, stored
+from .common import by_key, components, keyed, stored, with_groups
 
 _CHUNK = 1 << 16
 #: Rows, of 20 bytes each, in a table of large buckets that is broadcast.
@@ -239,12 +239,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component, and links nothing. Other columns are not read, so their names cannot clash.
     """
     fps = stored(fingerprints(docs, id_col, text_col, words))
-    reps = stored(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    reps = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("rep is not null"))
     # An id that repeats with two texts, and is the smallest for both, is one node for both.
     found = links(reps, radius)
     label = components(found)
-    marked = reps.join(label, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = fps.join(marked, "fp", "left")
+    marked = reps.join(label, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = with_groups(fps, "fp", stored(marked), "left")
     return out.select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -420,7 +420,7 @@ def _open_members(rows: DataFrame, radius: int) -> DataFrame:
 
 
 def _exact_links(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """Links (u, v) of rows (bucket, a, b, node, fp, label, hashes, shard): those found within the
+    """Links (u, v) of rows (bucket, a, b, own, node, fp, label, hashes, shard): those found within the
     radius whose sets share the similarity, less those that earlier links of the bucket imply."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -430,7 +430,8 @@ def _exact_links(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
         of = lambda i: flat[at[order[i]] : at[order[i] + 1]]
         for s, e in groups:
             label = c["label"][s:e].copy()
-            for i, near in _near_pairs(fp[s:e], None, radius):
+            side = None if c["a"][s] == c["b"][s] else c["own"][s:e] == c["a"][s]
+            for i, near in _near_pairs(fp[s:e], side, radius):
                 for j in near.tolist():
                     if label[j] == label[i]:
                         continue
@@ -471,20 +472,20 @@ def _text_groups(docs: DataFrame, similarity: float, shingle: int, id_col: str,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *longs, values], ["key_file", "key_at", "doc_id", "node", "fp", "bands"])
 
     rows = stored(own.mapInArrow(read, "key_file long, key_at long, doc_id long, node long, fp long, bands array<long>"))
-    nodes = stored(rows.select("node", "fp", "bands").dropDuplicates(["node"]))
+    place = F.min(F.struct("key_file", "key_at")).alias("k")
+    nodes = stored(rows.groupBy("node").agg(place, F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     spread = nodes.select("node", "fp", F.explode("bands").alias("bucket"))
     sizes = stored(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    few = sizes.count() <= _MOST_BROADCAST * 5
-    met = stored(spread.join(F.broadcast(sizes) if few else sizes.hint("shuffle_hash"), "bucket"))
-    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
-    heavy = met.select("bucket", "node", "fp").join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node", "fp")).alias("h"))
-    stars = met.select("bucket", "node", "fp").join(heavy, "bucket").where("node <> h.node")
+    met = stored(with_groups(spread, "bucket", sizes.withColumn("members", F.col("n")), most=_MOST_GROUPS))
+    weight = met.groupBy("node").agg(F.sum("members").alias("weight"))
+    heavy = met.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node", "fp")).alias("h"), F.count("*").alias("n"))
+    stars = with_groups(met.select("bucket", "node", "fp"), "bucket", stored(heavy), most=_MOST_GROUPS).where("node <> h.node")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("h.fp"))) <= WIDE_RADIUS
     stars = stored(stars.where(near).select(F.col("h.node").alias("u"), F.col("node").alias("v")).distinct())
 
     def hash_sets(wanted: DataFrame) -> DataFrame:
         """(node, hashes) of the wanted (node), each read again from one of its rows."""
-        at = rows.select("node", "key_file", "key_at").join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("key_file", "key_at")).alias("k"))
+        at = nodes.select("node", "k").join(wanted, "node", "left_semi")
         texts = by_key(docs, names, stored(at.select("k.key_file", "k.key_at")), "left_semi").select(F.col(f"rows.`{text_col}`").alias("text"))
 
         def run(batches):
@@ -515,12 +516,11 @@ def _text_groups(docs: DataFrame, similarity: float, shingle: int, id_col: str,
     label = components(found)
 
     # Buckets whose nodes the stars have not all joined.
-    marked = met.join(label.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("bucket", "node", "fp", "n", F.coalesce("component", "node").alias("label"))
+    marked = met.join(label.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("bucket", "node", "fp", F.coalesce("component", "node").alias("label"))
     marked = stored(marked)
-    open_ = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("n").alias("n")).where("low <> high").select("bucket", "n")
+    open_ = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n")
     open_ = stored(open_)
-    few = open_.count() <= _MOST_BROADCAST * 5
-    inside = marked.drop("n").join(F.broadcast(open_.select("bucket")) if few else open_.select("bucket"), "bucket")
+    inside = with_groups(marked, "bucket", open_, most=_MOST_GROUPS)
     members = stored(_open_members(_pieces(inside, open_, 2048, 65536), WIDE_RADIUS))
     if not members.isEmpty():
         # Parts of buckets that hold the same nodes are compared once.
@@ -529,18 +529,22 @@ def _text_groups(docs: DataFrame, similarity: float, shingle: int, id_col: str,
         members = members.join(same, ["bucket", "a", "b"]).select(F.xxhash64("bucket", "a", "b").alias("bucket"), "node")
         sets = hash_sets(members.select("node").distinct())
         facts = marked.select("node", "fp", "label").dropDuplicates(["node"])
-        held = stored(members.join(facts, "node").join(sets, "node").withColumns({"a": F.lit(0).cast("long"), "b": F.lit(0).cast("long")}))
-        words = held.agg(F.sum(F.size("hashes") + 16)).first()[0]
-        shards = max(1, -(-int(words) // _SHARD_HASHES))
-        more = _exact_links(held.withColumn("shard", F.pmod(F.xxhash64("bucket"), F.lit(shards))), similarity, WIDE_RADIUS)
+        held = stored(members.join(facts, "node").join(sets, "node"))
+        words = stored(held.groupBy("bucket").agg(F.sum(F.size("hashes") + 16).cast("long").alias("n")))
+        more = _exact_links(_pieces(held, words, _PIECE_HASHES, _SHARD_HASHES), similarity, WIDE_RADIUS)
         label = components(found.union(more))
-    out = rows.select("key_file", "key_at", "doc_id", "node").join(label.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
-    return docs, names, stored(out.select("key_file", "key_at", "doc_id", F.coalesce("component", "node").alias("part")))
+    parts = nodes.select("node", "n").join(label.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "n", F.coalesce("component", "node").alias("part"))
+    out = with_groups(rows.select("key_file", "key_at", "doc_id", "node"), "node", stored(parts))
+    return docs, names, stored(out.select("key_file", "key_at", "doc_id", "part"))
 
 
-#: Links of one heavy node that one task compares, and hashes of 8 bytes in one task's sets.
+#: Links of one heavy node that one task compares; hashes, of 8 bytes, in one task's sets where buckets
+#: are small, and in each of the pieces that a larger bucket is cut into.
 _STAR = 1024
 _SHARD_HASHES = 500_000
+_PIECE_HASHES = 4_000_000
+#: Buckets, of some 40 bytes each, that are broadcast.
+_MOST_GROUPS = 1_000_000
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -554,8 +558,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     read.
     """
     _, _, rows = _text_groups(docs, similarity, shingle, id_col, text_col)
-    least = rows.groupBy(F.col("part").alias("p")).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    out = rows.join(least, F.col("part") == F.col("p"), "left")
+    least = rows.groupBy("part").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    out = with_groups(rows, "part", stored(least), "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
@@ -564,6 +568,6 @@ def without_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
     of several such rows the first by place in its file. All columns stay."""
     columns = docs.columns
     docs, names, rows = _text_groups(docs, similarity, shingle, id_col, text_col)
-    best = rows.groupBy(F.col("part").alias("p")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_file", "key_at")).alias("b"), F.count("*").alias("n")).where("n > 1")
-    gone = rows.join(best, F.col("part") == F.col("p")).where("key_file <> b.key_file or key_at <> b.key_at").select("key_file", "key_at")
+    best = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_file", "key_at")).alias("b"), F.count("*").alias("n")).where("n > 1")
+    gone = with_groups(rows, "part", stored(best)).where("key_file <> b.key_file or key_at <> b.key_at").select("key_file", "key_at")
     return by_key(docs, names, stored(gone), "left_anti").select(*[F.col(f"rows.`{c}`") for c in columns])

@@ -417,6 +417,39 @@ def test_similar_documents_without_a_centre(spark):
     assert got == want
 
 
+def test_similar_documents_in_pieces_and_by_hot_groups(spark, monkeypatch):
+    """The same groups where sets are compared piece by piece and only hot groups are broadcast."""
+    rng, rows = random.Random(9), []
+    for g in range(3):
+        words = [f"w{rng.getrandbits(30)}" for _ in range(300)]
+        for k in range(30):
+            rows.append((100 * g + k, " ".join(words[5 * k : 5 * k + 100]), "s"))
+    rows += [(1000 + k, rows[0][1], "s") for k in range(200)] + [(2000 + k, f"alone {k}", "s") for k in range(50)]
+    want = slow_similar({i: t for i, t, _ in rows})[1]
+    for name, value in (("_PIECE_HASHES", 1000), ("_SHARD_HASHES", 2000), ("_MOST_GROUPS", 0)):
+        monkeypatch.setattr(simhash, name, value)
+    for name, value in (("MOST_HOT", 10), ("HOT_ROWS", 20)):
+        monkeypatch.setattr(common, name, value)
+    docs = docs_of(spark, rows)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == want
+    assert {r.doc_id for r in simhash.without_copies(docs).collect()} == set(want.values())
+    prints = {i: simhash.fingerprint(t) for i, t, _ in rows}
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert {i: f for i, (f, _) in got.items()} == prints and all(got[i][1] == 0 for i in range(1000, 1200))
+
+
+def test_with_groups(spark, monkeypatch):
+    monkeypatch.setattr(common, "MOST_HOT", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 10 + [2] * 2 + [3] + [None] * 2)], "k long, i long")
+    groups = common.stored(spark.createDataFrame([(1, 10, "a"), (2, 2, "b"), (4, 1, "d")], "k long, n long, fact string"))
+    for most in (None, 100):
+        got = Counter((r.k, r.fact) for r in common.with_groups(rows, "k", groups, "left", most).collect())
+        assert got == {(1, "a"): 10, (2, "b"): 2, (3, None): 1, (None, None): 2}
+        assert Counter(r.fact for r in common.with_groups(rows, "k", groups, most=most).collect()) == {"a": 10, "b": 2}
+    assert common.with_groups(rows, "k", groups.limit(0), "left").count() == rows.count()
+
+
 def test_similar_documents_with_blocks(spark):
     """Blocks that are appended or cut, the rest in place."""
     rng, rows, pairs = random.Random(6), [], []
