@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, components, keyed, stored, with_groups
+from .common import by_key, components, keyed, short_batches, stored, with_groups
 
 _CHUNK = 1 << 16
 #: Rows, of 20 bytes each, in a table of large buckets that is broadcast.
@@ -238,7 +238,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated ids keep all their rows. A row whose id is null gets its fingerprint and a null
     component, and links nothing. Other columns are not read, so their names cannot clash.
     """
-    fps = stored(fingerprints(docs, id_col, text_col, words))
+    with short_batches(docs.sparkSession):
+        fps = stored(fingerprints(docs, id_col, text_col, words))
     reps = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("rep is not null"))
     # An id that repeats with two texts, and is the smallest for both, is one node for both.
     found = links(reps, radius)
@@ -471,7 +472,8 @@ def _text_groups(docs: DataFrame, similarity: float, shingle: int, id_col: str,
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *longs, values], ["key_file", "key_at", "doc_id", "node", "fp", "bands"])
 
-    rows = stored(own.mapInArrow(read, "key_file long, key_at long, doc_id long, node long, fp long, bands array<long>"))
+    with short_batches(docs.sparkSession):
+        rows = stored(own.mapInArrow(read, "key_file long, key_at long, doc_id long, node long, fp long, bands array<long>"))
     place = F.min(F.struct("key_file", "key_at")).alias("k")
     nodes = stored(rows.groupBy("node").agg(place, F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     spread = nodes.select("node", "fp", F.explode("bands").alias("bucket"))
@@ -494,7 +496,8 @@ def _text_groups(docs: DataFrame, similarity: float, shingle: int, id_col: str,
                 node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "hashes"])
 
-        return stored(texts.mapInArrow(run, "node long, hashes array<long>"))
+        with short_batches(docs.sparkSession):
+            return stored(texts.mapInArrow(run, "node long, hashes array<long>"))
 
     def verify(batches):
         for b in batches:
@@ -512,7 +515,8 @@ def _text_groups(docs: DataFrame, similarity: float, shingle: int, id_col: str,
     salted = stars.join(stars_of, "u").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")))
     pairs = salted.join(left, ["u", "salt"]).join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("other")), "v").select("u", "v", "hashes", "other")
     sized = F.least(F.size("hashes"), F.size("other")) >= F.greatest(F.size("hashes"), F.size("other")) * (similarity - 1e-9)
-    found = stored(pairs.where(sized).mapInArrow(verify, "u long, v long"))
+    with short_batches(docs.sparkSession):
+        found = stored(pairs.where(sized).mapInArrow(verify, "u long, v long"))
     label = components(found)
 
     # Buckets whose nodes the stars have not all joined.
