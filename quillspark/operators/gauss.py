@@ -62,12 +62,16 @@ def _packed(components: DataFrame, by: list[str]) -> DataFrame:
     return components.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("g", "alpha", "mean", "var"))).alias("_c"))
 
 
-def assign(frames: DataFrame, components: DataFrame, by: list[str], vec: str = "vec") -> DataFrame:
-    """frames with g: the component of least Gaussian cost less log weight; ties go to the first."""
+def assign(frames: DataFrame, components: DataFrame, by: list[str], vec: str = "vec", cost_name: str | None = None) -> DataFrame:
+    """frames with g: the component of least Gaussian cost less log weight; ties go to the first.
+    cost_name: a column for that cost, if wanted."""
     rows = frames.join(small(_packed(components, by)), by)
     live = F.filter("_c", lambda c: c["alpha"] > 0)
     cost = F.transform(live, lambda c: F.struct((gaussian_cost(F.col(vec), c["mean"], c["var"]) - F.ln(c["alpha"])).alias("cost"), c["g"].alias("g")))
-    return rows.withColumn("g", F.array_min(cost)["g"]).drop("_c")
+    rows = rows.withColumn("_best", F.array_min(cost)).withColumn("g", F.col("_best.g"))
+    if cost_name:
+        rows = rows.withColumn(cost_name, F.col("_best.cost"))
+    return rows.drop("_c", "_best")
 
 
 def refit(assigned: DataFrame, by: list[str], vec: str = "vec") -> DataFrame:
@@ -89,6 +93,45 @@ def hard_cluster(frames: DataFrame, components: DataFrame, by: list[str], vec: s
     return components
 
 
+def repaired(assigned: DataFrame, components: DataFrame, by: list[str], key: str, vec: str = "vec") -> DataFrame:
+    """assigned (by, key, vec, g) in which no component starves: one that holds a frame at most takes
+    the two that cost least in it, ties by key, from components of more than three frames.
+
+    A round serves one starved component of each group, the lowest; a group whose frames are too few
+    to share stays as it is. key must tell a group's frames apart.
+    """
+    for _ in range(int(components.agg(F.max("g")).first()[0] or 0) + 1):
+        held = assigned.groupBy(*by, "g").agg(F.count("*").alias("n"))
+        sizes = stored(components.select(*by, "g").join(held, [*by, "g"], "left").select(*by, "g", F.coalesce("n", F.lit(0)).alias("n")))
+        rich = sizes.where("n > 3").select(*by, "g")
+        poor = sizes.where("n <= 1").groupBy(*by).agg(F.min("g").alias("g")).join(rich.select(*by).distinct(), by, "left_semi")
+        poor = stored(poor.join(components, [*by, "g"]).select(*by, F.col("g").alias("_to"), "mean", "var"))
+        if poor.isEmpty():
+            break
+        pool = assigned.join(small(rich), [*by, "g"]).join(small(poor), by)
+        place = F.row_number().over(W.partitionBy(*by).orderBy(gaussian_cost(F.col(vec), F.col("mean"), F.col("var")), key))
+        taken = pool.withColumn("_place", place).where("_place <= 2").select(*by, key, "_to")
+        assigned = stored(assigned.join(small(taken), [*by, key], "left").withColumn("g", F.coalesce("_to", "g")).drop("_to"))
+    return assigned
+
+
+def clustered_components(frames: DataFrame, by: list[str], key: str, k: int, vec: str = "vec", epsilon: float = 100.0, rounds: int = 20, least_var: float = 1e-6) -> DataFrame:
+    """k components a group by k-means under Gaussian costs, without weights, with starved ones
+    repaired in every round, until the summed cost moves by less than epsilon: a start for em().
+    Variances are least_var at least."""
+    frames = stored(frames.select(*by, key, vec))
+    components, before = initial_components(frames, by, k, vec), math.inf
+    for _ in range(rounds):
+        got = stored(assign(frames, components.withColumn("alpha", F.lit(1.0)), by, vec, "_cost"))
+        cost = got.agg(F.sum("_cost")).first()[0] or 0.0
+        got = repaired(got.drop("_cost"), components, by, key, vec)
+        components = stored(refit(got, by, vec).withColumn("var", F.transform("var", lambda v: F.greatest(v, F.lit(least_var)))))
+        if abs(before - cost) < epsilon:
+            break
+        before = cost
+    return components
+
+
 def posterior(frames: DataFrame, components: DataFrame, by: list[str], vec: str = "vec", floor: float = 1e-30, least: float = 0.001) -> DataFrame:
     """frames with gamma, an array of (g, p): each component's posterior. One of `floor` or less
     becomes `least`; the sum is not normalised again."""

@@ -41,6 +41,14 @@ def _components(s, d, k=2) -> DataFrame:
     return gauss.initial_components(frames(s, d), ["model"], k)
 
 
+def _repaired(s, d) -> DataFrame:
+    """Two components a class, and a third so far off that no frame is nearest to it."""
+    comps = _components(s, d).select("model", "g", F.lit(1.0).alias("alpha"), "mean", "var")
+    far = _components(s, d).where("g = 0").select("model", F.lit(2).alias("g"), F.lit(1.0).alias("alpha"), F.zip_with("mean", "var", lambda m, v: m + 100 * F.sqrt(v)).alias("mean"), "var")
+    comps = comps.union(far)
+    return gauss.repaired(gauss.assign(frames(s, d), comps, ["model"]), comps, ["model"], "vec_id")
+
+
 def _params(df: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     """Means and variances by dimension."""
     return df.select(*keys, F.posexplode(F.arrays_zip("mean", "var")).alias("d", "p")).select(*keys, "d", F.round("p.mean", digits).alias("mean"), F.round("p.var", digits).alias("var"))
@@ -202,6 +210,7 @@ def queries() -> dict:
         "gmm_split": lambda s, d: _params(gauss.split(_models(s, d).withColumns({"g": F.lit(0), "alpha": F.lit(1.0)})), ["model", "g", "alpha"]),
         "kmeans_assign": lambda s, d: gauss.assign(frames(s, d), _components(s, d), ["model"]).select("vec_id", "g"),
         "cluster_score": lambda s, d: _cluster_score(s, d),
+        "kmeans_repair": lambda s, d: _repaired(s, d).select("vec_id", "model", "g"),
         "kmeans_update": lambda s, d: _params(gauss.refit(gauss.assign(frames(s, d), _components(s, d), ["model"]), ["model"]).withColumn("alpha", F.round("alpha", 6)), ["model", "g", "alpha"]),
         "em_posterior": lambda s, d: gauss.posterior(frames(s, d), _components(s, d), ["model"]).select("vec_id", F.explode("gamma").alias("c")).select("vec_id", "c.g", F.round("c.p", 6).alias("p")),
         "em_cost": lambda s, d: gauss.posterior(frames(s, d), _components(s, d), ["model"]).agg(F.round(-F.sum("log_likelihood"), 3).alias("cost")),
@@ -316,6 +325,11 @@ def oracle_sql() -> dict[str, str]:
         "gmm_weight_twice": f"WITH {_LOGS} SELECT vec_id, round(-(z + ln(0.5)), 4) AS cost FROM lse",
         "gmm_split": f"WITH {_FIT} SELECT model, k AS g, 0.5::DOUBLE AS alpha, CAST(d AS INTEGER) AS d, round(mean * CASE WHEN k = 0 THEN 1.01 ELSE 0.99 END, 6) AS mean, round(var, 6) AS var FROM g CROSS JOIN (VALUES (0), (1)) q(k)",
         "kmeans_assign": f"WITH {_ASSIGN} SELECT vec_id, g FROM asg",
+        "kmeans_repair": f"""WITH {_ASSIGN}, far AS (SELECT x.vec_id, x.model, sum(ln(2 * pi() * c.var) + (x.x - c.mean - 100 * sqrt(c.var)) * (x.x - c.mean - 100 * sqrt(c.var)) / c.var) AS c
+            FROM x JOIN comp c ON c.model = x.model AND c.d = x.d AND c.g = 0 GROUP BY x.vec_id, x.model),
+          n AS (SELECT *, count(*) OVER (PARTITION BY model, g) AS n FROM asg JOIN far USING (vec_id, model)),
+          r AS (SELECT *, row_number() OVER (PARTITION BY model, n > 3 ORDER BY c, vec_id) AS place FROM n)
+          SELECT vec_id, model, CASE WHEN n > 3 AND place <= 2 THEN 2 ELSE g END AS g FROM r""",
         "kmeans_update": f"WITH {_ASSIGN}, n AS (SELECT model, g, count(*) AS n FROM asg GROUP BY model, g), a AS (SELECT model, g, n / sum(n) OVER (PARTITION BY model) AS alpha FROM n) SELECT asg.model, asg.g, round(any_value(a.alpha), 6) AS alpha, CAST(d AS INTEGER) AS d, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS var FROM asg JOIN x USING (vec_id, model) JOIN a ON a.model = asg.model AND a.g = asg.g GROUP BY asg.model, asg.g, d",
         "em_posterior": f"WITH {_GAMMA} SELECT vec_id, g, round(p, 6) AS p FROM gm",
         "em_cost": f"WITH {_LOGS} SELECT round(-sum(z), 3) AS cost FROM lse",

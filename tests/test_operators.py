@@ -161,6 +161,29 @@ def test_gaussians_and_classes(spark):
     assert gauss.classify(spark.createDataFrame([(0, [1.0])], "id int, vec array<double>"), tie, ["id"]).first().predicted == 1
 
 
+def test_starved_components(spark):
+    """Every component gets two frames where there are enough to share; nothing changes where not."""
+    rows = [(i, 0, [float(i)], 0) for i in range(8)] + [(i, 1, [float(i)], 0) for i in range(3)] + [(9, 0, [50.0], 1)]
+    got = spark.createDataFrame(rows, "id int, model int, vec array<double>, g int")
+    comps = spark.createDataFrame([(m, g, 1.0, [at], [1.0]) for m in (0, 1) for g, at in enumerate((3.0, 5.0, -9.0))], "model int, g int, alpha double, mean array<double>, var array<double>")
+    out = {(r.model, r.id): r.g for r in gauss.repaired(got, comps, ["model"], "id").collect()}
+    assert [out[0, i] for i in range(8)] == [2, 2, 0, 0, 1, 1, 0, 0] and out[0, 9] == 1
+    assert [out[1, i] for i in range(3)] == [0, 0, 0]
+    assert gauss.repaired(got.limit(0), comps, ["model"], "id").count() == 0
+
+
+def test_clustered_components(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(-6, 1, 200), rng.normal(0, 1, 200), rng.normal(6, 1, 200)])
+    df = spark.createDataFrame([(i, i % 2, [float(v)]) for i, v in enumerate(x)], "id long, model int, vec array<double>")
+    out = gauss.clustered_components(df, ["model"], "id", 3, epsilon=0.01).collect()
+    for m in (0, 1):
+        own = sorted((r.mean[0], r.alpha) for r in out if r.model == m)
+        assert [v for v, _ in own] == pytest.approx([-6, 0, 6], abs=0.5) and sum(a for _, a in own) == pytest.approx(1)
+    same = spark.createDataFrame([(i, 0, [1.0 + (i == 0)]) for i in range(9)], "id long, model int, vec array<double>")
+    assert len(gauss.clustered_components(same, ["model"], "id", 3).collect()) == 3
+
+
 def test_mixtures(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(-4, 1, 300), rng.normal(4, 1, 100)])
