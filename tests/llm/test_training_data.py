@@ -450,6 +450,17 @@ def test_with_groups(spark, monkeypatch):
     assert common.with_groups(rows, "k", groups.limit(0), "left").count() == rows.count()
 
 
+def test_short_batches_are_undone(spark):
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(100)
+    before = spark.conf.get(name)
+    sizes = lambda batches: (b.slice(0, 1) for b in batches)
+    with common.short_batches(spark, 7):
+        assert docs.coalesce(1).mapInArrow(sizes, "id long").count() == 15
+    with pytest.raises(ValueError), common.short_batches(spark, 7):
+        raise ValueError
+    assert spark.conf.get(name) == before
+
+
 def test_similar_documents_with_blocks(spark):
     """Blocks that are appended or cut, the rest in place."""
     rng, rows, pairs = random.Random(6), [], []
