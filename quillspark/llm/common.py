@@ -28,19 +28,34 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read back.
+def fleeting(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/quillspark/{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """df written as Parquet, with the writer's options, to the shared folder and read back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation. The folder goes
-    when the driver's JVM ends.
+    when the driver's JVM ends, or with discard().
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    path = fleeting(df.sparkSession)
+    df.write.options(**options).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a DataFrame that stored() gave, and that nothing reads any more."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, mixture, pii, quality, secret_scan, simhash, tokens
+from . import ann, chat, decontaminate, exact, fim, langid, mixture, pii, quality, search, secret_scan, simhash, tokens
 from .common import shared_dir, table
 
 
@@ -84,8 +84,20 @@ def op10_mixture(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_middle(spark: SparkSession, d: str) -> DataFrame:
+    return fim.digest(fim.transform(table(spark, d, "documents").select("doc_id", "text")))
+
+
+def op12_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return search.ranked(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op13_copies(spark: SparkSession, d: str) -> DataFrame:
+    return exact.copies(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_nearest, op2_quality, op3_simhash, op4_tokens, op5_chat, tool_links, op6_language, op7_decontaminate, op8_secrets, op9_pii, op10_mixture)}
+    return {f.__name__: f for f in (op1_nearest, op2_quality, op3_simhash, op4_tokens, op5_chat, tool_links, op6_language, op7_decontaminate, op8_secrets, op9_pii, op10_mixture, op11_middle, op12_ranked, op13_copies)}
 
 
 _OP10 = r"""
@@ -142,5 +154,44 @@ SELECT CAST(conv_id AS BIGINT), -1, -1, 0, 'message', 0, CAST([] AS VARCHAR[]),
 """
 
 
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS c2,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+                  WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b FROM g),
+x AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM x
+"""
+
+_TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS place, doc_id, {_TERMS.format("text")} AS terms FROM documents WHERE text IS NOT NULL),
+k AS (SELECT place, doc_id, terms, len(terms) AS n FROM d WHERE len(terms) > 0),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM k),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark),
+t AS (SELECT place, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT place, unnest(terms) AS term FROM k) WHERE term IN (SELECT term FROM q) GROUP BY place, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term, docs),
+i AS (SELECT t.place, t.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words))) AS impact
+      FROM t JOIN f USING (term) JOIN k USING (place), s),
+r AS (SELECT item_id, place, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY item_id, place),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+      FROM r JOIN k USING (place) WHERE score > 0)
+SELECT * FROM o WHERE rank <= 50
+"""
+
+_OP13 = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS group_size, doc_id = max(doc_id) OVER g AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"tool_links": _TOOL_LINKS, "op5_chat": _OP5, "op10_mixture": _OP10}
+    return {"op11_middle": _OP11, "op12_ranked": _OP12, "op13_copies": _OP13, "tool_links": _TOOL_LINKS, "op5_chat": _OP5, "op10_mixture": _OP10}
