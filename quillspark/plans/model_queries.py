@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import decoding, gauss, relational, training, trellis
+from ..operators import blocks, decoding, gauss, relational, signal, training, trellis
 from ..session import table
 from .signal_queries import _SIG, wave
 
@@ -175,6 +175,89 @@ def _rounds_sql(rounds: int, soft: bool) -> str:
     return f"WITH {out} SELECT model, g, CAST(d AS INTEGER) AS d, round(mean, 4) AS mean, round(var, 4) AS var FROM c{rounds}"
 
 
+_LOOP_SQL = """WITH RECURSIVE %s, len AS (SELECT utt, max(i) AS last FROM sig GROUP BY utt), ws AS (SELECT unnest([1, 2, 3]) AS w),
+      tr(w, k, v, l, cost) AS (SELECT w, 0, w, 0, 0.1::DOUBLE FROM ws UNION ALL SELECT w, 0, w, 1, 0.3 FROM ws UNION ALL SELECT w, 1, w, 1, 0.0 FROM ws
+        UNION ALL SELECT w, 1, 0, 2, 2.0 FROM ws UNION ALL SELECT 0, 2, w, 0, 0.0 FROM ws),
+      d(utt, t, w, k, c, words) AS (
+        SELECT utt, i, w, 0, 0.5 * (ln(2 * pi() * 2500.0) + (x - (60.0 + 120 * (w - 1))) * (x - (60.0 + 120 * (w - 1))) / 2500.0), CAST(w AS VARCHAR) FROM sig, ws WHERE i = 0
+        UNION ALL
+        SELECT d.utt, d.t + 1, tr.v, tr.l, min(d.c + tr.cost) + CASE WHEN tr.l = 2 THEN 0.0 ELSE any_value(0.5 * (ln(2 * pi() * 2500.0) + (x - (60.0 + 120 * (tr.v - 1) + 40 * tr.l)) * (x - (60.0 + 120 * (tr.v - 1) + 40 * tr.l)) / 2500.0)) END,
+               arg_min(d.words || CASE WHEN tr.k = 2 THEN CAST(tr.v AS VARCHAR) ELSE '' END, d.c + tr.cost)
+        FROM d JOIN tr ON tr.w = d.w AND tr.k = d.k JOIN sig ON sig.utt = d.utt AND sig.i = d.t + 1 GROUP BY d.utt, d.t, tr.v, tr.l),
+      f AS (SELECT d.utt, min(c) + 2.0 AS c, arg_min(words, c) AS words FROM d JOIN len ON len.utt = d.utt AND len.last = d.t WHERE k = 1 GROUP BY d.utt)
+      SELECT len.utt, round(f.c, 4) AS cost, coalesce(words, '') AS words FROM len LEFT JOIN f ON f.utt = len.utt""" % _SIG  # k = 2: between words, a frame that no word scores
+
+
+def _training_sql(rounds: int, chain: list[int], leave: dict[int, float], shares: bool) -> str:
+    """Rounds of aligning and refitting, one after another, of a chain whose states have the parameter
+    sets of `chain`; leave: what leaving a state costs besides. r<k> has round k's cost and counts, al<k>
+    its alignment, q<k> the models made of it."""
+    n = len(chain)
+    st = ", ".join(f"({s}, {g}, {leave.get(s, 0.0)}::DOUBLE)" for s, g in enumerate(chain))
+    at = f"i * {n} // n" if shares else f"(i + 1) * {n} // n - CASE WHEN (i + 1) * {n} % n = 0 THEN 1 ELSE 0 END"
+    out = f"""WITH RECURSIVE {_SIG}, st(s, g, pen) AS (VALUES {st}), len AS (SELECT utt, count(*) AS n FROM sig GROUP BY utt),
+      al0 AS MATERIALIZED (SELECT *, coalesce(lag(s) OVER (PARTITION BY utt ORDER BY t) <> s, true) AS enters FROM (SELECT utt, i AS t, x, CAST({at} AS INTEGER) AS s FROM sig JOIN len USING (utt)))"""
+    for k in range(1, rounds + 1):
+        out += f""",
+      q{k - 1} AS MATERIALIZED (SELECT g, mean, var, CASE WHEN v < n THEN -ln(1 - v / n) ELSE 50.0 END AS stay, -ln(v / n) AS move
+        FROM (SELECT g, avg(x) AS mean, greatest(var_pop(x), 1e-6) AS var, count(*) AS n, count(*) FILTER (enters) AS v FROM al{k - 1} JOIN st USING (s) GROUP BY g)),
+      e{k} AS MATERIALIZED (SELECT utt, i AS t, s, 0.5 * (ln(2 * pi() * var) + (x - mean) * (x - mean) / var) AS e FROM sig, st JOIN q{k - 1} USING (g)),
+      tr{k} AS MATERIALIZED (SELECT s AS a, s AS b, stay AS cost FROM st JOIN q{k - 1} USING (g) UNION ALL SELECT s, s + 1, move + pen FROM st JOIN q{k - 1} USING (g) WHERE s < {n - 1}),
+      v{k}(utt, t, s, c, path) AS (SELECT utt, t, 0, e, [0] FROM e{k} WHERE t = 0 AND s = 0
+        UNION ALL SELECT v.utt, v.t + 1, tr.b, min(v.c + tr.cost) + any_value(em.e), arg_min(list_append(v.path, tr.b), (v.c + tr.cost, tr.a))
+          FROM v{k} v JOIN tr{k} tr ON tr.a = v.s JOIN e{k} em ON em.utt = v.utt AND em.t = v.t + 1 AND em.s = tr.b GROUP BY v.utt, v.t, tr.b),
+      f{k} AS MATERIALIZED (SELECT v.utt, c, path FROM v{k} v JOIN len ON v.utt = len.utt AND v.t = len.n - 1 WHERE s = {n - 1}),
+      al{k} AS MATERIALIZED (SELECT utt, t, x, s, coalesce(lag(s) OVER (PARTITION BY utt ORDER BY t) <> s, true) AS enters
+        FROM (SELECT utt, unnest(range(0, len(path))) AS t, unnest(path) AS s FROM f{k}) JOIN sig ON sig.utt = utt AND sig.i = t)""".replace("JOIN sig ON sig.utt = utt AND sig.i = t)", "p JOIN sig USING (utt) WHERE sig.i = p.t)")
+    costs = " UNION ALL ".join(f"SELECT {k} AS r, sum(c) AS c, count(*) AS aligned FROM f{k}" for k in range(1, rounds + 1))
+    return out + f", costs AS MATERIALIZED ({costs}), utts AS (SELECT count(*) AS n FROM len)"
+
+
+def _ended_sql(rule: str) -> str:
+    """The rounds up to the first that the rule ends."""
+    return f", rule AS (SELECT *, {rule} AS done FROM costs WINDOW o AS (ORDER BY r)), shown AS (SELECT * FROM rule WHERE r <= (SELECT coalesce(min(r) FILTER (done), max(r)) FROM rule))"
+
+
+_SHOWN = " SELECT CAST(r - 1 AS BIGINT) AS round, round(c, 3) AS cost, aligned, utts.n - aligned AS left_out FROM shown, utts"
+_FALLS = "coalesce(lag(c) OVER o - c <= 1e-6 * abs(c), false)"
+
+
+def _two_level_sql(outer: int, rounds: int) -> str:
+    """Inner and outer rounds as a walk over one chain of rounds; lengths of any two are compared."""
+    lengths = " UNION ALL ".join(f"SELECT {k} AS r, utt, s, count(*) AS n FROM al{k} GROUP BY utt, s" for k in range(1, rounds + 1))
+    return _training_sql(rounds, [0, 1, 2, 3, 4], {}, False) + f""", lengths AS MATERIALIZED ({lengths}),
+      change AS MATERIALIZED (SELECT a.r AS q, b.r, avg(abs(a.n - b.n)) AS moved FROM lengths a JOIN lengths b ON a.utt = b.utt AND a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+      walk(r, before, last, inner_round, outer_round) AS (SELECT 1, NULL::DOUBLE, NULL::INTEGER, 1, 1
+        UNION ALL SELECT r + 1, CASE WHEN ends THEN NULL ELSE c END, CASE WHEN ends THEN r ELSE last END, CASE WHEN ends THEN 1 ELSE inner_round + 1 END, outer_round + CASE WHEN ends THEN 1 ELSE 0 END
+          FROM (SELECT walk.*, costs.c, coalesce(abs(before - costs.c) <= 5.0, false) OR inner_round = 10 AS ends, coalesce(moved <= 2.0, false) AS settled
+                FROM walk JOIN costs ON costs.r = walk.r LEFT JOIN change ON change.q = walk.last AND change.r = walk.r)
+          WHERE NOT (ends AND (settled OR outer_round = {outer})) AND r < {rounds}),
+      shown AS (SELECT costs.* FROM costs JOIN walk ON walk.r = costs.r)""" + _SHOWN
+
+
+def _mixture_sql(rounds: int) -> str:
+    """Single Gaussians up to the round that ends them; then two components of each state, five rounds of
+    assigning and refitting in that alignment, and the cost of aligning with them."""
+    ended = _training_sql(rounds, [0, 1, 2, 3, 4], {}, False) + _ended_sql(_FALLS)
+    pick = " UNION ALL ".join(f"SELECT {k} AS r, utt, t, x, s, enters FROM al{k}" for k in range(1, rounds + 1))
+    # The round that ends it aligns with the models kept, so its alignment is theirs.
+    out = ended + f""", al AS MATERIALIZED (SELECT a.* FROM ({pick}) a WHERE r = (SELECT max(r) FROM shown)),
+      n AS MATERIALIZED (SELECT s, count(*) AS n, count(*) FILTER (enters) AS v FROM al GROUP BY s),
+      c0 AS MATERIALIZED (SELECT s, j AS g, 0.5 AS alpha, avg(x) * CASE j WHEN 0 THEN 1.01 ELSE 0.99 END AS mean, greatest(var_pop(x), 1e-6) AS var FROM al, (VALUES (0), (1)) two(j) GROUP BY s, j)"""
+    for k in range(1, 6):
+        out += f""",
+      a{k} AS MATERIALIZED (SELECT utt, t, any_value(x) AS x, s, arg_min(g, (0.5 * (ln(2 * pi() * var) + (x - mean) * (x - mean) / var) - ln(alpha), g)) AS g FROM al JOIN c{k - 1} USING (s) GROUP BY utt, t, s),
+      c{k} AS MATERIALIZED (SELECT s, g, count(*) / any_value(n.n) AS alpha, avg(x) AS mean, greatest(var_pop(x), 1e-6) AS var FROM a{k} JOIN n USING (s) GROUP BY s, g)"""
+    return out + f""",
+      em AS MATERIALIZED (SELECT utt, i AS t, s, -(max(l) + ln(sum(exp(l - m)))) AS e FROM (SELECT *, max(l) OVER (PARTITION BY utt, i, s) AS m
+        FROM (SELECT utt, i, s, ln(alpha) - 0.5 * (ln(2 * pi() * var) + (x - mean) * (x - mean) / var) AS l FROM sig, c5)) GROUP BY utt, i, s),
+      tr AS MATERIALIZED (SELECT s AS a, s AS b, CASE WHEN v < n THEN -ln(1 - v / n) ELSE 50.0 END AS cost FROM n UNION ALL SELECT s, s + 1, -ln(v / n) FROM n WHERE s < 4),
+      v(utt, t, s, c) AS (SELECT utt, t, 0, e FROM em WHERE t = 0 AND s = 0
+        UNION ALL SELECT v.utt, v.t + 1, tr.b, min(v.c + tr.cost) + any_value(em.e) FROM v JOIN tr ON tr.a = v.s JOIN em ON em.utt = v.utt AND em.t = v.t + 1 AND em.s = tr.b GROUP BY v.utt, v.t, tr.b),
+      last AS (SELECT sum(c) AS c, count(*) AS aligned FROM v JOIN len ON v.utt = len.utt AND v.t = len.n - 1 WHERE s = 4)
+      {_SHOWN} UNION ALL SELECT (SELECT max(r) FROM shown), round(c, 3), aligned, utts.n - aligned FROM last, utts"""
+
+
 def _e(x: str, model: str, state: str) -> str:
     return f"0.5 * (ln(2 * pi() * 10000.0) + ({x} - (50.0 + 90.0 * {state} + 25.0 * {model})) * ({x} - (50.0 + 90.0 * {state} + 25.0 * {model})) / 10000.0)"
 
@@ -236,13 +319,15 @@ def queries() -> dict:
         "segmental_kmeans": _trained,
         "two_level_training": lambda s, d: _costs(s, training.two_level(_one_model(s, d), STATES, outer=3)),
         "mixture_training": lambda s, d: _costs(s, training.mixture_schedule(_one_model(s, d), STATES, doublings=1, rounds=1)),
-        "continuous_training": lambda s, d: _costs(s, training.continuous_k_means(_one_model(s, d).select("utt", F.array(F.lit("a"), F.lit("b")).alias("label"), "frames").where("size(frames) >= 8"), 2, rounds=4, silence="sil", silence_states=1)),
+        "continuous_training": lambda s, d: _costs(s, training.continuous_k_means(_one_model(s, d).select("utt", F.array(F.lit("a"), F.lit("b")).alias("label"), "frames"), 2, rounds=4, silence="sil", silence_states=1)),
         "aligned_labels": _aligned_labels,
         "total_path_cost": lambda s, d: _aligned(s, d).where("cost < 1e300").agg(F.round(F.sum("cost"), 2).alias("cost"), F.count("*").alias("n")),
         "score_change": lambda s, d: _score_change(s, d),
         "skip_transition_cost": lambda s, d: _skip_transitions(s, d),
         "frames_in_segments": lambda s, d: _frames_in_segments(s, d),
         "label_models": lambda s, d: _label_models(s, d),
+        "block_align": _block_align,
+        "block_costs": _block_costs,
         "state_parameters": lambda s, d: _params(gauss.fit(_path_rows(s, d).join(wave(s, d).select(F.col("utt").alias("u"), "i", F.array("x").alias("vec")), (F.col("utt") == F.col("u")) & (F.col("t") == F.col("i"))), ["state"]), ["state"], 4),
         "path_start": lambda s, d: _aligned(s, d).select("utt", F.get("path", F.lit(0)).alias("first_state"), F.get("path", F.size("path") - 1).alias("last_state")),
     }
@@ -277,6 +362,35 @@ def _frames_in_segments(s, d) -> DataFrame:
     return relational.in_ranges(wave(s, d), seg, "i", "start", "stop", 16).where("utt = u").select("utt", "i", "state")
 
 
+def _long(s, d) -> DataFrame:
+    """The values of `events` by type as a few long utterances, a row a frame."""
+    rows = signal.sequence_index(table(s, d, "events"), "event_type", ["ts", "event_id"], "ts", "day")
+    return rows.select(F.col("event_type").alias("utt"), F.col("i").cast("long").alias("t"), _emission(0, F.col("value").cast("double")).alias("e"))
+
+
+def _block_align(s, d) -> DataFrame:
+    """Paths of long utterances, in blocks and groups so small that the tree has several levels."""
+    return blocks.align(_long(s, d), trellis.Graph.chain(STAY, MOVE), block=48, bits=2).paths
+
+
+def _block_costs(s, d) -> DataFrame:
+    got = blocks.align(_long(s, d), trellis.Graph.chain(STAY, MOVE, SKIP), block=64)
+    return got.costs.select("utt", F.round("cost", 4).alias("cost"))
+
+
+def _long_sql(skip: bool = False) -> str:
+    """Serial recursion over whole utterances, with costs in the same grains, so that sums are exact."""
+    g = lambda x: f"(round_even({x} * 1048576.0, 0) / 1048576.0)"
+    extra = f" UNION ALL SELECT s, s + 2, {g('1.9::DOUBLE')} FROM st WHERE s < 3" if skip else ""
+    return f"""WITH RECURSIVE sig AS (SELECT event_type AS utt, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t, CAST(value AS DOUBLE) AS x FROM events),
+      st AS (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS s), tr(a, b, cost) AS (SELECT s, s, {g('0.2::DOUBLE')} FROM st UNION ALL SELECT s, s + 1, {g('0.7::DOUBLE')} FROM st WHERE s < 4{extra}),
+      em AS (SELECT utt, t, s, {g(_e('x', '0', 's'))} AS e FROM sig CROSS JOIN st),
+      v(utt, t, s, c, came) AS (SELECT utt, t, 0, e, -1 FROM em WHERE t = 0 AND s = 0
+        UNION ALL SELECT v.utt, v.t + 1, tr.b, min(v.c + tr.cost) + any_value(em.e), arg_min(tr.a, (v.c + tr.cost, -tr.a))
+          FROM v JOIN tr ON tr.a = v.s JOIN em ON em.utt = v.utt AND em.t = v.t + 1 AND em.s = tr.b GROUP BY v.utt, v.t, tr.b),
+      len AS (SELECT utt, max(t) AS last FROM sig GROUP BY utt)"""
+
+
 def _label_models(s, d) -> DataFrame:
     """The models of each conversation's roles in order of turn, with their state counts."""
     states = s.createDataFrame([("user", 5), ("assistant", 5), ("system", 2)], "role string, states int")
@@ -291,11 +405,13 @@ def _uniform_lengths(s, d) -> DataFrame:
 
 
 def _one_model(s, d) -> DataFrame:
-    return trellis.sequences(wave(s, d), "utt", "i", F.array("x"), "frames").where(F.size("frames") >= STATES).withColumn("model", F.lit("all"))
+    return trellis.sequences(wave(s, d), "utt", "i", F.array("x"), "frames").withColumn("model", F.lit("all"))
 
 
 def _costs(s, got) -> DataFrame:
-    return s.createDataFrame([(i, round(c, 3)) for i, c in enumerate(got.costs)], "round int, cost double")
+    """Each round's cost, and how many sequences it is of, and how many found no way through."""
+    rows = [(i, round(c, 3), n, out) for i, (c, n, out) in enumerate(zip(got.costs, got.aligned, got.left_out))]
+    return s.createDataFrame(rows, "round long, cost double, aligned long, left_out long")
 
 
 def _trained(s, d) -> DataFrame:
@@ -355,6 +471,19 @@ def oracle_sql() -> dict[str, str]:
         "label_models": "SELECT conv_id, turn, role, CAST(CASE role WHEN 'system' THEN 2 ELSE 5 END AS INTEGER) AS states FROM conversations WHERE role IN ('user', 'assistant', 'system')",
         "segment_change": _PATH + ", n AS (SELECT utt, count(*) AS n FROM sig GROUP BY utt HAVING count(*) >= 5), u AS (SELECT utt, s AS state, floor((s + 1) * n / 5) - floor(s * n / 5) AS old FROM n CROSS JOIN st), c AS (SELECT utt, state, count(*) AS new FROM pr GROUP BY utt, state) SELECT round(avg(abs(new - old)), 6) AS change FROM u JOIN c USING (utt, state)",
         "state_parameters": _PATH + " SELECT state, 0 AS d, round(avg(x), 4) AS mean, round(var_pop(x), 4) AS var FROM pr JOIN sig ON sig.utt = pr.utt AND sig.i = pr.t GROUP BY state",
+        "decode_loop": _LOOP_SQL,
+        "segmental_kmeans": _training_sql(6, [0, 1, 2, 3, 4], {}, False) + _ended_sql(_FALLS) + _SHOWN,
+        "continuous_training": _training_sql(4, [0, 1, 2, 3, 4, 0], {0: 200.0, 2: 200.0, 4: 200.0}, True)
+        + _ended_sql("coalesce(abs(c - lag(c) OVER o) < 500 AND abs(lag(c) OVER o - lag(c, 2) OVER o) < 500, false)") + _SHOWN,
+        "two_level_training": _two_level_sql(3, 12),
+        "mixture_training": _mixture_sql(12),
+        "skip_transition_cost": _viterbi_sql(skip=True, path=True) + f""", p AS (SELECT v.utt, v.path {_FINAL} WHERE s = 4),
+          r AS (SELECT utt, unnest(range(0, len(path))) AS t, unnest(path) AS state FROM p), n AS (SELECT *, lag(state) OVER w AS before, lead(state) OVER w AS after FROM r WINDOW w AS (PARTITION BY utt ORDER BY t)),
+          c AS (SELECT state, count(*) AS n, count(*) FILTER (before IS DISTINCT FROM state) AS visits, count(*) FILTER (after - state = 2) AS skipped FROM n GROUP BY state)
+          SELECT state, n, visits, skipped, CASE WHEN visits > skipped THEN round(-ln((visits - skipped) / n), 6) END AS next, CASE WHEN visits < n THEN round(-ln(1 - visits / n), 6) END AS stay,
+                 CASE WHEN skipped > 0 THEN round(-ln(skipped / n), 6) END AS skip FROM c""",
+        "block_align": _long_sql() + ", w AS MATERIALIZED (SELECT * FROM v), back(utt, t, s) AS (SELECT w.utt, w.t, w.s FROM w JOIN len ON w.utt = len.utt AND w.t = len.last WHERE w.s = 4 UNION ALL SELECT w.utt, w.t - 1, w.came FROM back JOIN w ON w.utt = back.utt AND w.t = back.t AND w.s = back.s WHERE w.t > 0) SELECT utt, t, s AS state FROM back",
+        "block_costs": _long_sql(True) + f" SELECT v.utt, round(c, 4) AS cost {_FINAL} WHERE s = 4",
         "path_start": _PATH + " SELECT utt, path[1] AS first_state, path[len(path)] AS last_state FROM p",
         "uniform_segment": f"WITH {_SIG} SELECT utt, state, CAST(floor(state * n / 5) AS INTEGER) AS start FROM (SELECT utt, count(*) AS n FROM sig GROUP BY utt) CROSS JOIN (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS state)",
         "dtw_template": f"""WITH RECURSIVE {_SIG}, st AS (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS s), len AS (SELECT utt, max(i) AS last FROM sig GROUP BY utt),
