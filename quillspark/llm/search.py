@@ -7,8 +7,8 @@ term, impacts are added up in a dense array by document, the best k are taken wi
 by id, and merged over the shards.
 
 Building it takes one pass over the texts, which stores each shard's counts; a term's weight is
-computed from its document frequency, summed over shards by a shuffle of (term, shard, frequency),
-and goes back to the shards, where impacts are computed. A shard holds a bounded number of words and
+computed from its document frequency, summed over shards by a shuffle of (term, shard, frequency), and
+goes back to the shards where more than one has the term; there impacts are computed. A shard holds a bounded number of words and
 documents, so neither a hot source nor a hot term gathers in one task: a term has one row a shard.
 """
 
@@ -40,7 +40,7 @@ ITEM_CHARS = 4_000_000
 _TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 _BREAK = re.compile(rb"[^0-9a-z\x80-\xff]")
 #: Row groups are small: a reader holds whole ones, and a row holds a shard.
-_WRITE = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
+_WRITE = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "compression": "zstd"}
 
 _SHARD = "shard long, n_docs long, n_words long, doc_ids array<long>, lengths array<long>, terms array<binary>, dfs array<int>, docs array<int>, tfs array<int>"
 _INDEX = "shard long, doc_ids array<long>, terms array<binary>, dfs array<int>, docs array<int>, impacts array<long>"
@@ -129,28 +129,36 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string").cast("binary")).mapInArrow(run, _SHARD)
 
 
-def weights(counted: DataFrame, n_docs: int) -> DataFrame:
-    """(shard, weights), one array a shard in the order of its terms: floor(1000 ln((2 N + 2) / (2 df + 1)))."""
+def _weight(df, n_docs: int):
+    """floor(1000 ln((2 N + 2) / (2 df + 1)))."""
+    return F.floor(F.lit(1000.0) * F.ln(F.lit(float(2 * n_docs + 2)) / (2 * df + 1)))
+
+
+def shared_weights(counted: DataFrame, n_docs: int) -> DataFrame:
+    """(shard, shared), an array of (place, w) a shard: the weights of those of its terms that other
+    shards have too. Most terms are rare and stand in one shard, which knows their frequency."""
     each = counted.select("shard", F.posexplode(F.arrays_zip("terms", "dfs")).alias("place", "x"))
     df = F.sum("x.dfs").over(W.partitionBy("x.terms"))
-    weight = F.floor(F.lit(1000.0) * F.ln(F.lit(float(2 * n_docs + 2)) / (2 * df + 1)))
-    each = each.select("shard", "place", weight.alias("w"))
-    return each.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "w"))), lambda x: x["w"]).alias("weights"))
+    each = each.select("shard", "place", F.col("x.dfs").alias("own"), df.alias("df")).where("df > own")
+    return each.groupBy("shard").agg(F.collect_list(F.struct("place", _weight(F.col("df"), n_docs).alias("w"))).alias("shared"))
 
 
 def _impacts(counted: DataFrame, n_docs: int, n_words: int) -> DataFrame:
-    rows = counted.join(weights(counted, n_docs).hint("shuffle_hash"), "shard")
+    rows = counted.join(shared_weights(counted, n_docs).hint("shuffle_hash"), "shard", "left")
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                shard, ids, lengths, terms, dfs, docs, tfs, w = (b.column(c)[i] for c in range(8))
+                shard, ids, lengths, terms, dfs, docs, tfs, w, places, shared = (b.column(c)[i] for c in range(10))
                 m = np.array([50 + 50 * n * n_docs // n_words for n in lengths.values.to_pylist()], np.int64)
-                docs, tf, df = docs.values.to_numpy(), tfs.values.to_numpy().astype(np.int64), dfs.values.to_numpy()
-                impact = np.repeat(w.values.to_numpy(), df) * (1_000_000_000 * tf // (1000 * tf + 20 * m[docs]))
+                docs, tf, df, w = docs.values.to_numpy(), tfs.values.to_numpy().astype(np.int64), dfs.values.to_numpy(), w.values.to_numpy().copy()
+                if places.is_valid:
+                    w[places.values.to_numpy()] = shared.values.to_numpy()
+                impact = np.repeat(w, df) * (1_000_000_000 * tf // (1000 * tf + 20 * m[docs]))
                 yield _row([pa.array([shard.as_py()])], [ids.values, terms.values, dfs.values, pa.array(docs), pa.array(impact)], _INDEX)
 
-    return rows.select("shard", "doc_ids", "lengths", "terms", "dfs", "docs", "tfs", "weights").mapInArrow(run, _INDEX)
+    own = F.transform("dfs", lambda df: _weight(df, n_docs)).alias("w")
+    return rows.select("shard", "doc_ids", "lengths", "terms", "dfs", "docs", "tfs", own, F.col("shared.place"), F.col("shared.w").alias("shared")).mapInArrow(run, _INDEX)
 
 
 def best(places: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
