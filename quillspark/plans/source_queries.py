@@ -6,38 +6,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import gauss, scoring
+from ..operators import gauss, scoring, signal
 from ..session import fleeting, table
-from ..sources import models, wav
+from ..sources import models, recordings, wav
 from .model_queries import frames
 from .signal_queries import wave
 
 
 def _waves(s: SparkSession, d: str) -> str:
     """One file a user: the integer parts of its values at 16 kHz."""
-    path = fleeting(s, "wav-").removeprefix("file:")
+    path = fleeting(s, "wav-")
     rows = wave(s, d).groupBy(F.col("utt").cast("string").alias("utt")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.floor("x").cast("smallint").alias("x")))), lambda z: z.x).alias("samples"))
-    wav.write(rows.withColumn("rate", F.lit(16000)), path).write.format("noop").mode("overwrite").save()
+    recordings.save(rows.withColumn("rate", F.lit(16000)), path)
     return path
 
 
+def _ranges(s: SparkSession, d: str) -> DataFrame:
+    """One file a type of event, read by ranges so short that several tasks read each."""
+    path = fleeting(s, "wav-")
+    rows = signal.sequence_index(table(s, d, "events"), "event_type", ["ts", "event_id"], "ts", "day")
+    rows = rows.groupBy(F.col("event_type").alias("utt")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.floor("value").cast("smallint").alias("x")))), lambda z: z.x).alias("samples"))
+    recordings.save(rows.withColumn("rate", F.lit(16000)), path)
+    size = max(64, table(s, d, "events").count() // 8)
+    return recordings.blocks_signal(recordings.scan(s, path, partitionBytes=size, blockSamples=100).where("rate = 16000 and channels = 1"))
+
+
 def _features(s: SparkSession, d: str) -> str:
-    """Each vector's first four values as a line of its label's feature file."""
+    """Each vector as a line of its label's feature file."""
     path = fleeting(s, "features-")
-    lines = frames(s, d).groupBy("model").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", F.slice("vec", 1, 4).alias("v")))), lambda z: F.array_join(F.transform(z.v, lambda x: x.cast("string")), " ")), "\n").alias("value"))
+    lines = frames(s, d).groupBy("model").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", F.col("vec").alias("v")))), lambda z: F.array_join(F.transform(z.v, lambda x: x.cast("string")), " ")), "\n").alias("value"))
     lines.write.partitionBy("model").text(path)
     return path
 
 
 def _read_features(s: SparkSession, d: str) -> DataFrame:
     got = models.features(s, _features(s, d) + "/*")
-    return got.agg(F.count("*").alias("n"), F.round(F.sum(F.col("vec")[0]), 4).alias("first"), F.round(F.sum(F.col("vec")[3]), 4).alias("last"), F.max("t").alias("longest"))
+    rows = got.select(F.regexp_extract("path", "model=([0-9]+)", 1).cast("long").alias("model"), F.col("t").cast("long").alias("t"), F.posexplode("vec").alias("d", "x"))
+    return rows.select("model", "t", "d", F.round("x", 6).alias("x"))
 
 
 def _model_table(s: SparkSession, d: str) -> DataFrame:
     path = fleeting(s, "models-")
     models.write_table(gauss.fit(frames(s, d), ["model"]), path)
-    return s.read.parquet(path).select(F.col("model").cast("int").alias("model"), "n", F.round(F.col("mean")[0], 6).alias("mean"), F.round(F.col("var")[0], 6).alias("var"))
+    return s.read.parquet(path).select(F.col("model").cast("int").alias("model"), "n", F.posexplode(F.arrays_zip("mean", "var")).alias("d", "p")).select("model", "n", "d", F.round("p.mean", 6).alias("mean"), F.round("p.var", 6).alias("var"))
 
 
 def queries() -> dict:
@@ -45,6 +56,7 @@ def queries() -> dict:
         "wav_signal": lambda s, d: wav.signal(wav.read(s, _waves(s, d))).select(F.col("utt").cast("long").alias("utt"), "i", "x"),
         "wav_header": lambda s, d: wav.header(s, _waves(s, d)).select(F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("long").alias("utt"), "rate", "channels", "bits", "declared", "valid", F.round("seconds", 6).alias("seconds")),
         "wav_chunks": lambda s, d: wav.chunks(wav.read(s, _waves(s, d)), 4).select(F.col("utt").cast("long").alias("utt"), "seq", F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x).alias("total")),
+        "wav_ranges": _ranges,
         "feature_files": _read_features,
         "model_table": _model_table,
         "numbered_names": lambda s, d: scoring.numbered_names(table(s, d, "part").select(F.col("p_brand").alias("digits"), F.col("p_partkey").cast("string").alias("file"))),
@@ -57,9 +69,10 @@ _SIG = "sig AS (SELECT user_id AS utt, row_number() OVER (PARTITION BY user_id O
 def oracle_sql() -> dict[str, str]:
     return {
         "wav_signal": f"WITH {_SIG} SELECT utt, i, x FROM sig",
+        "wav_ranges": "SELECT event_type AS utt, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, floor(CAST(value AS DOUBLE)) AS x FROM events",
         "wav_header": f"WITH {_SIG} SELECT utt, 16000 AS rate, 1 AS channels, 16 AS bits, 2 * count(*) AS declared, true AS valid, round(count(*) / 16000, 6) AS seconds FROM sig GROUP BY utt",
         "wav_chunks": f"WITH {_SIG} SELECT utt, i // 4 AS seq, CAST(sum(x) AS BIGINT) AS total FROM sig GROUP BY utt, i // 4",
-        "feature_files": "WITH f AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, embedding AS e FROM embeddings) SELECT count(*) AS n, round(sum(CAST(e[1] AS DOUBLE)), 4) AS first, round(sum(CAST(e[4] AS DOUBLE)), 4) AS last, max(t) AS longest FROM f",
-        "model_table": "SELECT CAST(label AS INTEGER) AS model, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS mean, round(var_pop(CAST(embedding[1] AS DOUBLE)), 6) AS var FROM embeddings GROUP BY label",
+        "feature_files": "SELECT label AS model, t, CAST(unnest(range(0, len(e))) AS INTEGER) AS d, round(CAST(unnest(e) AS DOUBLE), 6) AS x FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, embedding AS e FROM embeddings)",
+        "model_table": "SELECT CAST(label AS INTEGER) AS model, count(*) AS n, CAST(d AS INTEGER) AS d, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS var FROM (SELECT label, unnest(range(0, len(embedding))) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label, d",
         "numbered_names": "SELECT p_brand AS digits, row_number() OVER (PARTITION BY p_brand ORDER BY CAST(p_partkey AS VARCHAR)) - 1 AS place, CAST(p_partkey AS VARCHAR) AS file FROM part",
     }

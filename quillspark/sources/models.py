@@ -18,17 +18,17 @@ def _tokens(spark: SparkSession, path: str, pattern: str | None = None) -> DataF
 
 
 def matrices(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """(file, row, values): numbers by line, as numeric text writers leave them. Blank lines do not
+    """(file, row, values, path): numbers by line, as numeric text writers leave them. Blank lines do not
     count."""
-    rows = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).withColumn("file", F.regexp_extract(F.input_file_name(), _NAME, 1))
+    rows = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).withColumn("path", F.input_file_name()).withColumn("file", F.regexp_extract("path", _NAME, 1))
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")
-    rows = rows.select("file", F.posexplode(lines).alias("row", "line"))
-    return rows.select("file", "row", F.transform(F.filter(F.split(F.trim("line"), r"\s+"), lambda t: t != ""), lambda t: t.try_cast("double")).alias("values"))
+    rows = rows.select("file", "path", F.posexplode(lines).alias("row", "line"))
+    return rows.select("file", "row", F.transform(F.filter(F.split(F.trim("line"), r"\s+"), lambda t: t != ""), lambda t: t.try_cast("double")).alias("values"), "path")
 
 
 def features(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """(utt, t, vec) of feature files, one frame a line."""
-    return matrices(spark, path, pattern).select(F.regexp_replace("file", r"\.[^.]*$", "").alias("utt"), F.col("row").cast("long").alias("t"), F.col("values").alias("vec"))
+    """(utt, t, vec, path) of feature files, one frame a line."""
+    return matrices(spark, path, pattern).select(F.regexp_replace("file", r"\.[^.]*$", "").alias("utt"), F.col("row").cast("long").alias("t"), F.col("values").alias("vec"), "path")
 
 
 def hmm_text(spark: SparkSession, path: str, last_leave: float | None = None) -> DataFrame:
