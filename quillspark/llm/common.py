@@ -178,7 +178,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     e = stored(e.distinct())
-    before = None
+    before = None  # a round's tables go when the next one's are written
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(
@@ -188,7 +188,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = stored(large.where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(least, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        last, e = e, stored(small.union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        discard(last)
+        discard(large)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed, stored
+from .common import least_hashed, stored, with_groups
 
 _CODES = 1 << 16
 #: Ids with a known language that the likelihoods are fitted on, at most; of each language about so
@@ -182,7 +182,7 @@ def fuse(seen: DataFrame, languages: list[str], strength: float = 20.0) -> DataF
     p = _softmax([F.col("ll")[i] for i in range(n)])
     seen = stored(seen.withColumn("p", F.array(*p)))
     share = [F.sum(F.col("p")[i]).alias(f"n{i}") for i in range(n)]
-    host = stored(seen.groupBy("host", "suffix").agg(*share))
+    host = stored(seen.groupBy("host", "suffix").agg(F.count("*").alias("n"), *share))
     # One row for each declared language, one column for each language: languages are few.
     agree = {}
     said = F.when(F.col("declared").isin(languages), F.col("declared")).otherwise(F.lit("other"))
@@ -199,11 +199,14 @@ def fuse(seen: DataFrame, languages: list[str], strength: float = 20.0) -> DataF
     total = sum((F.col(f"s{i}") for i in range(1, n)), F.col("s0"))
     prior = host.join(suffix, F.col("suffix") == F.col("level2"), "left")
     prior = prior.where("host is not null").select(
-        F.col("host").alias("at"),
+        "host",
+        "n",
         F.array(*[F.col(f"n{i}") for i in range(n)]).alias("h"),
         F.array(*[F.coalesce((F.col(f"s{i}") + strength * float(whole[i])) / (total + strength), F.lit(float(whole[i]))) for i in range(n)]).alias("s"),
     )
-    out = seen.join(prior, F.col("host") == F.col("at"), "left")
+    # Rows without a host, which may be most, meet nothing.
+    none = seen.where("host is null").withColumns({k: F.lit(None).cast("array<double>") for k in ("h", "s")})
+    out = with_groups(seen.where("host is not null"), "host", stored(prior), "left").unionByName(none)
     rest = [F.greatest(F.col("h")[i] - F.col("p")[i], F.lit(0.0)) for i in range(n)]
     sum_rest = sum(rest[1:], rest[0])
     logs = []

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import ann, chat, decontaminate, exact, fim, langid, mixture, pii, quality, search, secret_scan, simhash, tokens
-from .common import shared_dir, table
+from .common import fleeting, table
 
 
 def op1_nearest(spark: SparkSession, d: str) -> DataFrame:
@@ -70,8 +68,8 @@ def op7_decontaminate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, d: str) -> DataFrame:
-    """Through a stored ledger, which each run begins anew."""
-    ledger = secret_scan.Ledger(spark, f"{shared_dir(spark)}/quillspark/ledger-{uuid.uuid4().hex}")
+    """Through a stored ledger, which each run begins anew, and which goes when the driver ends."""
+    ledger = secret_scan.Ledger(spark, fleeting(spark))
     return secret_scan.digest(ledger.findings(table(spark, d, "documents"))[0])
 
 

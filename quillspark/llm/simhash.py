@@ -10,7 +10,8 @@ buckets of 16 bits up to some ten million fingerprints, and beyond that more sli
 are told apart by more bits, so that buckets stay small however many fingerprints there are. Buckets
 are packed into shards; in each, a bucket's members stand in a BK-tree (children keyed by their
 integer Hamming distance to the parent) and a search follows only the edges within the radius of its
-own distance. A bucket above `piece` members is cut into pieces by hash, and each pair of pieces is
+own distance. Trees are not broadcast: the one of a shard is built and searched in the task that the
+shard's members are shuffled to, so that none need fit into every executor. A bucket above `piece` members is cut into pieces by hash, and each pair of pieces is
 a task of its own, so no task holds an unbounded group and no pair is lost. Inside a bucket links are
 joined at once: at most one link a member leaves it, never all pairs.
 """
@@ -140,11 +141,19 @@ def _join(parent: list[int], a: int, b: int) -> None:
         parent[max(a, b)] = min(a, b)
 
 
+#: Members from which a bucket's tree is built and searched level by level for all at once.
+_BULK = 48
+
+
 def _bucket_links(fps: list[int], side: list[bool], cross: bool, radius: int) -> list[tuple[int, int]]:
     """A forest of links inside one bucket, or between its two pieces."""
     parent = list(range(len(fps)))
     tree, members = BKTree(), []
-    if cross:
+    if len(fps) >= _BULK:
+        for i, near in _near_pairs(np.array(fps, np.uint64), np.array(side) if cross else None, radius):
+            for j in near.tolist():
+                _join(parent, i, j)
+    elif cross:
         for i, f in enumerate(fps):
             if side[i]:
                 tree.add(f)

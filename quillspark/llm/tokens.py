@@ -71,6 +71,7 @@ class PairCounter:
         self.pieces, self.spans = regex.compile(split, regex.V0).findall, regex.compile(split, regex.V0).finditer
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.marks = sorted({t[0] for t in special if t})  # what a special string begins with
         self.known: dict[str, int] = {}
         self.lower = {c: c + by for a, b, by in LATE_CAPITALS for c in range(a, b + 1)}
         self.other = dict.fromkeys(_ranges(NO_LETTERS), "\ue000")  # stands for what is neither letter nor number
@@ -125,7 +126,7 @@ class PairCounter:
         """The tokens of a whole text, without begin, end or added special tokens; null: 0."""
         if not text:
             return 0
-        if self.special is None or "<" not in text:
+        if not any(mark in text for mark in self.marks):
             return self._plain(text)
         total = at = 0
         for m in self.special.finditer(text):

@@ -77,6 +77,39 @@ def test_middle_moves_no_rows(spark, sf_dir):
     assert "Exchange" not in plan
 
 
+# --- what earlier operators share
+
+
+def test_every_special_string_counts(tmp_path):
+    """A vocabulary whose special strings begin with other letters is counted as its library does."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    from quillspark.llm import tokens
+
+    with open("/opt/tokenizers/word_bpe_49k.json", encoding="utf-8") as f:
+        spec = json.load(f)
+    more = dict(spec["added_tokens"][0], id=max(t["id"] for t in spec["added_tokens"]) + 60_000, content="[[end]]")
+    spec["added_tokens"].append(more)
+    path = str(tmp_path / "v.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    library, own = Tokenizer.from_file(path), tokens.PairCounter(path)
+    for text in ("one [[end]] two", "[[end]][[end]]", "no mark", "<|endoftext|> [[end]"):
+        assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_components_leave_two_tables(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(common, "fleeting", lambda s: made.append(str(tmp_path / str(len(made)))) or made[-1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    assert {r.component for r in common.components(edges).collect()} == {0}
+    import os
+
+    assert len(made) > 5 and sum(map(os.path.exists, made)) == 1
+
+
 # --- ranked search
 
 
