@@ -7,16 +7,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import passing
 from .grammar import compile_graph
-from .training import Model, _checked
-from .trellis import _Plan, best_path, words_of
+from .training import Model, _checked, _frames
+from .trellis import best_path
 
 
-def decode(sequences: DataFrame, edges: list[tuple[int, int, str | None]], models: dict[str, Model], start: int, end: int, exit_penalty: float = 200.0, back_penalty: float = 0.0, beam: float | None = None, own_first: bool = True, silence: str | None = None) -> DataFrame:
+def decode(sequences: DataFrame, edges: list[tuple[int, int, str | None]], models: dict[str, Model], start: int, end: int, exit_penalty: float = 200.0, back_penalty: float = 0.0, beam: float | None = None, own_first: bool = True, silence: str | None = None, counts: bool = False) -> DataFrame:
     """(utt, cost double, words array<string>) of sequences (utt, frames array<array<double>>).
 
-    The grammar is compiled once and shared out with the models; each utterance is one row. Words
-    equal to silence are left out. An utterance that no sentence fits has cost infinity and no words.
+    The grammar is compiled once and shared out with the models; a batch's utterances advance side by
+    side (see passing). Words equal to silence are left out. An utterance without frames, or that no
+    sentence fits, has cost infinity and no words. counts: a column scored, of how many frames were
+    scored in how many states together.
     """
     names = sorted(models)
     at, layout = {}, 0
@@ -24,23 +27,19 @@ def decode(sequences: DataFrame, edges: list[tuple[int, int, str | None]], model
         at[w], layout = layout, layout + len(models[w].states)
     parts = {w: {"emit": list(range(at[w], at[w] + len(models[w].states))), "stay": models[w].stay, "move": models[w].move} for w in names}
     graph, entries = compile_graph(edges, parts, start, end, exit_penalty, back_penalty)
-    shared = sequences.sparkSession.sparkContext.broadcast((graph, entries, [_checked(models)[w] for w in names]))
+    shared = sequences.sparkSession.sparkContext.broadcast((graph, entries, [mix for w in names for mix in _checked(models)[w].states]))
     kind = dict(sequences.dtypes)["utt"]
 
     def run(batches):
-        graph, entries, own = shared.value
-        plan = _Plan.of(graph, False)
+        graph, entries, columns = shared.value
+        scorer = passing.Scorer(columns)
         for b in batches:
-            costs, words = [], []
-            for frames in b.column(1).to_pylist():
-                x = np.array(frames or [], float)
-                e = np.hstack([m.emissions(x) for m in own]) if len(x) else np.zeros((0, 1))
-                cost, path = best_path(e, graph, beam=beam, own_first=own_first, plan=plan)
-                costs.append(cost)
-                words.append([w for w in words_of(path, graph, entries) if w != silence])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(costs, pa.float64()), pa.array(words, pa.list_(pa.string()))], ["utt", "cost", "words"])
+            heard = passing.decode([_frames(b.column(1)[i]) for i in range(b.num_rows)], graph, entries, scorer, beam, own_first)
+            words = [[w for w in h.words if w != silence] for h in heard]
+            cols = [b.column(0), pa.array([h.cost for h in heard], pa.float64()), pa.array(words, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array([h.scored for h in heard], pa.int64())] * counts, ["utt", "cost", "words"] + ["scored"] * counts)
 
-    return sequences.select("utt", "frames").mapInArrow(run, f"utt {kind}, cost double, words array<string>")
+    return sequences.select("utt", "frames").mapInArrow(run, f"utt {kind}, cost double, words array<string>" + ", scored long" * counts)
 
 
 def recognise(sequences: DataFrame, models: dict[str, Model]) -> DataFrame:

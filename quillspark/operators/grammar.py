@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import discard, stored
 from .trellis import Graph
 
 
@@ -21,16 +22,33 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parse(spark.read.text(path))
 
 
-def reachable(edges: DataFrame, start: int = 0, max_steps: int = 100) -> DataFrame:
-    """(state, steps): what is reached from start, and by how few moves at least."""
-    edges.createOrReplaceTempView("_grammar_edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk(state, steps) MAX RECURSION LEVEL {max_steps + 1} AS (
-          SELECT {int(start)}, 0
-          UNION ALL
-          SELECT e.dst, w.steps + 1 FROM walk w JOIN (SELECT DISTINCT src, dst FROM _grammar_edges) e ON e.src = w.state
-          WHERE w.steps < (SELECT count(DISTINCT src) FROM _grammar_edges))
-        SELECT state, CAST(min(steps) AS INT) AS steps FROM walk GROUP BY state""")
+def reachable(edges: DataFrame, start: int = 0, max_steps: int | None = None, hops: int = 8) -> DataFrame:
+    """(state int, steps int): what is reached from start, and by how few moves at least; in max_steps
+    moves, if given.
+
+    A search by layers: each state is kept once, with its least steps, and moves go on only from states that
+    are new. A job takes `hops` layers, in each of which a state stands once, so that the rows of a job are at
+    most hops times the states, however many paths there are, and a chain of n states takes n / hops jobs.
+    Edges with a null end lead nowhere.
+    """
+    spark = edges.sparkSession
+    moves = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    reached = layer = stored(spark.createDataFrame([(int(start), 0)], "state int, steps int"))
+    done = 0
+    while max_steps is None or done < max_steps:
+        many = hops if max_steps is None else min(hops, max_steps - done)
+        found, now = None, layer
+        for _ in range(many):
+            now = now.join(moves, F.col("state") == F.col("src")).groupBy(F.col("dst").cast("int").alias("state")).agg((F.min("steps") + 1).alias("steps"))
+            found = now if found is None else found.union(now)
+        found = found.groupBy("state").agg(F.min("steps").alias("steps")).join(reached.select("state"), "state", "left_anti")
+        last, reached = reached, stored(reached.union(found))
+        discard(last)
+        done += many
+        layer = reached.where(F.col("steps") == done)
+        if layer.isEmpty():
+            break
+    return reached
 
 
 def compile_graph(edges: list[tuple[int, int, str | None]], models: dict[str, dict], start: int, end: int, exit_penalty: float = 200.0, back_penalty: float = 0.0) -> tuple[Graph, dict[int, str]]:

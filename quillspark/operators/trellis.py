@@ -9,6 +9,7 @@ Emissions are arrays by frame of arrays by state; unreachable is infinity.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INF = float("inf")
+#: Pointers, of four bytes each, that are kept for a whole utterance.
+MOST_POINTERS = 1 << 22
 
 
 def chain_fold(emissions: Column, n: int, stay: list[float], move: list[float], skip: list[float] | None = None, beam: float | None = None, free_first: bool = False) -> Column:
@@ -140,17 +143,18 @@ def best_path(e: np.ndarray, g: Graph, prefer_move: bool = False, beam: float |
     Ties go to the move listed first, which is staying, or with prefer_move to the one listed last;
     of final states to the first. own_first False scores every start state by the first start
     state's column, as one decoder did. An utterance without a way through has cost infinity and no
-    path.
+    path. Beyond MOST_POINTERS pointers only every root-of-frames-th column is kept, and the pointers
+    between are computed again for the trace back: memory then follows the root, at twice the time.
     """
     frames, n = len(e), len(g.emit)
     if not frames:
         return INF, []
     plan = plan or _Plan.of(g, prefer_move)
     rows = np.arange(len(plan.emitting))
-    cost = np.full(n + 1, INF)  # the last stands for no way
-    pointers = np.full((frames, n), -1)
-    for t in range(frames):
-        new = np.full(n + 1, INF)
+
+    def column(cost: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """The next column, and the state that each of its states came from."""
+        new, came = np.full(n + 1, INF), np.full(n, -1, np.int32)  # the last stands for no way
         if t == 0:
             for j in g.start:
                 new[j] = e[0, g.emit[j] if own_first else g.emit[g.start[0]]]
@@ -159,23 +163,37 @@ def best_path(e: np.ndarray, g: Graph, prefer_move: bool = False, beam: float |
             at = ways.argmin(1)
             best = ways[rows, at]
             new[plan.emitting] = best + e[t, plan.column]
-            pointers[t, plan.emitting] = np.where(best < INF, plan.source[rows, at], -1)
+            came[plan.emitting] = np.where(best < INF, plan.source[rows, at], -1)
         for j, source, move, same in plan.empty:
             if not len(source):
                 continue
             ways = np.where(same, new[source], cost[source] if t else INF) + move
             at = int(ways.argmin())
             if ways[at] < INF:
-                new[j], pointers[t, j] = ways[at], source[at]
+                new[j], came[j] = ways[at], source[at]
         if beam is not None:
             new[new > new.min() + beam] = INF
-        cost = new
+        return new, came
+
+    # Pointers of all frames, or of a segment at a time, which is then computed again from the column before it.
+    size = frames if frames * n <= MOST_POINTERS else math.isqrt(frames - 1) + 1
+    pointers, entries = np.empty((min(size, frames), n), np.int32), []
+    cost = np.full(n + 1, INF)
+    for t in range(frames):
+        if t % size == 0:
+            entries.append(cost)
+        cost, pointers[t % size] = column(cost, t)
     final = min(g.final, key=lambda j: (cost[j], j))
     if not cost[final] < INF:
         return INF, []
-    path, j, t = [], final, frames - 1
+    path, j, t, held = [], final, frames - 1, (frames - 1) // size
     while j >= 0:
-        i = int(pointers[t, j])
+        if t // size < held:
+            held = t // size
+            c = entries[held]
+            for k in range(held * size, (held + 1) * size):
+                c, pointers[k % size] = column(c, k)
+        i = int(pointers[t % size, j])
         if g.emit[j] >= 0:
             path.append(j)
             if t == 0:

@@ -6,11 +6,13 @@ Classes are the labels of `embeddings`; sequences are the values of `events` by
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import tables
 from ..operators import blocks, decoding, gauss, relational, signal, training, trellis
 from ..session import table
 from .signal_queries import _SIG, wave
@@ -328,6 +330,8 @@ def queries() -> dict:
         "label_models": lambda s, d: _label_models(s, d),
         "block_align": _block_align,
         "block_costs": _block_costs,
+        "align_from_sql": _align_sql,
+        "framed_from_sql": _framed_sql,
         "state_parameters": lambda s, d: _params(gauss.fit(_path_rows(s, d).join(wave(s, d).select(F.col("utt").alias("u"), "i", F.array("x").alias("vec")), (F.col("utt") == F.col("u")) & (F.col("t") == F.col("i"))), ["state"]), ["state"], 4),
         "path_start": lambda s, d: _aligned(s, d).select("utt", F.get("path", F.lit(0)).alias("first_state"), F.get("path", F.size("path") - 1).alias("last_state")),
     }
@@ -373,6 +377,27 @@ def _block_align(s, d) -> DataFrame:
     return blocks.align(_long(s, d), trellis.Graph.chain(STAY, MOVE), block=48, bits=2).paths
 
 
+def _from_sql(s, d, rows: DataFrame, sql: str) -> DataFrame:
+    """A statement over the library's table functions; `rows` stands for the table."""
+    tables.register(s)
+    name = f"rows_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(name)
+    try:
+        return s.sql(sql.replace("rows", name))
+    finally:
+        s.catalog.dropTempView(name)
+
+
+def _align_sql(s, d) -> DataFrame:
+    rows = wave(s, d).select("utt", F.col("i").alias("t"), _emission(0, F.col("x")).alias("e"), "x")
+    costs = ", ".join(f"array({', '.join(f'{c}D' for c in xs)})" for xs in (STAY, MOVE))
+    return _from_sql(s, d, rows, f"SELECT utt, t, state, round(cost, 4) AS cost FROM align(TABLE(rows) PARTITION BY utt ORDER BY (t), {costs})")
+
+
+def _framed_sql(s, d) -> DataFrame:
+    return _from_sql(s, d, wave(s, d), "SELECT utt, f, j, round(v, 6) AS v FROM framed(TABLE(rows) PARTITION BY utt ORDER BY (i), 16, 6) LATERAL VIEW posexplode(frame) AS j, v")
+
+
 def _block_costs(s, d) -> DataFrame:
     got = blocks.align(_long(s, d), trellis.Graph.chain(STAY, MOVE, SKIP), block=64)
     return got.costs.select("utt", F.round("cost", 4).alias("cost"))
@@ -472,6 +497,8 @@ def oracle_sql() -> dict[str, str]:
         "segment_change": _PATH + ", n AS (SELECT utt, count(*) AS n FROM sig GROUP BY utt HAVING count(*) >= 5), u AS (SELECT utt, s AS state, floor((s + 1) * n / 5) - floor(s * n / 5) AS old FROM n CROSS JOIN st), c AS (SELECT utt, state, count(*) AS new FROM pr GROUP BY utt, state) SELECT round(avg(abs(new - old)), 6) AS change FROM u JOIN c USING (utt, state)",
         "state_parameters": _PATH + " SELECT state, 0 AS d, round(avg(x), 4) AS mean, round(var_pop(x), 4) AS var FROM pr JOIN sig ON sig.utt = pr.utt AND sig.i = pr.t GROUP BY state",
         "decode_loop": _LOOP_SQL,
+        "align_from_sql": _viterbi_sql(path=True) + f", p AS (SELECT v.utt, v.path, round(c, 4) AS cost {_FINAL} WHERE s = 4) SELECT utt, unnest(range(0, len(path))) AS t, unnest(path) AS state, cost FROM p",
+        "framed_from_sql": f"WITH {_SIG}, n AS (SELECT utt, count(*) AS n FROM sig GROUP BY utt), f AS (SELECT utt, unnest(range(0, (n - 16) // 6 + 1)) AS f FROM n WHERE n >= 16) SELECT f.utt, f, CAST(i - f * 6 AS INTEGER) AS j, round(x, 6) AS v FROM f JOIN sig ON sig.utt = f.utt AND i >= f * 6 AND i < f * 6 + 16",
         "segmental_kmeans": _training_sql(6, [0, 1, 2, 3, 4], {}, False) + _ended_sql(_FALLS) + _SHOWN,
         "continuous_training": _training_sql(4, [0, 1, 2, 3, 4, 0], {0: 200.0, 2: 200.0, 4: 200.0}, True)
         + _ended_sql("coalesce(abs(c - lag(c) OVER o) < 500 AND abs(lag(c) OVER o - lag(c, 2) OVER o) < 500, false)") + _SHOWN,

@@ -6,13 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import grammar, scoring
+from ..operators import grammar, scoring, signal
 from ..session import table
 
-#: A small grammar of two or three digits, as lines of an edge list.
-GRAMMAR = ["N_States: 4", "Start_State: 0", "Terminal_States: 3", "", 'Edge 0 1 "2""', 'Edge 0 1 "3"', 'Edge 1 2 "0"', 'Edge 1 2 "1"', 'Edge 2 3 "4"', "Edge 1 2"]
-
-
 def _names(s, d) -> DataFrame:
     """An encoded file name for each part: letters by its keys."""
     k = F.col("p_partkey")
@@ -46,11 +42,17 @@ def _digits(s, d) -> DataFrame:
 
 
 _DIG = "dg AS (SELECT event_id, [CAST(event_id % 11 AS INTEGER), CAST(event_id * 3 % 11 AS INTEGER)] AS digits, 'f' || user_id || '_' || event_id AS file FROM events)"
-_EDGES = "(VALUES (0, 1, '2'), (0, 1, '3'), (1, 2, '0'), (1, 2, '1'), (2, 3, '4'), (1, 2, NULL)) e(src, dst, word)"
+_EDGES = "edges AS (SELECT * FROM (SELECT CAST(user_id AS INTEGER) AS src, CAST(lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS INTEGER) AS dst, CASE WHEN event_id % 3 <> 0 THEN event_type END AS word FROM events) WHERE dst IS NOT NULL)"
 
 
-def _lines(s) -> DataFrame:
-    return s.createDataFrame([(x,) for x in GRAMMAR], "value string")
+def _lines(s, d) -> DataFrame:
+    """A grammar's lines, in which users follow one another by `events` of a type: two of three events say
+    it, some with the stray quote that such files hold, and the last of a type is no edge."""
+    rows = signal.sequence_index(table(s, d, "events"), "event_type", ["ts", "event_id"], "ts", "day")
+    after = rows.select("event_type", (F.col("i") - 1).alias("i"), F.col("user_id").alias("dst"))
+    word = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit(' "'), "event_type", F.when(F.col("event_id") % 5 == 1, '""').otherwise('"'))).otherwise("")
+    line = F.when(F.col("dst").isNull(), "Terminal_States: 3").otherwise(F.concat(F.lit("Edge "), F.col("user_id").cast("string"), F.lit(" "), F.col("dst").cast("string"), word))
+    return rows.join(after, ["event_type", "i"], "left").select(line.alias("value"))
 
 
 def _text(df: DataFrame, *names: str) -> DataFrame:
@@ -87,8 +89,8 @@ def queries() -> dict:
         "reversed_labels": lambda s, d: _text(_roles(s, d).select("conv_id", F.reverse("label").alias("label")), "label"),
         "base_name": lambda s, d: table(s, d, "pages").select("page_id", C.base_name(F.col("url")).alias("base")),
         "quoted_digit": lambda s, d: table(s, d, "events").select("event_id", C.quoted_digit(F.col("props")).alias("letter")),
-        "grammar_edges": lambda s, d: grammar.parse(_lines(s)),
-        "grammar_reach": lambda s, d: grammar.reachable(grammar.parse(_lines(s))),
+        "grammar_edges": lambda s, d: grammar.parse(_lines(s, d)),
+        "grammar_reach": lambda s, d: grammar.reachable(grammar.parse(_lines(s, d)), 3),
         "positional_join": lambda s, d: _positional(s, d),
     }
 
@@ -122,7 +124,7 @@ def oracle_sql() -> dict[str, str]:
         "reversed_labels": f"WITH {_ROLES} SELECT conv_id, array_to_string(list_reverse(label), ',') AS label FROM rl",
         "base_name": r"SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.[^.]*$', '') AS base FROM pages",
         "quoted_digit": """SELECT event_id, regexp_extract(props, '"(.)', 1) AS letter FROM events""",
-        "grammar_edges": f"SELECT CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst, word FROM {_EDGES}",
-        "grammar_reach": f"WITH RECURSIVE w(state, steps) AS (SELECT 0, 0 UNION SELECT e.dst, w.steps + 1 FROM w JOIN {_EDGES} ON e.src = w.state) SELECT CAST(state AS INTEGER) AS state, CAST(min(steps) AS INTEGER) AS steps FROM w GROUP BY state",
+        "grammar_edges": f"WITH {_EDGES} SELECT src, dst, word FROM edges",
+        "grammar_reach": f"WITH RECURSIVE {_EDGES}, moves AS (SELECT DISTINCT src, dst FROM edges), w(state, steps) AS (SELECT 3, 0 UNION SELECT e.dst, w.steps + 1 FROM w JOIN moves e ON e.src = w.state WHERE w.steps < 20) SELECT CAST(state AS INTEGER) AS state, CAST(min(steps) AS INTEGER) AS steps FROM w GROUP BY state",
         "positional_join": "SELECT idx, o_orderkey, c_custkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders) JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS idx FROM customer) USING (idx)",
     }

@@ -49,7 +49,17 @@ def stored(df: DataFrame) -> DataFrame:
     survives the loss of an executor."""
     path = fleeting(df.sparkSession, "")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a DataFrame that stored() gave, and that nothing reads any more."""
+    if path := getattr(df, "_stored_at", None):
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Rows of a table of models or components that is broadcast.
