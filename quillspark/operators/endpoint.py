@@ -1,7 +1,7 @@
 """Endpointing in batch: chunk energies, fixed and adaptive thresholds, pruning.
 
-Chunks are rows (stream, seq, energy). Counting rules are window functions by stream; the adaptive
-level depends on its own past, so a stream's chunks are folded in order.
+Chunks are rows (stream, seq, energy). Counting rules and the adaptive level, which depends on its own
+past, are found in blocks of a stream, so that a long one spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import discard, small, stored
+
 
 def chunk_energy(signal: DataFrame, size: int = 400, form: str = "ln") -> DataFrame:
     """(utt, seq, energy): ln of the chunk's summed squares, or ten times log10 ("db"), or ten times
@@ -23,14 +25,34 @@ def chunk_energy(signal: DataFrame, size: int = 400, form: str = "ln") -> DataFr
     return signal.groupBy("utt", F.floor(F.col("i") / size).alias("seq")).agg(energy.alias("energy"))
 
 
-def fixed(chunks: DataFrame, threshold: float = 20.0, shortest: int = 5, silence: int = 10) -> DataFrame:
+#: Chunks of a stream that one task takes in order.
+BLOCK = 8192
+
+
+def _same(*names: str):
+    """Rows of one block, null keys included, between aliases x and y."""
+    return [F.col(f"x.{n}").eqNullSafe(F.col(f"y.{n}")) for n in names]
+
+
+def _before(*order: str) -> W:
+    return W.partitionBy("utt").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+
+
+def fixed(chunks: DataFrame, threshold: float = 20.0, shortest: int = 5, silence: int = 10, block: int = BLOCK) -> DataFrame:
     """(utt, start, complete): the first voiced chunk, and the chunk at which voiced ones of at least
-    `shortest` chunks in all is followed by `silence` silent ones in a row; null where never."""
-    w = W.partitionBy("utt").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    voiced = F.coalesce(F.col("energy") > threshold, F.lit(False))
-    rows = chunks.withColumn("_n", F.sum(voiced.cast("int")).over(w)).withColumn("_last", F.max(F.when(voiced, F.col("seq"))).over(w))
+    `shortest` chunks in all is followed by `silence` silent ones in a row; null where never.
+
+    Blocks of a stream are counted first, so that no task orders more than a block; what stands before a
+    block comes from a row a block.
+    """
+    rows = chunks.withColumn("_b", F.floor(F.col("seq") / block)).withColumn("_v", F.coalesce(F.col("energy") > threshold, F.lit(False)))
+    ahead = rows.groupBy("utt", "_b").agg(F.count_if("_v").alias("n"), F.max(F.when(F.col("_v"), F.col("seq"))).alias("last"))
+    ahead = ahead.select("utt", "_b", F.coalesce(F.sum("n").over(_before("_b")), F.lit(0)).alias("_n0"), F.max("last").over(_before("_b")).alias("_last0"))
+    w = W.partitionBy("utt", "_b").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("_n", F.sum(F.col("_v").cast("int")).over(w)).withColumn("_last", F.max(F.when(F.col("_v"), F.col("seq"))).over(w))
+    rows = rows.alias("x").join(ahead.alias("y"), _same("utt", "_b")).select("x.utt", "seq", "_v", (F.col("_n") + F.col("_n0")).alias("_n"), F.coalesce("_last", "_last0").alias("_last"))
     done = (F.col("_n") >= shortest) & (F.col("seq") - F.col("_last") >= silence)
-    return rows.groupBy("utt").agg(F.min(F.when(voiced, F.col("seq"))).alias("start"), F.min(F.when(done, F.col("seq"))).alias("complete"))
+    return rows.groupBy("utt").agg(F.min(F.when(F.col("_v"), F.col("seq"))).alias("start"), F.min(F.when(done, F.col("seq"))).alias("complete"))
 
 
 def noise_floor(chunks: DataFrame, first: int = 10, last: int = 19) -> DataFrame:
@@ -66,22 +88,73 @@ class Adaptive:
         return self.silent < self.hold
 
 
-def adaptive(chunks: DataFrame, threshold: float = 10.0, forget: float = 1.0, adjustment: float = 0.05, track: str = "level", hold: int = 0, start: float = 0.0) -> DataFrame:
+def adaptive(chunks: DataFrame, threshold: float = 10.0, forget: float = 1.0, adjustment: float = 0.05, track: str = "level", hold: int = 0, start: float = 0.0, block: int = BLOCK) -> DataFrame:
     """(utt, seq, level, background, voiced) of every chunk; a chunk without energy counts as the
-    background. One stream is folded in one task."""
+    background.
+
+    A stream is folded in blocks at once, each from a guess of the state before it. Those whose guess was not
+    what the block before leaves are folded again, until none is: then every block has begun with its
+    true state, and the result is that of one fold, to the bit. As the state forgets, a guess matters for some
+    hundred to a few thousand chunks, so that a block or two later nothing changes any more; a stream
+    that never forgets takes a round a block.
+    """
     kind = dict(chunks.dtypes)["utt"]
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("seq")
-        energy = t.column("energy").to_pylist()
-        state, level, background, voiced = Adaptive(start, start, forget, adjustment, threshold, track, hold), [], [], []
-        for e in energy:
-            voiced.append(state.step(state.background if e is None or math.isnan(e) else e))
-            level.append(state.level)
-            background.append(state.background)
-        return pa.table({"utt": t.column("utt"), "seq": t.column("seq"), "level": pa.array(level, pa.float64()), "background": pa.array(background, pa.float64()), "voiced": pa.array(voiced, pa.bool_())})
-
-    return chunks.select("utt", F.col("seq").cast("long").alias("seq"), F.col("energy").cast("double").alias("energy")).groupBy("utt").applyInArrow(run, f"utt {kind}, seq long, level double, background double, voiced boolean")
+    state, out = ["level", "background", "silent"], ["out_level", "out_background", "out_silent"]
+    first = F.struct(F.lit(float(start)).alias("level"), F.lit(float(start)).alias("background"), F.lit(0).cast("long").alias("silent"))
+
+    def fold(energies, level, background, silent):
+        a = Adaptive(level, background, forget, adjustment, threshold, track, hold, silent)
+        for e in energies:
+            voiced = a.step(a.background if e is None or math.isnan(e) else e)
+            yield a, voiced
+
+    def leaves(batches):
+        for b in batches:
+            got = []
+            for e, *entry in zip(*(b.column(c).to_pylist() for c in range(3, 7))):
+                a = None
+                for a, _ in fold(e, *entry):
+                    pass
+                got.append((a.level, a.background, min(a.silent, hold)))  # beyond hold it makes no difference
+            cols = [pa.array(x, t) for x, t in zip(zip(*got), (pa.float64(), pa.float64(), pa.int64()))] if got else [pa.array([], t) for t in (pa.float64(), pa.float64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), b.column(5), b.column(6), *cols], ["utt", "b", *state, *out])
+
+    def rows(batches):
+        for b in batches:
+            where, seqs, levels, backgrounds, flags = [], [], [], [], []
+            for i, (seq, e, *entry) in enumerate(zip(*(b.column(c).to_pylist() for c in range(2, 7)))):
+                for a, voiced in fold(e, *entry):
+                    levels.append(a.level)
+                    backgrounds.append(a.background)
+                    flags.append(voiced)
+                where += [i] * len(seq)
+                seqs += seq
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(where, pa.int64())), pa.array(seqs, pa.int64()), pa.array(levels, pa.float64()), pa.array(backgrounds, pa.float64()), pa.array(flags, pa.bool_())], ["utt", "seq", "level", "background", "voiced"])
+
+    held = chunks.select("utt", F.floor(F.col("seq") / block).cast("long").alias("b"), F.struct(F.col("seq").cast("long").alias("seq"), F.col("energy").cast("double").alias("energy")).alias("c"))
+    held = held.groupBy("utt", "b").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    held = stored(held.select("utt", "b", F.transform("c", lambda c: c["seq"]).alias("seq"), F.transform("c", lambda c: c["energy"]).alias("energy")))
+
+    def entered(entries: DataFrame) -> DataFrame:
+        """Blocks with the states before them."""
+        return held.alias("x").join(small(entries).alias("y"), _same("utt", "b")).select("x.utt", "x.b", "x.seq", "x.energy", *state)
+
+    kinds = f"utt {kind}, b long, level double, background double, silent long"
+
+    def folded(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(leaves, kinds + ", out_level double, out_background double, out_silent long")
+
+    known = stored(folded(held.withColumn("s", first).select("utt", "b", "seq", "energy", "s.*")))
+    while True:
+        true = F.coalesce(F.lag(F.struct(*[F.col(o).alias(n) for n, o in zip(state, out)])).over(W.partitionBy("utt").orderBy(F.col("b").asc_nulls_last())), first)
+        wrong = known.withColumn("true", true).where(~F.col("true").eqNullSafe(F.struct(*state)))
+        wrong = stored(wrong.select("utt", "b", "true.*"))
+        if wrong.isEmpty():
+            break
+        rest = known.alias("x").join(small(wrong.select("utt", "b")).alias("y"), _same("utt", "b"), "left_anti")
+        last, known = known, stored(rest.unionByName(folded(entered(wrong))))
+        discard(last)
+    return entered(known.select("utt", "b", *state)).mapInArrow(rows, f"utt {kind}, seq long, level double, background double, voiced boolean")
 
 
 @dataclass(frozen=True)
@@ -196,14 +269,20 @@ def utterances(chunks: DataFrame, rules: Rules = FIXED) -> DataFrame:
     return chunks.select("utt", F.col("seq").cast("long").alias("seq"), F.col("energy").cast("double").alias("energy")).groupBy("utt").applyInArrow(run, f"utt {kind}, start long, complete long")
 
 
-def run_start(flags: DataFrame, need: int = 6) -> DataFrame:
-    """(utt, start): the first chunk that ends a run of more than `need` voiced chunks."""
-    w = W.partitionBy("utt").orderBy("seq")
-    island = F.col("seq") - F.row_number().over(W.partitionBy("utt", "voiced").orderBy("seq"))
-    rows = flags.withColumn("_g", island)
-    run = F.row_number().over(W.partitionBy("utt", "voiced", "_g").orderBy("seq"))
-    rows = rows.withColumn("_run", F.when(F.col("voiced"), run).otherwise(0)).withColumn("_first", F.first("seq").over(w))
-    return rows.groupBy("utt").agg(F.min(F.when(F.col("_run") > need, F.col("seq"))).alias("start"))
+def run_start(flags: DataFrame, need: int = 6, block: int = BLOCK) -> DataFrame:
+    """(utt, start): the first chunk that ends a run of more than `need` voiced chunks, whose seq follow one
+    another. Runs are found inside blocks; the run that goes on from the block before comes from a row a block."""
+    rows = flags.where("voiced").select("utt", "seq", F.floor(F.col("seq") / block).alias("_b"))
+    inside = W.partitionBy("utt", "_b").orderBy("seq")
+    new = F.lag("seq").over(inside) != F.col("seq") - 1  # null for a block's first
+    rows = rows.withColumn("_new", F.when(new, F.col("seq")))
+    ends = rows.groupBy("utt", "_b").agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.max("_new").alias("_new"))
+    before = F.lag("high").over(W.partitionBy("utt").orderBy("_b"))
+    ends = ends.withColumn("own", F.when(before.isNull() | (before != F.col("low") - 1), F.col("low")))
+    ends = ends.select("utt", "_b", F.coalesce("own", F.max(F.coalesce("_new", "own")).over(_before("_b"))).alias("_from"))
+    rows = rows.withColumn("_new", F.max("_new").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = rows.alias("x").join(ends.alias("y"), _same("utt", "_b")).select("x.utt", F.when(F.col("seq") - F.coalesce("_new", "_from") + 1 > need, F.col("seq")).alias("at"))
+    return rows.union(flags.select("utt", F.lit(None).cast(flags.schema["seq"].dataType))).groupBy("utt").agg(F.min("at").alias("start"))
 
 
 def tail_prune(flags: DataFrame, run: int = 5, keep: int = 15) -> DataFrame:
