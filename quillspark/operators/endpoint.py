@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import discard, small, stored
+from .signal import neighbours
 
 
 def chunk_energy(signal: DataFrame, size: int = 400, form: str = "ln") -> DataFrame:
@@ -285,13 +286,12 @@ def run_start(flags: DataFrame, need: int = 6, block: int = BLOCK) -> DataFrame:
     return rows.union(flags.select("utt", F.lit(None).cast(flags.schema["seq"].dataType))).groupBy("utt").agg(F.min("at").alias("start"))
 
 
-def tail_prune(flags: DataFrame, run: int = 5, keep: int = 15) -> DataFrame:
+def tail_prune(flags: DataFrame, run: int = 5, keep: int = 15, block: int = BLOCK) -> DataFrame:
     """(utt, keep_chunks): back from the end to `run` voiced chunks in a row; those and `keep` more
-    stay. Without such a run all before the last look stays."""
-    w = W.partitionBy("utt").orderBy(F.desc("seq"))
-    rows = flags.withColumn("_back", F.row_number().over(w))
-    ahead = w.rowsBetween(-(run - 1), 0)
-    rows = rows.withColumn("_hit", (F.count_if("voiced").over(ahead) == run))
+    stay. Without such a run all before the last look stays. Chunks' seq follow one another; a stream is looked
+    through in blocks, which hold the first few chunks of the next."""
+    ahead = lambda w: F.count_if("voiced").over(w.rowsBetween(0, run - 1)) == run
+    rows = neighbours(flags, ["utt"], "seq", {"_hit": ahead}, after=run - 1, block=max(block, run))
     got = rows.groupBy("utt").agg(F.max("seq").alias("_top"), F.max(F.when(F.col("_hit"), F.col("seq"))).alias("_at"), F.min("seq").alias("_low"))
     end = F.least(F.coalesce("_at", "_low") + run + keep, F.col("_top") + 1)
     return got.select("utt", end.alias("keep_chunks"))

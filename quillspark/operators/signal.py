@@ -93,18 +93,23 @@ def n_frames(n: Column, p: Profile) -> Column:
     return F.greatest(F.floor((n - p.frame) / p.shift) + 1, F.lit(0))
 
 
-def frames(signal: DataFrame, p: Profile = PY, value: str = "x") -> DataFrame:
+def frames(signal: DataFrame, p: Profile = PY, value: str = "x", frames_per_block: int = 2048) -> DataFrame:
     """(utt, f, frame array of p.fft): overlapping frames, zero-filled to the transform's width.
 
-    Each sample goes to the few frames that cover it; a group is one frame.
+    Samples are gathered by blocks of frames; one is in one block, but for those that a frame of the next
+    block needs too. Frames are slices of their block's samples. i counts an utterance's samples from 0.
     """
     length = signal.groupBy("utt").agg((F.max("i") + 1).alias("n")).select(F.col("utt").alias("u"), n_frames(F.col("n"), p).alias("frames"))
-    rows = signal.join(length, F.col("utt").eqNullSafe(F.col("u"))).select("utt", "i", F.col(value).cast("double").alias("v"), "frames")
     first = F.greatest(F.ceil((F.col("i") - p.frame + 1) / p.shift), F.lit(0))
-    last = F.least(F.floor(F.col("i") / p.shift), F.col("frames") - 1)
-    rows = rows.withColumn("f", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
-    rows = rows.where(F.col("i") - F.col("f") * p.shift < p.frame)
-    got = rows.groupBy("utt", "f").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("frame"))
+    last = F.floor(F.col("i") / p.shift)
+    at = lambda f: F.floor(f / frames_per_block).cast("long")
+    rows = signal.select("utt", F.struct(F.col("i").cast("long").alias("i"), F.col(value).cast("double").alias("v")).alias("s"), F.explode(F.sequence(at(F.least(first, last)), at(last))).alias("b"))
+    got = rows.groupBy("utt", "b").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    got = got.join(length, F.col("utt").eqNullSafe(F.col("u"))).select("utt", "b", "frames", F.col("s")[0]["i"].alias("first"), F.transform("s", lambda s: s["v"]).alias("x"))
+    low, high = F.col("b") * frames_per_block, F.least((F.col("b") + 1) * frames_per_block, F.col("frames")) - 1
+    cut = lambda f: F.struct(f.alias("f"), F.slice("x", (f * p.shift - F.col("first") + 1).cast("int"), F.lit(p.frame)).alias("frame"))
+    # Slices first, so that no row carries its block's samples.
+    got = got.where(low <= high).select("utt", F.transform(F.sequence(low, high), cut).alias("c")).select("utt", F.explode("c").alias("c")).select("utt", "c.*")
     left = (p.fft - p.frame) // 2 if p.centred else 0
     zero = F.lit(0.0)
     return got.withColumn("frame", F.concat(F.array_repeat(zero, left), F.col("frame"), F.array_repeat(zero, F.lit(p.fft - left) - F.size("frame"))))
@@ -277,12 +282,17 @@ def sample_blocks(signal: DataFrame, p: Profile = PY, frames_per_block: int = FR
 def array_blocks(recordings: DataFrame, p: Profile = PY, frames_per_block: int = FRAMES) -> DataFrame:
     """sample_blocks() of recordings (utt, samples array), cut from the arrays: no row a sample."""
     n = F.size("samples").cast("long")
-    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.floor(F.greatest(n - 1, F.lit(0)) / p.shift) / frames_per_block))).alias("b")
-    rows = recordings.where(F.size("samples") > 0).select("utt", n.alias("n"), "samples", blocks)
-    first = F.greatest((F.col("b") * frames_per_block - HALO) * p.shift - 1, F.lit(0))
-    size = ((F.col("b") + 1) * frames_per_block + HALO) * p.shift + p.frame - first
-    x = F.slice("samples", (first + 1).cast("int"), size.cast("int"))
-    return rows.select("utt", "b", "n", first.alias("first"), F.transform(x, lambda v: v.cast("double")).alias("x"))
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor(F.floor(F.greatest(n - 1, F.lit(0)) / p.shift) / frames_per_block))
+
+    def cut(b: Column) -> Column:
+        first = F.greatest((b * frames_per_block - HALO) * p.shift - 1, F.lit(0))
+        size = ((b + 1) * frames_per_block + HALO) * p.shift + p.frame - first
+        x = F.slice("samples", (first + 1).cast("int"), size.cast("int"))
+        return F.struct(b.alias("b"), first.alias("first"), F.transform(x, lambda v: v.cast("double")).alias("x"))
+
+    # Cut first, so that no row carries the whole recording.
+    rows = recordings.where(F.size("samples") > 0).select("utt", n.alias("n"), F.transform(blocks, cut).alias("c"))
+    return rows.select("utt", "n", F.explode("c").alias("c")).select("utt", "c.b", "n", "c.first", "c.x")
 
 
 def _total(n: int, p: Profile) -> int:

@@ -60,3 +60,31 @@ def test_counting_rules_in_blocks(spark, block, gaps):
             if first is None and run > 3:
                 first = seq
         assert (fixed[u], starts[u]) == ((start, complete), first)
+
+
+@pytest.mark.parametrize("block", [5, 33, 100_000])
+def test_tail_in_blocks(spark, block):
+    rng = random.Random(block)
+    flags = {f"s{k}": [rng.random() < p for _ in range(n)] for k, (n, p) in enumerate(((1, 1), (4, 1), (5, 1), (40, 0.5), (200, 0.8), (300, 0.6), (50, 0)))}
+    rows = spark.createDataFrame([(u, i, v) for u, own in flags.items() for i, v in enumerate(own)], "utt string, seq long, voiced boolean")
+    got = {r.utt: r.keep_chunks for r in endpoint.tail_prune(rows, 5, 15, block).collect()}
+    for u, own in flags.items():
+        at = max((i for i in range(len(own)) if len(own[i : i + 5]) == 5 and all(own[i : i + 5])), default=0)
+        assert got[u] == min(at + 20, len(own))
+
+
+@pytest.mark.parametrize("per_block", [1, 3, 2048])
+def test_frames_by_blocks(spark, per_block):
+    from quillspark.operators import signal
+
+    for p in (signal.small(signal.PY, frame=16, shift=8, fft=32), signal.small(signal.CPP, frame=16, shift=6, fft=32), signal.small(signal.G5, frame=16, shift=20, fft=32)):
+        own = {f"u{n}": [float(i * 7 % 11) for i in range(n)] for n in (1, 15, 16, 17, 100)}
+        rows = spark.createDataFrame([(u, i, x) for u, xs in own.items() for i, x in enumerate(xs)], "utt string, i long, x double").repartition(3)
+        got = {(r.utt, r.f): r.frame for r in signal.frames(rows, p, frames_per_block=per_block).collect()}
+        want, left = {}, (32 - 16) // 2 if p.centred else 0
+        for u, xs in own.items():
+            for f in range(signal._total(len(xs), p)):
+                frame = xs[f * p.shift : f * p.shift + 16]
+                if frame:
+                    want[u, f] = [0.0] * left + frame + [0.0] * (32 - left - len(frame))
+        assert got == want
