@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import one_row
+from . import named
+
 _NAME = r"([^/]+)$"
 
 
@@ -111,6 +114,40 @@ def write_text(models: DataFrame, path: str) -> None:
         lines.withColumn("kind", F.lit(c)).write.mode("append").partitionBy("kind", "model").text(path)
 
 
+def _lines(values: F.Column, order: str) -> F.Column:
+    """A group's arrays of numbers as text, one a line in order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), values.alias("v")))), lambda s: F.array_join(F.transform(s["v"], lambda x: x.cast("string")), " ")), "\n")
+
+
+def write_hmm_text(models: DataFrame, path: str) -> None:
+    """(model, state, mean, var, stay, next) as the four files a model that hmm_text() reads."""
+    for kind, values in {"mean": F.col("mean"), "var": F.col("var"), "self_trans": F.array("stay"), "trans_p": F.array("next")}.items():
+        named.save(models.groupBy("model").agg(_lines(values, "state").alias("value")).select(F.concat(F.col("model").cast("string"), F.lit(f"hmm_{kind}.txt")).alias("name"), "value"), path)
+
+
+def write_skip_text(models: DataFrame, path: str) -> None:
+    """(model, row, mean, var, stay, next, skip) as the three files a model that skip_text() reads; an entry
+    row has transition costs alone."""
+    for kind, values in {"mean": F.col("mean"), "vari": F.col("var"), "tran": F.array("stay", "next", "skip")}.items():
+        rows = models if kind == "tran" else models.where("mean is not null")
+        named.save(rows.groupBy("model").agg(_lines(values, "row").alias("value")).select(F.concat(F.lit(kind), F.col("model").cast("string"), F.lit(".txt")).alias("name"), "value"), path)
+
+
+def write_dat(components: DataFrame, transitions: DataFrame, path: str, name: str = "model.dat") -> None:
+    """(model, state, g, alpha, mean, var) and (model, src, dst, cost) as one file that dat() reads; models
+    and states count from 0. Costs that are not given are 0, as off the chain."""
+    parts = F.concat(F.array("alpha"), "mean", "var")
+    packed = one_row(components)
+    size = packed.agg((F.max("model") + 1).alias("m"), (F.max("state") + 1).alias("s"), (F.max("g") + 1).alias("g"), F.max(F.size("mean")).alias("d"))
+    states = packed.groupBy("model").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("state", "g", parts.alias("v")))), lambda x: x["v"])).alias("states"))
+    every = size.select(F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)).alias("model"), "s")
+    every = every.select("model", F.explode(F.sequence(F.lit(0), F.col("s").cast("int") - 1)).alias("src"), "s").select("model", "src", F.explode(F.sequence(F.lit(0), F.col("s").cast("int") - 1)).alias("dst"))
+    costs = every.join(transitions.select("model", "src", "dst", "cost"), ["model", "src", "dst"], "left").groupBy("model").agg(F.transform(F.array_sort(F.collect_list(F.struct("src", "dst", F.coalesce("cost", F.lit(0.0)).alias("c")))), lambda x: x["c"]).alias("costs"))
+    whole = states.join(costs, "model").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("model", F.concat("states", "costs").alias("v")))), lambda x: x["v"])).alias("v"))
+    text = F.concat(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("m", "s", "g", "d")]), F.lit("\n"), F.array_join(F.transform("v", lambda x: x.cast("string")), " "))
+    named.save(whole.crossJoin(size).select(F.lit(name).alias("name"), text.alias("value")), path)  # one row with one row
+
+
 def random_labels(spark: SparkSession, n: int, length: int, seed: int = 100, first_from: int = 0) -> DataFrame:
     """(idx, digits): n reproducible digit strings; the first digit is at least first_from."""
     digit = lambda k, low: (F.pmod(F.xxhash64("id", F.lit(k), F.lit(seed)), F.lit(10 - low)) + low).cast("string")
