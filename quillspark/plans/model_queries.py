@@ -190,25 +190,34 @@ _LOOP_SQL = """WITH RECURSIVE %s, len AS (SELECT utt, max(i) AS last FROM sig GR
       SELECT len.utt, round(f.c, 4) AS cost, coalesce(words, '') AS words FROM len LEFT JOIN f ON f.utt = len.utt""" % _SIG  # k = 2: between words, a frame that no word scores
 
 
-def _training_sql(rounds: int, chain: list[int], leave: dict[int, float], shares: bool) -> str:
+def _training_sql(rounds: int, chain: list[int], leave: dict[int, float], shares: bool, start: str | None = None, greedy: bool = False) -> str:
     """Rounds of aligning and refitting, one after another, of a chain whose states have the parameter
-    sets of `chain`; leave: what leaving a state costs besides. r<k> has round k's cost and counts, al<k>
-    its alignment, q<k> the models made of it."""
+    sets of `chain`; leave: what leaving a state costs besides. f<k> has round k's paths and costs, al<k>
+    its alignment, q<k> the models made of it; start: q0, else made of frames shared out evenly. greedy: states
+    are left without a look ahead."""
     n = len(chain)
     st = ", ".join(f"({s}, {g}, {leave.get(s, 0.0)}::DOUBLE)" for s, g in enumerate(chain))
     at = f"i * {n} // n" if shares else f"(i + 1) * {n} // n - CASE WHEN (i + 1) * {n} % n = 0 THEN 1 ELSE 0 END"
     out = f"""WITH RECURSIVE {_SIG}, st(s, g, pen) AS (VALUES {st}), len AS (SELECT utt, count(*) AS n FROM sig GROUP BY utt),
       al0 AS MATERIALIZED (SELECT *, coalesce(lag(s) OVER (PARTITION BY utt ORDER BY t) <> s, true) AS enters FROM (SELECT utt, i AS t, x, CAST({at} AS INTEGER) AS s FROM sig JOIN len USING (utt)))"""
     for k in range(1, rounds + 1):
-        out += f""",
+        way = f"""v{k}(utt, t, s, c, path) AS (SELECT utt, CAST(1 AS BIGINT), 0, sum(e), [0, 0] FROM e{k} WHERE t < 2 AND s = 0 GROUP BY utt
+        UNION ALL SELECT utt, t, s, c, list_append(path, s) FROM (
+          SELECT v.utt, v.t + 1 AS t, v.path, v.s + CASE WHEN a.e + st.cost > b.e + go.cost THEN 1 ELSE 0 END AS s, v.c + least(a.e + st.cost, coalesce(b.e + go.cost, 1e308)) AS c
+          FROM v{k} v JOIN e{k} a ON a.utt = v.utt AND a.t = v.t + 1 AND a.s = v.s JOIN tr{k} st ON st.a = v.s AND st.b = v.s
+          LEFT JOIN e{k} b ON b.utt = v.utt AND b.t = v.t + 1 AND b.s = v.s + 1 LEFT JOIN tr{k} go ON go.a = v.s AND go.b = v.s + 1)),
+      f{k} AS MATERIALIZED (SELECT v.utt, c, path FROM v{k} v JOIN len ON v.utt = len.utt AND v.t = len.n - 1),""" if greedy else f"""v{k}(utt, t, s, c, path) AS (SELECT utt, t, 0, e, [0] FROM e{k} WHERE t = 0 AND s = 0
+        UNION ALL SELECT v.utt, v.t + 1, tr.b, min(v.c + tr.cost) + any_value(em.e), arg_min(list_append(v.path, tr.b), (v.c + tr.cost, tr.a))
+          FROM v{k} v JOIN tr{k} tr ON tr.a = v.s JOIN e{k} em ON em.utt = v.utt AND em.t = v.t + 1 AND em.s = tr.b GROUP BY v.utt, v.t, tr.b),
+      f{k} AS MATERIALIZED (SELECT v.utt, c, path FROM v{k} v JOIN len ON v.utt = len.utt AND v.t = len.n - 1 WHERE s = {n - 1}),"""
+        given = f""",
+      q0(g, mean, var, stay, move) AS (VALUES {start})""" if start and k == 1 else f""",
       q{k - 1} AS MATERIALIZED (SELECT g, mean, var, CASE WHEN v < n THEN -ln(1 - v / n) ELSE 50.0 END AS stay, -ln(v / n) AS move
-        FROM (SELECT g, avg(x) AS mean, greatest(var_pop(x), 1e-6) AS var, count(*) AS n, count(*) FILTER (enters) AS v FROM al{k - 1} JOIN st USING (s) GROUP BY g)),
+        FROM (SELECT g, avg(x) AS mean, greatest(var_pop(x), 1e-6) AS var, count(*) AS n, count(*) FILTER (enters) AS v FROM al{k - 1} JOIN st USING (s) GROUP BY g))"""
+        out += f"""{given},
       e{k} AS MATERIALIZED (SELECT utt, i AS t, s, 0.5 * (ln(2 * pi() * var) + (x - mean) * (x - mean) / var) AS e FROM sig, st JOIN q{k - 1} USING (g)),
       tr{k} AS MATERIALIZED (SELECT s AS a, s AS b, stay AS cost FROM st JOIN q{k - 1} USING (g) UNION ALL SELECT s, s + 1, move + pen FROM st JOIN q{k - 1} USING (g) WHERE s < {n - 1}),
-      v{k}(utt, t, s, c, path) AS (SELECT utt, t, 0, e, [0] FROM e{k} WHERE t = 0 AND s = 0
-        UNION ALL SELECT v.utt, v.t + 1, tr.b, min(v.c + tr.cost) + any_value(em.e), arg_min(list_append(v.path, tr.b), (v.c + tr.cost, tr.a))
-          FROM v{k} v JOIN tr{k} tr ON tr.a = v.s JOIN e{k} em ON em.utt = v.utt AND em.t = v.t + 1 AND em.s = tr.b GROUP BY v.utt, v.t, tr.b),
-      f{k} AS MATERIALIZED (SELECT v.utt, c, path FROM v{k} v JOIN len ON v.utt = len.utt AND v.t = len.n - 1 WHERE s = {n - 1}),
+      {way}
       al{k} AS MATERIALIZED (SELECT utt, t, x, s, coalesce(lag(s) OVER (PARTITION BY utt ORDER BY t) <> s, true) AS enters
         FROM (SELECT utt, unnest(range(0, len(path))) AS t, unnest(path) AS s FROM f{k}) JOIN sig ON sig.utt = utt AND sig.i = t)""".replace("JOIN sig ON sig.utt = utt AND sig.i = t)", "p JOIN sig USING (utt) WHERE sig.i = p.t)")
     costs = " UNION ALL ".join(f"SELECT {k} AS r, sum(c) AS c, count(*) AS aligned FROM f{k}" for k in range(1, rounds + 1))
@@ -319,6 +328,8 @@ def queries() -> dict:
         "decode_fixed": lambda s, d: _decode(s, d, FIXED, 0, 3, 2.0),
         "decode_beam": lambda s, d: _decode(s, d, FIXED, 0, 3, 2.0, beam=6.0),
         "segmental_kmeans": _trained,
+        "retraining": _retrained,
+        "greedy_training": lambda s, d: _costs(s, training.segmental_k_means(_one_model(s, d), STATES, rounds=4, greedy=True)),
         "two_level_training": lambda s, d: _costs(s, training.two_level(_one_model(s, d), STATES, outer=3)),
         "mixture_training": lambda s, d: _costs(s, training.mixture_schedule(_one_model(s, d), STATES, doublings=1, rounds=1)),
         "continuous_training": lambda s, d: _costs(s, training.continuous_k_means(_one_model(s, d).select("utt", F.array(F.lit("a"), F.lit("b")).alias("label"), "frames"), 2, rounds=4, silence="sil", silence_states=1)),
@@ -444,6 +455,12 @@ def _trained(s, d) -> DataFrame:
     return _costs(s, training.segmental_k_means(_one_model(s, d), STATES, rounds=6))
 
 
+def _retrained(s, d) -> DataFrame:
+    """Training that goes on from given models."""
+    given = training.Model([[(1.0, [_center(0, k)], [10000.0])] for k in range(STATES)], STAY, MOVE)
+    return _costs(s, training.segmental_k_means(_one_model(s, d), STATES, rounds=3, start={"all": given}))
+
+
 def _aligned_labels(s, d) -> DataFrame:
     """Forced alignment to a label of two models, of three and of two states, which are one chain of
     the states of _e: the join of labels with models as the operator makes it."""
@@ -500,6 +517,8 @@ def oracle_sql() -> dict[str, str]:
         "align_from_sql": _viterbi_sql(path=True) + f", p AS (SELECT v.utt, v.path, round(c, 4) AS cost {_FINAL} WHERE s = 4) SELECT utt, unnest(range(0, len(path))) AS t, unnest(path) AS state, cost FROM p",
         "framed_from_sql": f"WITH {_SIG}, n AS (SELECT utt, count(*) AS n FROM sig GROUP BY utt), f AS (SELECT utt, unnest(range(0, (n - 16) // 6 + 1)) AS f FROM n WHERE n >= 16) SELECT f.utt, f, CAST(i - f * 6 AS INTEGER) AS j, round(x, 6) AS v FROM f JOIN sig ON sig.utt = f.utt AND i >= f * 6 AND i < f * 6 + 16",
         "segmental_kmeans": _training_sql(6, [0, 1, 2, 3, 4], {}, False) + _ended_sql(_FALLS) + _SHOWN,
+        "retraining": _training_sql(3, [0, 1, 2, 3, 4], {}, False, ", ".join(f"({k}, {_center(0, k)}::DOUBLE, 10000.0::DOUBLE, 0.2::DOUBLE, 0.7::DOUBLE)" for k in range(STATES))) + _ended_sql(_FALLS) + _SHOWN,
+        "greedy_training": _training_sql(4, [0, 1, 2, 3, 4], {}, False, greedy=True) + _ended_sql(_FALLS) + _SHOWN,
         "continuous_training": _training_sql(4, [0, 1, 2, 3, 4, 0], {0: 200.0, 2: 200.0, 4: 200.0}, True)
         + _ended_sql("coalesce(abs(c - lag(c) OVER o) < 500 AND abs(lag(c) OVER o - lag(c, 2) OVER o) < 500, false)") + _SHOWN,
         "two_level_training": _two_level_sql(3, 12),
