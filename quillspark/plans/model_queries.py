@@ -521,8 +521,8 @@ def oracle_sql() -> dict[str, str]:
         "greedy_training": _training_sql(4, [0, 1, 2, 3, 4], {}, False, greedy=True) + _ended_sql(_FALLS) + _SHOWN,
         "continuous_training": _training_sql(4, [0, 1, 2, 3, 4, 0], {0: 200.0, 2: 200.0, 4: 200.0}, True)
         + _ended_sql("coalesce(abs(c - lag(c) OVER o) < 500 AND abs(lag(c) OVER o - lag(c, 2) OVER o) < 500, false)") + _SHOWN,
-        "two_level_training": _two_level_sql(3, 12),
-        "mixture_training": _mixture_sql(12),
+        "two_level_training": _two_level_sql(3, 30),
+        "mixture_training": _mixture_sql(30),
         "skip_transition_cost": _viterbi_sql(skip=True, path=True) + f""", p AS (SELECT v.utt, v.path {_FINAL} WHERE s = 4),
           r AS (SELECT utt, unnest(range(0, len(path))) AS t, unnest(path) AS state FROM p), n AS (SELECT *, lag(state) OVER w AS before, lead(state) OVER w AS after FROM r WINDOW w AS (PARTITION BY utt ORDER BY t)),
           c AS (SELECT state, count(*) AS n, count(*) FILTER (before IS DISTINCT FROM state) AS visits, count(*) FILTER (after - state = 2) AS skipped FROM n GROUP BY state)
