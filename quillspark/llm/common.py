@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -59,6 +60,15 @@ def discard(df: DataFrame) -> None:
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession, size: int = 8 << 20) -> None:
+    """From now on the session hands Python about so many bytes at once, at most: texts are long, and a
+    worker holds a batch in several forms. No result depends on it."""
+    number, unit = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(_BYTES).strip().lower()).groups()
+    if int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] > size:
+        spark.conf.set(_BYTES, str(size))
 
 
 @contextmanager

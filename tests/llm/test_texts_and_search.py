@@ -100,7 +100,19 @@ def test_every_special_string_counts(tmp_path):
         assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids)
 
 
-def test_components_leave_two_tables(spark, tmp_path, monkeypatch):
+def test_batches_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for own, want in (("64m", 8 << 20), ("67108864b", 8 << 20), ("4096", 4096), ("1kb", None)):
+            spark.conf.set(key, own)
+            common.bounded(spark)
+            assert spark.conf.get(key) == (own if want is None else str(want))
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_components_leave_one_table(spark, tmp_path, monkeypatch):
     made = []
     monkeypatch.setattr(common, "fleeting", lambda s: made.append(str(tmp_path / str(len(made)))) or made[-1])
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
