@@ -4,7 +4,6 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from quillspark.operators import endpoint
 from quillspark.streaming import endpointer
