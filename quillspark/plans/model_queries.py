@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import tables
 from ..operators import blocks, decoding, gauss, relational, signal, training, trellis
-from ..session import table
+from ..session import small, table
 from .signal_queries import _SIG, wave
 
 STATES = 5
@@ -58,7 +58,7 @@ def _params(df: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
 
 def _mixture(s, d) -> DataFrame:
     packed = _components(s, d).groupBy("model").agg(F.array_sort(F.collect_list(F.struct("g", "alpha", "mean", "var"))).alias("components"))
-    return frames(s, d).join(F.broadcast(packed), "model")
+    return frames(s, d).join(small(packed), "model")
 
 
 _X = "x AS (SELECT vec_id, label AS model, unnest(range(0, len(embedding))) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
@@ -298,7 +298,7 @@ def queries() -> dict:
         "gauss_score": lambda s, d: gauss.score(frames(s, d).withColumnRenamed("model", "label"), _models(s, d)).select("vec_id", "model", F.round("cost", 4).alias("cost")),
         "gauss_classify": lambda s, d: _classified(s, d).select("vec_id", "predicted"),
         "gauss_accuracy": lambda s, d: _classified(s, d).agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("predicted")).cast("long")).alias("n_right"), F.round(gauss.accuracy(F.col("label") == F.col("predicted")), 6).alias("accuracy")),
-        "squared_distance": lambda s, d: frames(s, d).join(F.broadcast(_models(s, d)), "model").select("vec_id", F.round(C.squared_distance(F.col("vec"), F.col("mean")), 6).alias("distance")),
+        "squared_distance": lambda s, d: frames(s, d).join(small(_models(s, d)), "model").select("vec_id", F.round(C.squared_distance(F.col("vec"), F.col("mean")), 6).alias("distance")),
         "gmm_logsumexp": lambda s, d: _mixture(s, d).select("vec_id", F.round(C.mixture_cost(F.col("vec"), F.col("components")), 4).alias("cost")),
         "gmm_weight_twice": lambda s, d: _mixture(s, d).select("vec_id", F.round(C.mixture_cost(F.col("vec"), F.col("components"), 2), 4).alias("cost")),
         "gmm_split": lambda s, d: _params(gauss.split(_models(s, d).withColumns({"g": F.lit(0), "alpha": F.lit(1.0)})), ["model", "g", "alpha"]),
@@ -350,7 +350,7 @@ def queries() -> dict:
 
 def _cluster_score(s, d) -> DataFrame:
     """What each frame costs in each cluster of its model."""
-    rows = frames(s, d).join(F.broadcast(_components(s, d)), "model")  # a few clusters a model
+    rows = frames(s, d).join(small(_components(s, d)), "model")
     return rows.select("vec_id", "g", F.round(C.cluster_score(F.col("vec"), F.col("mean"), F.col("var"), F.col("alpha")), 4).alias("score"))
 
 
