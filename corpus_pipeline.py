@@ -10,27 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, mixture, pii, quality, simhash
-from quillspark.llm.common import stored, table
+from quillspark.llm.common import bounded, discard, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted to be of low quality go; each row is judged by its text."""
+    bounded(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that share 0.8 of their five-word shingles one row stays, that of
     the smallest id; rows without an id are grouped by their texts like others."""
+    bounded(spark)
     return simhash.without_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bounded(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind; n_chars follows where the table has it."""
+    bounded(spark)
     out = pii.redact(docs)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(out.schema["n_chars"].dataType)))
@@ -58,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        last, docs = docs, stored(stage(spark, docs, sf_dir))
+        discard(last)
     return docs
