@@ -142,7 +142,7 @@ def _join(parent: list[int], a: int, b: int) -> None:
 
 
 #: Members from which a bucket's tree is built and searched level by level for all at once.
-_BULK = 48
+_BULK = 160
 
 
 def _bucket_links(fps: list[int], side: list[bool], cross: bool, radius: int) -> list[tuple[int, int]]:
